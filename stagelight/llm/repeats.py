@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from stagelight.llm import blocks as B
 from stagelight.llm.common import Scratch, with_row_id
+from stagelight.llm.groups import shared_keys, whole_groups
 
 #: Low bits of a key that hold the position, so that the leftmost of equal hashes is the smallest key.
 POSITION_BITS = 22
@@ -104,30 +105,6 @@ def _thin(units: Units):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by trigger, those whose trigger occurs twice or more."""
-    last: pa.RecordBatch | None = None  # the last row so far, not given out yet
-    last_twin = False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = batch.column("trigger").to_numpy()
-        same = t[1:] == t[:-1]
-        keep = np.zeros(len(t), dtype=bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        if last is not None:
-            twin = last.column("trigger")[0].as_py() == t[0]
-            keep[0] |= twin
-            if twin or last_twin:
-                yield last
-        last, last_twin = batch.slice(len(t) - 1, 1), bool(keep[-1])
-        if keep[:-1].any():
-            yield batch.slice(0, len(t) - 1).filter(pa.array(keep[:-1]))
-    if last is not None and last_twin:
-        yield last
-
-
 def _pack(units: Units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +161,6 @@ def _window_hashes(data: np.ndarray, off: np.ndarray, pick: np.ndarray, units: U
 
 def _bucket(table: pa.Table, units: Units, over: bool) -> Iterator[pa.RecordBatch]:
     """Repeated ranges of whole buckets, sorted by trigger and string; if over, of a part of one large bucket."""
-    table = table.combine_chunks()
     trig = table.column("trigger").to_numpy()
     row, start, n = (table.column(c).to_numpy() for c in ("_row", "start", "n"))
     data, off = B.utf8(table.column("packed"))
@@ -243,37 +219,8 @@ def _bucket(table: pa.Table, units: Units, over: bool) -> Iterator[pa.RecordBatc
 
 def _buckets(units: Units, in_memory: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        windows, over = 0, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                trig = part.column("trigger").to_numpy()
-                if over is not None:  # the rest of a large bucket
-                    upto = int(np.searchsorted(trig != over, True)) if trig[-1] != over else len(trig)
-                    if upto:
-                        yield from _bucket(pa.Table.from_batches([part.slice(0, upto)]), units, True)
-                    if upto == len(trig):
-                        continue
-                    over, part, trig = None, part.slice(upto), trig[upto:]
-                held.append(part)
-                windows += int(part.column("n").to_numpy().sum())
-                if windows < in_memory:
-                    continue
-                table = pa.Table.from_batches(held)
-                all_trig = table.column("trigger").to_numpy()
-                cut = int(np.flatnonzero(all_trig != all_trig[-1])[-1]) + 1 if all_trig[0] != all_trig[-1] else 0
-                if cut:
-                    yield from _bucket(table.slice(0, cut), units, False)
-                held = table.slice(cut).combine_chunks().to_batches()
-                windows = sum(int(x.column("n").to_numpy().sum()) for x in held)
-                if windows >= in_memory:
-                    yield from _bucket(pa.Table.from_batches(held), units, True)
-                    held, windows, over = [], 0, all_trig[-1]
-        if held:
-            yield from _bucket(pa.Table.from_batches(held), units, False)
+        for table, part in whole_groups(batches, "trigger", in_memory, "n"):
+            yield from _bucket(table, units, part)
 
     return run
 
@@ -284,7 +231,7 @@ def repeated_ranges(docs: DataFrame, units: Units, scratch: Scratch, in_memory:
     docs: _row and text. The result is a written table.
     """
     thin = docs.mapInArrow(_thin(units), THIN)
-    shared = thin.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_shared, THIN)
+    shared = thin.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(shared_keys("trigger"), THIN)
     wanted = shared.groupBy("_row").agg(F.collect_list(F.struct("trigger", "start", "n")).alias("runs"))
     packed = docs.join(wanted.hint("shuffle_hash"), "_row").mapInArrow(_pack(units), "trigger long, packed binary, _row long, start long, n int")
     found = scratch.write(packed.repartition("trigger").sortWithinPartitions("trigger", "packed").mapInArrow(_buckets(units, in_memory), RANGES), "found")

@@ -32,12 +32,12 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, i
     """
     units = Units(False, length, min(trigger, length))
 
-    def out(text: bytes, ranges: list | None) -> tuple:
-        if not ranges:
+    def out(text: bytes, spans: bytes | None) -> tuple:
+        if not spans:
             return len(text), 0, 0, text
-        gone = covered(len(text), ranges, length)
-        spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-        return len(text), int(gone.sum()), spans, np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
+        gone = covered(len(text), spans)
+        runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+        return len(text), int(gone.sum()), runs, np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
 
     return remove_repeats(docs, units, out, "n_bytes long, n_removed long, n_spans long, kept binary", ["doc_id"], in_memory)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only while its written size is below this many bytes; beyond it the join shuffles.
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 6 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

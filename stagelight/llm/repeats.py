@@ -226,7 +226,7 @@ def _buckets(units: Units, in_memory: int):
 
 
 def repeated_ranges(docs: DataFrame, units: Units, scratch: Scratch, in_memory: int = IN_MEMORY) -> DataFrame:
-    """One row for each text with repeated windows: _row, ranges (array of start, n: n windows from unit start).
+    """One row for each text with repeated windows: _row, spans (start and end of the covered units, packed pairs).
 
     docs: _row and text. The result is a written table.
     """
@@ -240,26 +240,43 @@ def repeated_ranges(docs: DataFrame, units: Units, scratch: Scratch, in_memory:
     if not rest.isEmpty():
         often = rest.groupBy("h1", "h2").agg(F.sum("times").alias("total")).filter("total >= 2")
         ranges = ranges.unionByName(rest.join(often, ["h1", "h2"], "left_semi").select("_row", "start", "n"))
-    return scratch.write(ranges.groupBy("_row").agg(F.collect_list(F.struct("start", "n")).alias("ranges")), "ranges")
+    listed = ranges.groupBy("_row").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    return scratch.write(listed.mapInArrow(_merge(units.k), "_row long, spans binary"), "ranges")
 
 
-def covered(n_units: int, ranges: list[dict], k: int) -> np.ndarray:
+def _merge(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for ranges in batch.column("ranges"):
+                flat = ranges.values.flatten()
+                start = flat[0].to_numpy(zero_copy_only=False).astype(np.int64)
+                end = start + flat[1].to_numpy(zero_copy_only=False) + k - 1
+                order = np.argsort(start, kind="stable")
+                start, end = start[order], np.maximum.accumulate(end[order])
+                new = np.append(True, start[1:] > end[:-1])
+                last = np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)
+                spans.append(np.stack([start[new], end[last]], axis=1).astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(spans, pa.binary())], ["_row", "spans"])
+
+    return run
+
+
+def covered(n_units: int, spans: bytes) -> np.ndarray:
     """Which units lie in a repeated window."""
-    edge = np.zeros(n_units + 1, dtype=np.int64)
-    start = np.array([r["start"] for r in ranges], dtype=np.int64)
-    n = np.array([r["n"] for r in ranges], dtype=np.int64)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + n + k - 1, -1)
-    return np.cumsum(edge)[:-1] > 0
+    gone = np.zeros(n_units, dtype=bool)
+    for start, end in np.frombuffer(spans, dtype="<i8").reshape(-1, 2):
+        gone[start:end] = True
+    return gone
 
 
 def remove_repeats(docs: DataFrame, units: Units, out, schema: str, columns: list[str], in_memory: int = IN_MEMORY) -> DataFrame:
-    """docs' rows with the result of out(text bytes, ranges or None) beside `columns`."""
+    """docs' rows with the result of out(text bytes, spans or None) beside `columns`."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     keyed = with_row_id(docs.select(*columns, "text"))
     ranges = repeated_ranges(keyed.select("_row", "text"), units, scratch, in_memory)
-    joined = keyed.join(scratch.small(ranges, "ranges"), "_row", "left").select(*columns, "text", "ranges")
+    joined = keyed.join(scratch.small(ranges, "ranges"), "_row", "left").select(*columns, "text", "spans")
     names = [x.split()[0] for x in schema.split(", ")]
     fields = docs.select(*columns).schema
     for part in schema.split(", "):
@@ -268,7 +285,7 @@ def remove_repeats(docs: DataFrame, units: Units, out, schema: str, columns: lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = B.utf8(batch.column("text"))
-            raw, found = memoryview(data), batch.column("ranges")
+            raw, found = memoryview(data), batch.column("spans")
             rows = [out(bytes(raw[off[i] : off[i + 1]]), found[i].as_py()) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(pa.array([r[j] for r in rows], KINDS[p.split()[1]]) for j, p in enumerate(schema.split(", ")))], [*columns, *names])
 

@@ -23,11 +23,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, minimiser: int = MIN
     """
     units = Units(True, window, min(minimiser, window))
 
-    def out(text: bytes, ranges: list | None) -> tuple:
+    def out(text: bytes, spans: bytes | None) -> tuple:
         words = text.split()
-        if not ranges:
+        if not spans:
             return len(words), 0, b" ".join(words)
-        gone = covered(len(words), ranges, window)
+        gone = covered(len(words), spans)
         return len(words), int(gone.sum()), b" ".join(w for w, x in zip(words, gone.tolist()) if not x)
 
     return remove_repeats(docs, units, out, "n_words long, n_removed long, kept binary", ["doc_id"], in_memory)

@@ -1,8 +1,8 @@
 """The queries of this subpackage, one for each operator."""
 
-from stagelight.llm import bytespans, substrings
+from stagelight.llm import bytespans, minhash, mixing, pii, substrings
 
-MODULES = (substrings, bytespans)
+MODULES = (substrings, bytespans, minhash, mixing, pii)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

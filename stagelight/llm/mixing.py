@@ -61,13 +61,13 @@ def mix_sources(
     sizes = scratch.write(sizes.select("source", "_chars", weight.alias("_weight")), "sizes")
     total, share = sizes.agg(F.sum("_chars"), F.sum("_weight")).first()
     rate = F.lit(float(epochs * (total or 0))) * F.col("_weight") / F.lit(float(share or 1.0)) / F.col("_chars")
-    rates = scratch.small(sizes.select(F.col("source").alias("_source"), rate.alias("_rate")), "sizes")
-    counted = docs.join(rates, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_times", poisson_count(seed, F.col("doc_id"), F.col("_rate"))).where("_times > 0")
-    copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    dealt = copies.withColumn("_place", F.xxhash64(F.lit(seed), "doc_id", "_copy")).repartition("_place").sortWithinPartitions("_place")
+    rates = scratch.small(sizes.select(F.col("source").alias("_mix_source"), rate.alias("_mix_rate")), "sizes")
+    counted = docs.join(rates, F.col("source").eqNullSafe(F.col("_mix_source"))).withColumn("_mix_times", poisson_count(seed, F.col("doc_id"), F.col("_mix_rate"))).where("_mix_times > 0")
+    copies = counted.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
+    dealt = copies.withColumn("_mix_place", F.xxhash64(F.lit(seed), "doc_id", "_mix_copy")).repartition("_mix_place").sortWithinPartitions("_mix_place")
     if copy_column:
-        dealt = dealt.withColumn(copy_column, F.col("_copy"))
-    return dealt.drop("_source", "_rate", "_times", *([] if copy_column == "_copy" else ["_copy"]), "_place")
+        dealt = dealt.withColumn(copy_column, F.col("_mix_copy"))
+    return dealt.drop("_mix_source", "_mix_rate", "_mix_times", "_mix_copy", "_mix_place")
 
 
 #: Production weights of the query: three times the default for src1, half for the largest source's neighbours.

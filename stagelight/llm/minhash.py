@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -124,10 +125,10 @@ def _best(child, other, est, earlier) -> tuple:
     return out
 
 
-def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nearest(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Each bucket member's most similar other member, and its most similar earlier one, by estimate.
 
-    Buckets beyond BUCKET members are compared in blocks, each with itself and with the bucket's first block.
+    Buckets beyond `most` members are compared in blocks, each with itself and with the bucket's first block.
     """
 
     def rows(cls, found):
@@ -151,7 +152,7 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield c[own], o[own], e[own]
 
     first: tuple | None = None
-    for table, part in whole_groups(batches, "key", BUCKET * 4):
+    for table, part in whole_groups(batches, "key", most * 4):
         sig, cls = _packed(table)
         key = table.column("key").to_numpy()
         begin = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
@@ -173,9 +174,9 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in np.arange(len(size)) if part else np.flatnonzero(size > 32):
             a, b = int(begin[g]), int(begin[g + 1])
             if not part or first is None or first[0] != key[a]:
-                first = (key[a], sig[a : a + BUCKET], cls[a : a + BUCKET])
-            for x in range(a, b, BUCKET):
-                s, c = sig[x : min(x + BUCKET, b)], cls[x : min(x + BUCKET, b)]
+                first = (key[a], sig[a : a + most], cls[a : a + most])
+            for x in range(a, b, most):
+                s, c = sig[x : min(x + most, b)], cls[x : min(x + most, b)]
                 alone = len(c) == len(first[2]) and c[0] == first[2][0]
                 pool = 0 if alone else len(first[2])
                 both_c = c if alone else np.concatenate([first[2], c])
@@ -239,7 +240,23 @@ def _confirm(percent: int):
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (doc_id = component_id).
+    """`labelled_rows` without its keys: doc_id, n_shingles, component_id, kept."""
+    return labelled_rows(with_row_id(docs.select("doc_id", "text")), percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """docs with one row of each component: one of the smallest doc_id, the first of equal ones. Rows without a word
+    all stay. Columns stay as they are."""
+    scratch = Scratch(docs.sparkSession, "drop")
+    keyed = with_row_id(docs)
+    labels = labelled_rows(keyed.select("_row", "doc_id", "text"), percent)
+    dropped = scratch.write(labels.where("_row != keep_row").select("_row"), "dropped")
+    return keyed.join(scratch.small(dropped, "dropped"), "_row", "left_anti").drop("_row")
+
+
+def labelled_rows(keyed: DataFrame, percent: int) -> DataFrame:
+    """_row, doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (doc_id = component_id),
+    keep_row (the row that stands for the component).
 
     Texts link if 100 * |intersection| >= percent * |union| of their sets of 5-word shingles, words lower-cased in
     A-Z only. A text of one to four words is one shingle; texts that are null or have no word link with nothing, not
@@ -250,15 +267,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     name; a null doc_id is kept unless its component has a number. Other columns are not read. `docs` has to be a
     scan or a written table.
     """
-    scratch = Scratch(docs.sparkSession, "minhash")
-    keyed = with_row_id(docs.select("doc_id", "text"))
+    scratch = Scratch(keyed.sparkSession, "minhash")
     signed = scratch.write(keyed.mapInArrow(_sign, DOCS), "docs")
-    classes = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.min(F.struct("_row", "bands", "sig")).alias("r"))
-    classes = scratch.write(classes.select("cls", "low", "r._row", "r.bands", "r.sig"), "classes")
+    classes = signed.where("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("low"), "_row")).alias("first"), F.min(F.struct("_row", "bands", "sig")).alias("r"))
+    classes = scratch.write(classes.select("cls", "first", "r._row", "r.bands", "r.sig"), "classes")
     thin = classes.select(F.explode("bands").alias("key"), "cls")
     multi = scratch.write(thin.repartition("key").sortWithinPartitions("key").mapInArrow(shared_keys("key"), "key long, cls binary"), "multi")
     sigs = classes.select("cls", "sig")
-    near = multi.join(sigs, "cls").repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_nearest, "child binary, other binary, est double, kind int")
+    near = multi.join(sigs, "cls").repartition("key").sortWithinPartitions("key", "cls").mapInArrow(partial(_nearest, most=BUCKET), "child binary, other binary, est double, kind int")
     best = near.groupBy("child", "kind").agg(F.max_by("other", F.struct("est", "other")).alias("other"))
     pairs = scratch.write(best.select(F.least("child", "other").alias("a"), F.greatest("child", "other").alias("b")).distinct(), "pairs")
     involved = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
@@ -282,12 +298,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     later = confirmed(more, "links2")
     if not later.isEmpty():
         roots = scratch.write(components(links.unionByName(later), scratch, "second"), "roots2")
-    labels = classes.select("cls", "low").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    lows = labels.groupBy("root").agg(F.min("low").alias("component"))
-    labels = scratch.write(labels.join(lows, "root").select("cls", "component"), "labels")
-    out = signed.select("doc_id", "n_shingles", "cls").join(scratch.small(labels, "labels"), "cls", "left")
+    labels = classes.select("cls", "first").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    firsts = labels.groupBy("root").agg(F.min("first").alias("first"))
+    labels = labels.select("cls", "root").join(firsts, "root").select("cls", F.col("first.low").alias("component"), F.col("first._row").alias("keep"))
+    labels = scratch.write(labels, "labels")
+    out = signed.select("_row", "doc_id", "n_shingles", "cls").join(scratch.small(labels, "labels"), "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    keep = F.when(F.col("cls").isNull(), F.col("_row")).otherwise(F.col("keep"))
+    return out.select("_row", "doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), keep.alias("keep_row"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

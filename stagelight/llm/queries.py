@@ -1,8 +1,8 @@
 """The queries of this subpackage, one for each operator."""
 
-from stagelight.llm import bytespans, langid, minhash, mixing, pii, quality, substrings
+from stagelight.llm import bytespans, chat, embeddings, langid, minhash, mixing, pieces, pii, quality, substrings
 
-MODULES = (langid, substrings, bytespans, quality, minhash, mixing, pii)
+MODULES = (langid, chat, pieces, embeddings, substrings, bytespans, quality, minhash, mixing, pii)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

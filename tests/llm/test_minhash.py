@@ -65,6 +65,17 @@ def test_against_brute_force(spark, tmp_path, monkeypatch, bucket):
     assert Counter(tuple(r) for r in got) == brute(rows)
 
 
+def test_one_row_of_each_component_stays(spark, tmp_path):
+    rows = near_texts(9) + [(50, "a b c d e f g", "x", 1), (50, "a b c d e f g", "y", 1), (51, None, "z", 1), (51, None, "z", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, low long").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    out = minhash.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    kept = Counter(r.doc_id for r in out.collect())
+    want = {r[0] for r in brute(rows) if r[3]}
+    assert set(kept) == want and kept.pop(51) == 2 and set(kept.values()) == {1}
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
     assert minhash.near_duplicates(spark.read.parquet(str(tmp_path / "d"))).count() == 0

@@ -26,6 +26,12 @@ PERMUTATIONS = BANDS * ROWS
 LEAST_ESTIMATE = 0.6
 #: Members of a band bucket that are compared at once.
 BUCKET = 1024
+#: Members of a bucket with several components whose full sets meet at once; larger ones meet block by block.
+BLOCK = 2048
+#: Bytes of full sets in a block.
+BLOCK_SETS = 6 << 20
+#: Values in at least so many sets are counted by matrix products.
+DENSE = 16
 
 _rng = np.random.default_rng(7)
 MULTIPLIERS = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -183,35 +189,80 @@ def _nearest(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
                 yield from rows(both_c, list(dense(both_c, s if alone else np.concatenate([first[1], s]), pool)))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of a block pair whose components differ."""
-    held: dict = {}
+def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the left with the right sets: a product of 0-1 matrices for values in many sets,
+    their pairs for values in a few."""
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    row = np.repeat(np.arange(len(sets)), size)[order]
+    new = np.append(True, flat[order][1:] != flat[order][:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(flat)))
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    often = first[times >= DENSE]
+    for at in range(0, len(often), 1024):
+        some = often[at : at + 1024]
+        n = times[np.searchsorted(first, some)]
+        one = np.zeros((len(sets), len(some)), dtype=np.float32)
+        one[row[B.runs(some, n)], np.repeat(np.arange(len(some)), n)] = 1
+        out += one[left] @ one[right].T
+    to_left, to_right = np.full(len(sets), -1), np.full(len(sets), -1)
+    to_left[left], to_right[right] = np.arange(len(left)), np.arange(len(right))
+    for t in range(2, DENSE):
+        starts = first[times == t]
+        for at in range(0, len(starts), 20_000):
+            members = row[starts[at : at + 20_000, None] + np.arange(t)]
+            i, j = np.broadcast_arrays(to_left[members][:, :, None], to_right[members][:, None, :])
+            keep = (i >= 0) & (j >= 0)
+            np.add.at(out, (i[keep], j[keep]), 1)
+    return out
 
-    def pairs():
-        for left, right in (held[k] for k in list(held)):
-            ls, lc, lr = left
-            rs, rc, rr = right
-            for a in range(0, len(lc), 128):
-                est = estimate(ls[a : a + 128, None, :], rs[None, :, :])
-                i, j = np.nonzero((est >= LEAST_ESTIMATE) & (lr[a : a + 128, None] != rr[None, :]))
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([_binary16(lc[i + a]), _binary16(rc[j])], ["a", "b"])
 
-    for table, _ in whole_groups(batches, "pair", 1, None):
-        sig, cls = _packed(table)
-        root = np.frombuffer(bytes(B.utf8(table.column("root"))[0]), dtype="S16")
-        pair, left = table.column("pair").to_numpy(), table.column("left").to_numpy(zero_copy_only=False)
-        right = table.column("right").to_numpy(zero_copy_only=False)
-        for p in np.unique(pair):
-            at = pair == p
-            new = [tuple(x[at & side] for x in (sig, cls, root)) for side in (left, right)]
-            if p in held:
-                new = [tuple(np.concatenate(x) for x in zip(old, n)) for old, n in zip(held[p], new)]
-            if p not in held:
-                yield from pairs()
-                held.clear()
-            held[p] = new
-    yield from pairs()
+def _across(batches: Iterator[pa.RecordBatch], percent: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Links across components in each cell (a bucket, or two blocks of a large one), all pairs by their full sets:
+    a spanning forest of them, a row for each member that has one."""
+    for table, part in whole_groups(batches, "pair", 16 * block):
+        if part:
+            raise RuntimeError("a cell holds more than its two blocks")
+        pair = table.column("pair").to_numpy()
+        left, right = (table.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
+        cls, root = (np.frombuffer(bytes(B.utf8(table.column(c))[0]), dtype="S16") for c in ("cls", "root"))
+        data, off = B.utf8(table.column("shingles"))
+        begin = np.concatenate([[0], np.flatnonzero(pair[1:] != pair[:-1]) + 1, [len(pair)]])
+        for a, b in zip(begin[:-1], begin[1:]):
+            own = np.unique(root[a:b], return_inverse=True)[1]
+            if own.max(initial=0) == 0:
+                continue
+            sets = [np.frombuffer(bytes(data[off[i] : off[i + 1]]), dtype=np.uint64) for i in range(a, b)]
+            size = np.array([len(x) for x in sets], dtype=np.int64)
+            li, ri = np.flatnonzero(left[a:b]), np.flatnonzero(right[a:b])
+            # pairs within the most frequent component are none of those asked for
+            most = np.bincount(own).argmax()
+            sides = [(li[own[li] != most], ri)]
+            if not (left[a:b] & right[a:b]).all():
+                sides.append((li[own[li] == most], ri[own[ri] != most]))
+            ends = []
+            for x, y in sides:
+                if len(x) and len(y):
+                    common = common_counts(sets, x, y).astype(np.float64)
+                    i, j = np.nonzero((100 * common >= percent * (size[x][:, None] + size[y][None, :] - common)) & (own[x][:, None] != own[y][None, :]))
+                    ends.append((x[i], y[j]))
+            if not ends:
+                continue
+            i, j = (np.concatenate(side) for side in zip(*ends))
+            if not len(i):
+                continue
+            top = np.arange(b - a)
+            while True:
+                new = top.copy()
+                np.minimum.at(new, i, top[j])
+                np.minimum.at(new, j, top[i])
+                if (new == top).all():
+                    break
+                top = new
+            some = np.flatnonzero(top != np.arange(b - a))
+            yield pa.RecordBatch.from_arrays([_binary16(cls[a:b][some]), _binary16(cls[a:b][top[some]])], ["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,8 +313,8 @@ def labelled_rows(keyed: DataFrame, percent: int) -> DataFrame:
     A-Z only. A text of one to four words is one shingle; texts that are null or have no word link with nothing, not
     even each other. Equal word sequences are one class and link at once. Band buckets give candidates, b-bit
     signatures estimate them, and full sets confirm each link: first each class's best candidates, then, where a
-    bucket still holds several components, all candidates across them. So no link that could join two components is
-    left out, and dense groups cost a row or two a member. Rows with equal doc_id are texts of their own under one
+    bucket still holds several components, all its pairs across them, in blocks. So no link between members of a bucket
+    that could join two components is left out, and groups cost a few rows a member however dense they are. Rows with equal doc_id are texts of their own under one
     name; a null doc_id is kept unless its component has a number. Other columns are not read. `docs` has to be a
     scan or a written table.
     """
@@ -281,21 +332,17 @@ def labelled_rows(keyed: DataFrame, percent: int) -> DataFrame:
     rows = scratch.write(classes.select("cls", "_row").join(involved, "cls", "left_semi"), "rows")
     sets = scratch.write(keyed.select("_row", "text").join(scratch.small(rows, "rows"), "_row").mapInArrow(_sets, "cls binary, shingles binary"), "sets")
 
-    def confirmed(some: DataFrame, name: str) -> DataFrame:
-        x = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
-        y = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
-        return scratch.write(some.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a binary, b binary"), name)
-
-    links = confirmed(pairs, "links1")
+    x = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
+    links = scratch.write(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a binary, b binary"), "links1")
     roots = scratch.write(components(links, scratch, "first"), "roots1")
-    labelled = multi.join(rows.select("cls"), "cls", "left_semi").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+    labelled = multi.join(sets.select("cls", F.length("shingles").alias("bytes")), "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "bytes", F.coalesce("root", "cls").alias("root"))
     labelled = scratch.write(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("key", F.ceil(F.col("n") / (2 * BUCKET)).cast("int").alias("blocks"))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where("lo != hi").select("key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_SETS)).cast("int").alias("blocks"))
     cells = labelled.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select(F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with")).alias("pair"), "cls", "root", (F.col("own") <= F.col("with")).alias("left"), (F.col("own") >= F.col("with")).alias("right"))
-    across = cells.join(sigs, "cls").repartition("pair").sortWithinPartitions("pair").mapInArrow(_across, "a binary, b binary")
-    more = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    later = confirmed(more, "links2")
+    across = cells.join(sets, "cls").repartition("pair").sortWithinPartitions("pair").mapInArrow(partial(_across, percent=percent, block=BLOCK), "a binary, b binary")
+    later = scratch.write(across.distinct(), "links2")
     if not later.isEmpty():
         roots = scratch.write(components(links.unionByName(later), scratch, "second"), "roots2")
     labels = classes.select("cls", "first").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

@@ -58,6 +58,7 @@ def near_texts(seed, groups=25):
 @pytest.mark.parametrize("bucket", [1024, 3])
 def test_against_brute_force(spark, tmp_path, monkeypatch, bucket):
     monkeypatch.setattr(minhash, "BUCKET", bucket)
+    monkeypatch.setattr(minhash, "BLOCK", min(bucket, 2048))
     rows = near_texts(bucket)
     rows += [(rows[0][0], rows[0][1], "t", 1), (None, rows[5][1], "t", 1), (None, "alone and without number here", "t", 1), (5, None, "t", 1), (6, "", "t", 1), (7, " \n", "t", 1), (8, "Word", "t", 1), (9, "wORD", "t", 1), (10, "word " * 3000, "t", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, cls string, low long").repartition(3).write.parquet(str(tmp_path / "d"))
@@ -105,3 +106,11 @@ def test_components_of_chains_stars_and_loops(spark):
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(parent, x) for x in linked}
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
+
+
+def test_common_counts():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(80)]
+    left, right = np.arange(0, 50), np.arange(30, 80)
+    want = np.array([[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left])
+    assert (minhash.common_counts(sets, left, right) == want).all()

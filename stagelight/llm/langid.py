@@ -14,7 +14,7 @@ from stagelight.llm import blocks as B
 
 #: Bounds of the training sample: about so many documents a language, so many segments of so many characters each,
 #: taken from anywhere in a text. The sample's size is all that the driver holds; it doesn't grow with the input.
-DOCS_PER_LANGUAGE = 1200
+DOCS_PER_LANGUAGE = 1000
 SEGMENTS, SEGMENT_CHARS = 4, 240
 NGRAMS = (1, 2, 3, 4)
 BUCKETS, DIM = 1 << 16, 16
@@ -111,7 +111,9 @@ def fit(texts: list[str], langs: list[str], seed: int = 3) -> Model:
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float64)
     w, bias = np.zeros((DIM, len(names))), np.zeros(len(names))
-    idx, bounds = subwords(texts)
+    parts = [subwords(texts[a : a + 500]) for a in range(0, len(texts), 500)]
+    idx = np.concatenate([i.astype(np.int32) for i, _ in parts])
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in parts]))])
     rows = rng.permutation(len(texts))
     calib, train = (rows[::5], np.setdiff1d(rows, rows[::5])) if len(texts) >= 50 else (rows, rows)
     # each language weighs the same
@@ -138,7 +140,12 @@ def fit(texts: list[str], langs: list[str], seed: int = 3) -> Model:
             bias -= rate * p.mean(axis=0)
             np.subtract.at(emb, grams, rate * 8 * np.repeat(back, n, axis=0))
     table = emb @ w
-    z = _means(table, idx, bounds)[calib] + bias
+    z = []
+    for a in range(0, len(calib), 500):
+        part = calib[a : a + 500]
+        n = bounds[part + 1] - bounds[part]
+        z.append(_means(table, idx[B.runs(bounds[part], n)], np.concatenate([[0], np.cumsum(n)])) + bias)
+    z = np.concatenate(z)
     y = y_all[calib]
     grid = np.exp(np.linspace(np.log(0.05), np.log(5), 60))
     losses = [-np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]

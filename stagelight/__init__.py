@@ -1,0 +1 @@
+"""Event listings as DataFrames: normalise, resolve, serve, audit."""

@@ -28,8 +28,10 @@ NBEST = 4
 SPACE = "▁"
 #: An uncovered character costs this more than the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Words kept by a Python worker, about 100 MB.
-CACHE = 250_000
+#: Words kept by a Python worker in each of two generations, about 50 MB each.
+CACHE = 150_000
+#: Words up to this length are searched together, in arrays.
+LONGEST_WORD = 40
 INFINITE = float("inf")
 
 
@@ -181,10 +183,117 @@ def nbest_of_chain(units: list[str], losses: np.ndarray, n: int, vocabulary: Voc
 RESULT = "token_ids array<int>, score double, nbest array<struct<score:double,changes:array<struct<token_start:long,n_tokens:long,ids:array<int>>>>>"
 
 
+class Lattice:
+    """The Viterbi pass of `best_of_unit` over many words of one length at once; pieces are found by rolling hashes."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.v = vocabulary
+        pieces = list(vocabulary.pieces.items())
+        keys = B.mix(np.array([self._hash(p) for p, _ in pieces], dtype=np.uint64))
+        if len(np.unique(keys)) != len(keys):
+            raise ValueError("two pieces have one hash")
+        self.ids = np.array([i for _, (i, _) in pieces], dtype=np.int64)
+        self.scores = np.array([x for _, (_, x) in pieces], dtype=np.float64)
+        # pieces by the high bits of their hash; those whose place is taken go to the next table
+        self.tables, rest, bits = [], np.arange(len(keys)), 18
+        self.keys = keys
+        while len(rest):
+            slot = (keys[rest] * np.uint64(2 * len(self.tables) + 1) >> np.uint64(64 - bits)).astype(np.int64)
+            table = np.full(1 << bits, -1, dtype=np.int32)
+            table[slot] = rest
+            self.tables.append(table)
+            rest = rest[table[slot] != rest]
+        self.bits = bits
+
+    @classmethod
+    def _hash(cls, piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(cls.BASE) + ord(c) + 1) % (1 << 64)
+        return h
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Index of the piece of each hash, or -1."""
+        h = B.mix(h)
+        out = np.full(len(h), -1, dtype=np.int64)
+        for k, table in enumerate(self.tables):
+            got = table[(h * np.uint64(2 * k + 1) >> np.uint64(64 - self.bits)).astype(np.int64)]
+            hit = got >= 0
+            hit[hit] = self.keys[got[hit]] == h[hit]
+            out[hit] = got[hit]
+        return out
+
+    def best(self, words: list[str]) -> list[tuple[bytes, float, float]]:
+        """best_of_unit of words of one length."""
+        n, size, longest = len(words), len(words[0]), self.v.longest
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(n, size).astype(np.uint64) + np.uint64(1)
+        pre = np.zeros((size + 1, n), dtype=np.uint64)
+        power = [np.uint64(1)]
+        for j in range(size):
+            pre[j + 1] = pre[j] * self.BASE + code[:, j]
+            power.append(np.uint64(int(power[-1]) * int(self.BASE) % (1 << 64)))
+        top = np.full((size + 1, n), -INFINITE)
+        top[0] = 0
+        loss = np.full((size + 1, n), INFINITE)
+        back, piece = np.zeros((size + 1, n), dtype=np.int16), np.full((size + 1, n), -1, dtype=np.int64)
+        rows = np.arange(n)
+        for j in range(1, size + 1):
+            second = np.full(n, -INFINITE)
+            for i in range(max(0, j - longest), j):
+                got = self.find(pre[j] - pre[i] * power[j - i])
+                f = np.where(got >= 0, top[i] + self.scores[got], -INFINITE)
+                if i == j - 1:
+                    f = np.where(got >= 0, f, top[i] + self.v.unknown)
+                better = f > top[j]
+                second = np.where(better, top[j], np.maximum(second, f))
+                top[j] = np.where(better, f, top[j])
+                back[j] = np.where(better, i, back[j])
+                piece[j] = np.where(better, got, piece[j])
+            loss[j] = np.minimum(loss[back[j], rows], top[j] - second)
+        # ways back, all words a step at a time
+        at, steps = np.full(n, size), []
+        odd = np.zeros(n, dtype=bool)
+        while at.any():
+            got = piece[at, rows]
+            odd |= (at > 0) & (got < 0)
+            steps.append(np.where(at > 0, self.ids[got], -1))
+            at = np.where(at > 0, back[at, rows], 0)
+        ids = np.stack(steps[::-1]).T.astype(np.int32)
+        some = ids >= 0
+        ends = np.cumsum(some.sum(axis=1)) * 4
+        raw, score, losses = ids[some].tobytes(), top[size].tolist(), loss[size].tolist()
+        starts, ends = (ends - some.sum(axis=1) * 4).tolist(), ends.tolist()
+        return [best_of_unit(w, self.v) if o else (raw[a:b], x, y) for w, o, a, b, x, y in zip(words, odd.tolist(), starts, ends, score, losses)]
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, n: int):
         self.v, self.n, self.finder = vocabulary, n, re.compile(vocabulary.cut).findall
         self.options: dict[str, list] = {}
+        self.lattice = Lattice(vocabulary)
+        self.older: dict[str, tuple] = {}
+
+    def learn(self, units: set[str]) -> None:
+        """Puts the best segmentations of units into the cache; the older generation of the cache goes when it is full."""
+        cache = self.v.cache
+        if len(cache) + len(units) > CACHE:
+            self.older = dict(cache)
+            cache.clear()
+        by_size: dict[int, list[str]] = {}
+        for u in units:
+            got = self.older.get(u)
+            if got is not None:
+                cache[u] = got
+            elif len(u) <= LONGEST_WORD:
+                by_size.setdefault(len(u), []).append(u)
+            else:
+                cache[u] = best_of_unit(u, self.v)
+        for words in by_size.values():
+            for a in range(0, len(words), 20_000):
+                part = words[a : a + 20_000]
+                cache.update(zip(part, self.lattice.best(part)))
 
     def alternatives(self, unit: str) -> list:
         got = self.options.get(unit)
@@ -198,18 +307,21 @@ class Encoder:
         """ids, score, and the n best: their scores and what they change in the ids of the best."""
         if not text:
             return np.empty(0, dtype=np.int32), 0.0, [{"score": 0.0, "changes": []}]
-        units = self.finder(SPACE + swap(text))
+        return self.encode_units(self.finder(SPACE + swap(text)))
+
+    def encode_many(self, texts: list[str | None]) -> list[tuple | None]:
+        """encode of each text; words that are new are searched together."""
+        every = [self.finder(SPACE + swap(t)) if t else [] for t in texts]
+        self.learn(set().union(*every).difference(self.v.cache))
+        return [None if t is None else self.encode_units(u) if t else self.encode("") for t, u in zip(texts, every)]
+
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, float, list[dict]]:
         cache, v = self.v.cache, self.v
-        got = []
-        for u in units:
-            x = cache.get(u)
-            if x is None:
-                x = best_of_unit(u, v)
-                if len(u) <= 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[u] = x
-            got.append(x)
+        try:
+            got = [cache[u] for u in units]
+        except KeyError:
+            self.learn(set(units).difference(cache))
+            got = [cache[u] for u in units]
         ids = np.frombuffer(b"".join([x[0] for x in got]), dtype=np.int32)
         score = float(sum([x[1] for x in got]))
         if self.n < 2:
@@ -243,7 +355,7 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, n: int = NBEST, text:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                rows = [None if t is None else encoder.encode(t) for t in part.column(text).to_pylist()]
+                rows = encoder.encode_many(part.column(text).to_pylist())
                 ids = [r[0] if r else np.empty(0, dtype=np.int32) for r in rows]
                 bounds = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 null = np.array([r is None for r in rows], dtype=bool)

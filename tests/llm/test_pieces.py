@@ -85,3 +85,16 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     v = small()
     assert decode_tokens(encode_texts(docs, v), v).count() == 0
+
+
+def test_array_pass_equals_word_by_word():
+    v, rng = load_vocabulary(), random.Random(3)
+    words = ["".join(rng.choice("etaoinshrd▁é日x.,") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    from stagelight.llm.pieces import Lattice, best_of_unit
+
+    lattice = Lattice(v)
+    for size in range(1, 13):
+        some = [w for w in words if len(w) == size]
+        for w, got in zip(some, lattice.best(some)):
+            want = best_of_unit(w, v)
+            assert got[0] == want[0] and np.allclose(got[1:], want[1:]), w

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stagelight.functions.text import SPACE, normalise_space, search_text, slugify
 
 #: Characters that decorate names, and texts that stand for no artist.
-DECORATION = "`\"'“”‘’•·●▪▫◆◇★☆*~_=|:;,./\\\\-"
+DECORATION = "`\"'“”‘’•·●▪▫◆◇★☆*~_=|:;,./\\\\\\-"
 PLACEHOLDER = (
     "(?i)^(?:competition\\s+winners?\\s*(?:tba|tbc|to be announced)?"
     "|(?:(?:local|more|additional|specials?)\\s+)*(?:guests?|supports?|support acts?|acts?|artists?)\\s*(?:to be announced|tba|tbc)?"

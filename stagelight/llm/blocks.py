@@ -1,7 +1,7 @@
 """Vectorised work on the bytes of Arrow string columns: words, unit hashes, rolling hashes, sliding minima.
 
 All functions take whole texts; a block is a run of texts from one Arrow batch, cut so that the work arrays of
-a block stay a few tens of MB. Hashes are polynomials modulo 2^64 over random unit values, finished by a mixer.
+a block stay at a few MB each. Hashes are polynomials modulo 2^64 over random unit values, finished by a mixer.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 U64 = np.uint64
 
 #: Fixed odd bases of the polynomials and their inverses modulo 2^64.

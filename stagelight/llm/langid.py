@@ -189,21 +189,22 @@ def identify(docs: DataFrame, is_training, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model | None = shared.value
         for batch in batches:
-            column = batch.column(text)
-            texts = ["" if t is None else t for t in column.to_pylist()]
-            known = np.array([m is not None and has_letter(t) for t in texts], dtype=bool)
-            best, score = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
-            todo = np.flatnonzero(known)
-            size = np.cumsum([len(texts[i]) for i in todo]) if len(todo) else []
-            a = 0
-            while a < len(todo):  # blocks of about 300,000 characters
-                b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + 300_000, side="right")))
-                p = m.probabilities([texts[i] for i in todo[a:b]])
-                best[todo[a:b]], score[todo[a:b]] = p.argmax(axis=1), p.max(axis=1)
-                a = b
-            names = [m.languages[best[i]] if known[i] else UNKNOWN for i in range(len(texts))]
-            reject = ~known | (score < (m.threshold if m else 1.0))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(reject)], [*keep, "lang_pred", "score", "rejected"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                texts = ["" if t is None else t for t in part.column(text).to_pylist()]
+                known = np.array([m is not None and has_letter(t) for t in texts], dtype=bool)
+                best, score = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
+                todo = np.flatnonzero(known)
+                size = np.cumsum([len(texts[i]) for i in todo]) if len(todo) else []
+                a = 0
+                while a < len(todo):  # blocks of about 60,000 characters
+                    b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + 60_000, side="right")))
+                    p = m.probabilities([texts[i] for i in todo[a:b]])
+                    best[todo[a:b]], score[todo[a:b]] = p.argmax(axis=1), p.max(axis=1)
+                    a = b
+                names = [m.languages[best[i]] if known[i] else UNKNOWN for i in range(len(texts))]
+                reject = ~known | (score < (m.threshold if m else 1.0))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(reject)], [*keep, "lang_pred", "score", "rejected"])
 
     return docs.select(*keep).mapInArrow(run, fields)
 

@@ -145,8 +145,8 @@ def _nearest(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         """pool: index of the first block's rows in front of this block's, or none."""
         n = len(cls)
         parts = []
-        for a in range(0, n, 128):
-            est = estimate(sig[a : a + 128, None, :], sig[None, :, :])
+        for a in range(0, n, 32):
+            est = estimate(sig[a : a + 32, None, :], sig[None, :, :])
             est[np.arange(len(est)), np.arange(a, a + len(est))] = -1
             i, j = np.nonzero(est >= LEAST_ESTIMATE)
             if len(i):

@@ -27,9 +27,15 @@ def clean_name(name: Column) -> Column:
 
 
 def distinct_by(items: Column, key) -> Column:
-    """Items whose key none before has, in order."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    """Texts whose key none before has, in order."""
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("keys"), none.alias("items"))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = F.struct(F.concat(acc["keys"], F.array(key(x))).alias("keys"), F.concat(acc["items"], F.array(x)).alias("items"))
+        return F.when(F.array_contains(acc["keys"], key(x)), acc).otherwise(new)
+
+    return F.aggregate(items, start, step, lambda acc: acc["items"])
 
 
 def normalise_names(names: Column) -> Column:

@@ -138,17 +138,28 @@ def compatible_keys(left: Column, right: Column) -> Column:
     return (left != "") & (right != "") & ((left == right) | same_words | ((common == small) & (common >= 3) & (large - small <= 2)))
 
 
-def _no_apostrophes(value: Column) -> Column:
-    return F.regexp_replace(value, "['’]", "")
+def _venue(text: str) -> str:
+    clean = " ".join(_decode(text).split())
+    return VENUE_NAMES.get(_slug(re.sub("['’]", "", clean)), clean)
+
+
+@F.pandas_udf(StringType())
+def _venue_name_udf(values: pd.Series) -> pd.Series:
+    return values.map(_venue, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def _venue_slug_udf(values: pd.Series) -> pd.Series:
+    return values.map(lambda x: _slug(re.sub("['’]", "", _venue(x))), na_action="ignore")
 
 
 def venue_name(value: Column) -> Column:
-    clean = normalise_space(value)
-    return F.coalesce(lookup(VENUE_NAMES, slugify(_no_apostrophes(clean))), clean)
+    """The clean name, or the one name of a venue with several. A pandas UDF, as its key is a folded slug."""
+    return _venue_name_udf(value)
 
 
 def venue_slug(value: Column) -> Column:
-    return slugify(_no_apostrophes(venue_name(value)))
+    return _venue_slug_udf(value)
 
 
 def venue_suburb(venue: Column, suburb: Column) -> Column:

@@ -9,7 +9,7 @@ from stagelight.llm.common import Scratch
 from stagelight.llm.langid import identify
 from stagelight.llm.minhash import drop_near_duplicates
 from stagelight.llm.mixing import SEED, WEIGHTS, mix_sources
-from stagelight.llm.pieces import decode_tokens, encode_texts, load_vocabulary
+from stagelight.llm.pieces import encode_texts, load_vocabulary
 from stagelight.llm.pii import QUERY_KEY, pseudonymise
 
 
@@ -37,8 +37,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, the N best segmentations, and a digest of the text that the ids decode to."""
     vocabulary = load_vocabulary()
-    out = decode_tokens(encode_texts(docs.select("doc_id", "source", "text"), vocabulary), vocabulary)
-    return out.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "score", "nbest", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    out = encode_texts(docs.select("doc_id", "source", "text"), vocabulary, digest="decoded_sha256")
+    return out.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "score", "nbest", "decoded_sha256")
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("pii", pii), ("mixing", mixing), ("encoding", encoding)]

@@ -10,6 +10,7 @@ words' own alternatives as its steps.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -28,8 +29,8 @@ NBEST = 4
 SPACE = "▁"
 #: An uncovered character costs this more than the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Words kept by a Python worker in each of two generations, about 50 MB each.
-CACHE = 150_000
+#: Words kept by a Python worker in each of two generations, about 35 MB each.
+CACHE = 100_000
 #: Words up to this length are searched together, in arrays.
 LONGEST_WORD = 40
 INFINITE = float("inf")
@@ -243,14 +244,19 @@ class Lattice:
             second = np.full(n, -INFINITE)
             for i in range(max(0, j - longest), j):
                 got = self.find(pre[j] - pre[i] * power[j - i])
-                f = np.where(got >= 0, top[i] + self.scores[got], -INFINITE)
                 if i == j - 1:
-                    f = np.where(got >= 0, f, top[i] + self.v.unknown)
-                better = f > top[j]
-                second = np.where(better, top[j], np.maximum(second, f))
-                top[j] = np.where(better, f, top[j])
-                back[j] = np.where(better, i, back[j])
-                piece[j] = np.where(better, got, piece[j])
+                    at, f = rows, np.where(got >= 0, top[i] + self.scores[got], top[i] + self.v.unknown)
+                else:  # most spans are no piece
+                    at = np.flatnonzero(got >= 0)
+                    if not len(at):
+                        continue
+                    got = got[at]
+                    f = top[i][at] + self.scores[got]
+                old = top[j][at]
+                better = f > old
+                second[at] = np.where(better, old, np.maximum(second[at], f))
+                at, f, got = at[better], f[better], got[better]
+                top[j][at], back[j][at], piece[j][at] = f, i, got
             loss[j] = np.minimum(loss[back[j], rows], top[j] - second)
         # ways back, all words a step at a time
         at, steps = np.full(n, size), []
@@ -322,36 +328,51 @@ class Encoder:
         except KeyError:
             self.learn(set(units).difference(cache))
             got = [cache[u] for u in units]
-        ids = np.frombuffer(b"".join([x[0] for x in got]), dtype=np.int32)
-        score = float(sum([x[1] for x in got]))
+        parts, scores, losses = zip(*got)
+        ids, score = np.frombuffer(b"".join(parts), dtype=np.int32), float(sum(scores))
         if self.n < 2:
             return ids, score, []
-        ways = nbest_of_chain(units, np.array([x[2] for x in got]), self.n, v, self.alternatives)
-        place = np.cumsum([0, *(len(x[0]) // 4 for x in got)]) if len(ways) > 1 else None
+        ways = nbest_of_chain(units, np.array(losses), self.n, v, self.alternatives)
+        place = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4)]) if len(ways) > 1 else None
         out = []
         for loss, changes in ways:
-            parts = [{"token_start": int(place[i]), "n_tokens": len(got[i][0]) // 4, "ids": self.alternatives(units[i])[r][1].tolist()} for i, r in changes]
-            out.append({"score": score - loss, "changes": parts})
+            other = [{"token_start": int(place[i]), "n_tokens": len(parts[i]) // 4, "ids": self.alternatives(units[i])[r][1].tolist()} for i, r in changes]
+            out.append({"score": score - loss, "changes": other})
         return ids, score, out
 
 
-def encode_texts(docs: DataFrame, vocabulary: Vocabulary, n: int = NBEST, text: str = "text") -> DataFrame:
+class Decoder:
+    """The text that ids spell, without the space that encoding puts before it."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.size = np.array([len(x) for x in vocabulary.surface], dtype=np.int64)
+        self.raw = np.frombuffer(b"".join(vocabulary.surface), dtype=np.uint8)
+        self.start = np.cumsum(self.size) - self.size
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        data = self.raw[B.runs(self.start[ids], self.size[ids])].tobytes() if len(ids) else b""
+        return data[1:] if data[:1] == b" " else data
+
+
+def encode_texts(docs: DataFrame, vocabulary: Vocabulary, n: int = NBEST, text: str = "text", digest: str | None = None) -> DataFrame:
     """docs without `text`, with RESULT; existing columns of these names are replaced.
 
     token_ids: the best segmentation of the whole text, with a space put before it; characters in no piece become
     their UTF-8 bytes. nbest: the n best, best first (fewer if there are no more): the score and the runs of
-    token_ids, by place and length, that other ids replace. A null text gives nulls, an empty one no ids.
+    token_ids, by place and length, that other ids replace. A null text gives nulls, an empty one no ids. With
+    `digest`, a column of that name has the SHA-256 of the bytes that the ids decode to, from the same pass.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    names = [x.split()[0] for x in ("token_ids", "score", "nbest")]
+    names = ["token_ids", "score", "nbest", *([digest] if digest else [])]
     keep = [c for c in docs.columns if c != text and c not in names]
+    result = RESULT + (f", {digest} string" if digest else "")
     fields = docs.select(*keep).schema
-    fields = type(fields)([*fields, *docs.sparkSession.createDataFrame([], RESULT).schema])
+    fields = type(fields)([*fields, *docs.sparkSession.createDataFrame([], result).schema])
     change = pa.struct([("token_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
     kinds = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(change))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, n)
+        encoder, decoder = Encoder(shared.value, n), Decoder(shared.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
@@ -360,34 +381,27 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, n: int = NBEST, text:
                 bounds = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 null = np.array([r is None for r in rows], dtype=bool)
                 column = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids) if ids else np.empty(0, dtype=np.int32)), mask=pa.array(null))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), column, pa.array([r[1] if r else None for r in rows], pa.float64()), pa.array([r[2] if r else None for r in rows], kinds)], [*keep, *names])
+                out = [column, pa.array([r[1] if r else None for r in rows], pa.float64()), pa.array([r[2] if r else None for r in rows], kinds)]
+                if digest:
+                    out.append(pa.array([hashlib.sha256(decoder.decode(r[0])).hexdigest() if r else None for r in rows], pa.string()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *out], [*keep, *names])
 
     return docs.select(*keep, text).mapInArrow(run, fields)
 
 
 def decode_tokens(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "token_ids", out: str = "text") -> DataFrame:
     """encoded with `out`: the text that the ids spell, without the space before it. Exact for what encode_texts gives."""
-    sizes = np.array([len(x) for x in vocabulary.surface], dtype=np.int64)
-    flat = np.frombuffer(b"".join(vocabulary.surface), dtype=np.uint8)
-    starts = np.cumsum(sizes) - sizes
-    shared = encoded.sparkSession.sparkContext.broadcast((sizes, flat, starts))
+    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
     keep = [c for c in encoded.columns if c != out]
     fields = encoded.select(*keep).schema
     fields = type(fields)([*fields]).add(out, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, raw, start = shared.value
+        decoder = Decoder(shared.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                texts = []
-                for x in part.column(ids):
-                    if not x.is_valid:
-                        texts.append(None)
-                        continue
-                    t = x.values.to_numpy(zero_copy_only=False)
-                    data = raw[B.runs(start[t], size[t])].tobytes() if len(t) else b""
-                    texts.append((data[1:] if data[:1] == b" " else data).decode("utf-8", "replace"))
+                texts = [decoder.decode(x.values.to_numpy(zero_copy_only=False)).decode("utf-8", "replace") if x.is_valid else None for x in part.column(ids)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, out])
 
     return encoded.mapInArrow(run, fields)
@@ -396,8 +410,8 @@ def decode_tokens(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "token_
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     vocabulary = load_vocabulary()
-    out = decode_tokens(encode_texts(docs, vocabulary), vocabulary)
-    return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "score", "nbest", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    out = encode_texts(docs, vocabulary, digest="decoded_sha256")
+    return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "score", "nbest", "decoded_sha256")
 
 
 QUERIES = {"op3_sentencepiece": op3_sentencepiece}

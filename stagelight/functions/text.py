@@ -81,6 +81,12 @@ def decode_entities(value: Column) -> Column:
     return F.when(value.contains("&"), _decode_udf(F.when(value.contains("&"), value))).otherwise(value)
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value worked out once: expressions that name it often, one inside another, would repeat it each time.
+    f has no Python function in it; value may."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def collapse(value: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(value, f"{SPACE}+", " "))

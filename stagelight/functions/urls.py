@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stagelight.functions.text import collapse
+from stagelight.functions.text import collapse, let
 
 EARTH_KM = 6371.0
 #: Sellers by host.
@@ -31,7 +31,10 @@ def within_km(lat: Column, lng: Column, centre: tuple[float, float], km: float)
 def absolute_http(value: Column) -> Column:
     """An absolute http(s) URL without credentials, with a lower-case scheme and host, no default port, and at least
     the path `/`; else null."""
-    text = F.trim(value)
+    return let(F.trim(value), _absolute)
+
+
+def _absolute(text: Column) -> Column:
     scheme = F.lower(F.regexp_extract(text, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     authority = F.regexp_extract(text, "^[A-Za-z]+://([^/?#]*)", 1)
     rest = F.regexp_extract(text, "^[A-Za-z]+://[^/?#]*(.*)$", 1)
@@ -55,6 +58,10 @@ def query_value(url: Column, name: str) -> Column:
 
 def drop_params(url: Column, pattern: str) -> Column:
     """url without the query parameters whose names match."""
+    return let(url, lambda u: _without_params(u, pattern))
+
+
+def _without_params(url: Column, pattern: str) -> Column:
     base, fragment = F.regexp_extract(url, "^[^?#]*", 0), F.regexp_extract(url, "#.*$", 0)
     query = F.regexp_extract(url, "\\?([^#]*)", 1)
     kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(f"^(?:{pattern})(?:=|$)")), "&")
@@ -63,7 +70,10 @@ def drop_params(url: Column, pattern: str) -> Column:
 
 def clean_url(value: Column) -> Column:
     """With a scheme, without utm parameters; null if blank."""
-    text = collapse(value)
+    return let(collapse(value), _clean)
+
+
+def _clean(text: Column) -> Column:
     full = F.when(text.startswith("//"), F.concat(F.lit("https:"), text)).when(text.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), text).otherwise(F.concat(F.lit("https://"), text))
     return F.when(F.coalesce(text, F.lit("")) != "", absolute_http(drop_params(full, "utm_[A-Za-z_]*")))
 

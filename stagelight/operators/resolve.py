@@ -210,7 +210,7 @@ def resolve_source(t: Tables, source_id: str, listings: DataFrame, now: datetime
     outcomes: listing_id, outcome (inserted, updated or failed), changed, gig_id, source_gig_id, error. A slug that
     another gig has is a failed listing. Rows outside the touched components pass through unchanged.
     """
-    venues = merge_venues(t, listings, now)
+    venues = merge_venues(t, listings, now).checkpoint()
     x = prepare(listings).join(venues.select(F.col("slug").alias("_slug"), F.col("id").alias("_venue")), F.col("venue.slug") == F.col("_slug"), "left").withColumn("venue_id", F.coalesce("_venue", "venue_id")).drop("_slug", "_venue", "venue").checkpoint()
     block = F.concat_ws("|", F.lit("b"), "venue_id", "day")
     gigs = t["gigs"].withColumn("day", day_key(F.col("starts_at"))).withColumn("title_slug", slugify(F.col("title"))).withColumn("canonical", canonical_title(F.col("title"))).withColumn("block", block)
@@ -222,7 +222,7 @@ def resolve_source(t: Tables, source_id: str, listings: DataFrame, now: datetime
     slug_node = lambda c: F.concat(F.lit("s|"), c)
     to_slug = x.select(F.col("block").alias("a"), slug_node(F.col("gig_slug")).alias("b"))
     from_slug = gigs.join(x.select(F.col("gig_slug").alias("slug")), "slug", "left_semi").select(F.col("block").alias("a"), slug_node(F.col("slug")).alias("b"))
-    root = labels(to_attached.unionByName(to_slug).unionByName(from_slug)).select(F.col("node").alias("block"), "root")
+    root = labels(to_attached.unionByName(to_slug).unionByName(from_slug)).select(F.col("node").alias("block"), "root").checkpoint()
     x = x.join(root, "block")
     touched = gigs.join(root, "block").checkpoint()
     lineage = t["source_gigs"].join(touched.select(F.col("id").alias("gig_id"), "root"), "gig_id").checkpoint()
@@ -237,8 +237,8 @@ def resolve_source(t: Tables, source_id: str, listings: DataFrame, now: datetime
     outcomes = out.where("kind = 'outcome'").select(F.col("key").alias("listing_id"), F.from_json("payload", "outcome string, changed boolean, gig_id string, source_gig_id string, error string").alias("p")).select("listing_id", "p.*")
     tables = dict(t) | {
         "venues": venues,
-        "gigs": t["gigs"].join(touched.select("id"), "id", "left_anti").unionByName(new_gigs.select(*t["gigs"].columns)),
-        "source_gigs": t["source_gigs"].join(lineage.select("id"), "id", "left_anti").unionByName(new_rows.select(*t["source_gigs"].columns)),
+        "gigs": t["gigs"].join(touched.select("id"), "id", "left_anti").unionByName(new_gigs.select(*t["gigs"].columns)).checkpoint(),
+        "source_gigs": t["source_gigs"].join(lineage.select("id"), "id", "left_anti").unionByName(new_rows.select(*t["source_gigs"].columns)).checkpoint(),
     }
     return tables, outcomes
 

@@ -1,7 +1,10 @@
 """Format-preserving Feistel pseudonyms for personal data (operator 10). DataFrame functions only.
 
-A regular expression finds candidates; each is validated (Luhn digits of cards, octets of addresses, calendar dates,
-mod-97 digits of IBANs) and then permuted, by a keyed Feistel network, among the values of its own format:
+Values are cut out in passes, and what a pass leaves, failed candidates too, is whole text for the next: access keys,
+secrets, e-mail and IPv4 addresses; IBANs and cards in their usual grouping, tried at each place where one can begin;
+cards of other even groupings; dates, SSNs and phones; cards in any other grouping. IBANs (mod-97 digits, length of the
+country), cards (Luhn digit), addresses (octets) and dates (calendar) are validated. A keyed Feistel network then
+permutes each value among the values of its own format:
 
 - digit and letter strings: the halves are added, character by character in each one's own alphabet, to digests of
   the other half, so length, case, separators and the class of each character stay;
@@ -35,7 +38,32 @@ PATTERNS = {
 }
 ANY = "|".join(PATTERNS.values())
 #: No candidate is without one of these.
-HINT = r"[0-9@]|(?i:pass|pwd|secret|token|key)"
+HINT = r"[0-9@]|AKIA|ASIA|(?i:pass|pwd|secret|token|key)"
+#: Cut out first, and after IBANs and cards in their usual grouping.
+FIRST, LATER = ("|".join(PATTERNS[k] for k in kinds) for kinds in (("credential", "secret", "email", "ip"), ("date", "ssn", "phone")))
+
+#: Countries by the length of their IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(length: int) -> str:
+    fours, rest = divmod(length - 4, 4)
+    return rf"(?:{IBAN_LENGTHS[length].replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+#: Zero-width: where an IBAN or a card can begin.
+IBAN_HEAD, CARD_HEAD = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4})", r"(?<![0-9+])(?=[0-9](?:[ -]?[0-9]){12})"
+#: What is tried at such a place, in order. An IBAN of its country's length doesn't take the next word.
+IBANS = [f"^(?:{'|'.join(map(_iban_of, IBAN_LENGTHS))})(?![A-Za-z0-9])", f"^{PATTERNS['iban'].removeprefix('(?<![A-Za-z0-9])')}"]
+USUAL_CARDS = [r"^[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])", r"^[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}\1[0-9]{3}(?![0-9])", r"^[0-9]{4}([ -])[0-9]{6}\1[0-9]{4,5}(?![0-9])", r"^[0-9]{13,19}(?![0-9])"]
+#: All numbers of a row: first those with one separator throughout.
+EVEN_CARDS = [r"^(?=[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9]))[0-9]{1,6}([ -])[0-9]{1,6}(?:\1[0-9]{1,6})*(?![ -]?[0-9])"]
+OTHER_CARDS = [r"^[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])", *(rf"^(?=[0-9]{{4,}}(?:[ -][0-9]{{4,}})*(?:[^0-9]|$))[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])" for n in (16, 15, 14, 19, 18, 17, 13))]
+#: The longest value: a card of 19 digits or an IBAN of 34 characters with separators, and the character after it.
+REACH = 48
 
 #: Days 1900-01-01 to 2200-08-14: the product of the two moduli of the dates' network.
 DATE_MODULI = (300, 366)
@@ -105,12 +133,35 @@ def refill(template: Column, chars: Column, pattern: str) -> Column:
     return F.array_join(F.zip_with(gaps, F.split(chars, ""), lambda g, c: F.concat(F.coalesce(g, F.lit("")), F.coalesce(c, F.lit("")))), "")
 
 
-def pseudonym(found: Column, key: str) -> Column:
-    """The pseudonym of one candidate; a candidate that isn't valid stays as it is."""
-    is_a = lambda kind: found.rlike(f"^(?:{PATTERNS[kind].replace('(?<', '(?<')})$")
+def card_pseudonym(found: Column, key: str) -> Column:
     digits = digits_of(found)
     card = permute_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
     card = F.concat(card, ((10 - luhn_sum(card, True) % 10) % 10).cast("string"))
+    return refill(found, card, "[0-9]")
+
+
+def iban_pseudonym(found: Column, key: str) -> Column:
+    """Country and separators stay, account characters are permuted, check digits are computed again."""
+    compact = F.regexp_replace(found, " ", "")
+    account = permute_text(F.substring(compact, F.lit(5), F.length(compact)), key, "iban")
+    country = F.substring(compact, 1, 2)
+    check = F.lpad((98 - mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+    return refill(found, F.concat(country, check, account), "[A-Za-z0-9]")
+
+
+def is_card(found: Column) -> Column:
+    return luhn_sum(digits_of(found), False) % 10 == 0
+
+
+def is_iban(found: Column) -> Column:
+    compact = F.regexp_replace(found, " ", "")
+    return mod97(F.concat(F.substring(compact, F.lit(5), F.length(compact)), F.substring(compact, 1, 4))) == 1
+
+
+def pseudonym(found: Column, key: str) -> Column:
+    """The pseudonym of one match of FIRST or LATER; a date that isn't valid stays as it is."""
+    is_a = lambda kind: found.rlike(f"^(?:{PATTERNS[kind].replace('(?<', '(?<')})$")
+    digits = digits_of(found)
     octets = F.split(found, r"\.")
     ip = sum(((F.try_element_at(octets, F.lit(i + 1)).try_cast("long") * 256 ** (3 - i)) for i in range(4)), F.lit(0))
     ip = permute_number(ip, key, "ip", 65536, 65536)
@@ -123,12 +174,6 @@ def pseudonym(found: Column, key: str) -> Column:
     valid_day = at.between(0, DATE_MODULI[0] * DATE_MODULI[1] - 1)
     new_day = F.date_add(first, permute_number(at, key, "date", *DATE_MODULI).cast("int"))
     date = F.when(year_first, F.date_format(new_day, "yyyy-MM-dd")).when(found.contains("/"), F.date_format(new_day, "dd/MM/yyyy")).otherwise(F.date_format(new_day, "dd.MM.yyyy"))
-    # IBAN: country and separators stay, account characters are permuted, check digits are computed again
-    compact = F.regexp_replace(found, " ", "")
-    account = permute_text(F.substring(compact, F.lit(5), F.length(compact)), key, "iban")
-    country = F.substring(compact, 1, 2)
-    check = F.lpad((98 - mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
-    iban = refill(found, F.concat(country, check, account), "[A-Za-z0-9]")
     head = F.regexp_extract(found, r"^(?i:(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?)", 0)
     secret = F.concat(head, permute_text(F.substring(found, F.length(head) + 1, F.length(found)), key, "secret"))
     local = F.substring_index(found, "@", 1)
@@ -142,9 +187,7 @@ def pseudonym(found: Column, key: str) -> Column:
         .when(found.contains("@"), email)
         .when(is_a("ip"), ip)
         .when(is_a("date"), F.when(valid_day, date).otherwise(found))
-        .when(is_a("iban"), F.when(mod97(F.concat(F.substring(compact, F.lit(5), F.length(compact)), F.substring(compact, 1, 4))) == 1, iban).otherwise(found))
         .when(is_a("ssn"), refill(found, permute_text(digits, key, "ssn"), "[0-9]"))
-        .when(is_a("card") & (luhn_sum(digits, False) % 10 == 0), refill(found, card, "[0-9]"))
         .when(is_a("phone"), phone)
         .otherwise(found)
     )
@@ -160,6 +203,50 @@ def mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), step)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _piece(text: Column, kind: str | None) -> Column:
+    return F.struct(F.coalesce(text, F.lit("")).alias("text"), F.lit(kind).cast("string").alias("kind"))
+
+
+def _on_text(pieces: Column, pattern: str, use) -> Column:
+    """Pieces with use(text) in place of those that are no value yet and that the pattern finds."""
+    return F.flatten(F.transform(pieces, lambda p: F.when(p["kind"].isNull() & p["text"].rlike(pattern), use(p["text"])).otherwise(F.array(p))))
+
+
+def _matches(pieces: Column, pattern: str) -> Column:
+    """Cuts out all matches of the pattern."""
+    found = lambda t: F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(0))
+    return _on_text(pieces, pattern, lambda t: F.flatten(F.zip_with(F.split(t, pattern), found(t), lambda gap, m: F.array(_piece(gap, None), _piece(m, "match")))))
+
+
+def _scanned(pieces: Column, head: str, options: list[str], kind: str, valid, row: bool = False) -> Column:
+    """Cuts out the valid values of the kind.
+
+    At each place that head finds, the options are tried in order; the first valid one is cut out and the search goes
+    on behind it, else at the next place. row: only where no number of the same row stands before.
+    """
+
+    def choice(parts: Column, i: Column) -> Column:
+        try_all = lambda w: F.coalesce(*(_let(F.regexp_extract(w, o, 0), lambda m: F.when((m != "") & valid(m), m)) for o in options))
+        first = _let(F.substring(F.array_join(F.slice(parts, i + 1, F.lit(REACH)), ""), 1, REACH), try_all)
+        return F.when((i > 0) & F.get(parts, i - 1).rlike("[0-9][ -]$"), None).otherwise(first) if row else first
+
+    def step(acc: Column, x: Column) -> Column:
+        taken = F.when(acc["skip"] == 0, x["found"])
+        skip = F.coalesce(F.length(taken), acc["skip"])
+        over, rest = F.greatest(skip - F.length(x["part"]), F.lit(0)), F.substring(x["part"], skip + 1, F.length(x["part"]))
+        new = F.struct(over.alias("skip"), rest.alias("last"), F.concat(acc["out"], F.array(_piece(acc["last"], None), _piece(taken, kind))).alias("out"))
+        return F.when(taken.isNotNull(), new).otherwise(F.struct(over.alias("skip"), F.concat(acc["last"], rest).alias("last"), acc["out"].alias("out")))
+
+    start = F.struct(F.lit(0).alias("skip"), F.lit("").alias("last"), F.array().cast("array<struct<text:string,kind:string>>").alias("out"))
+    places = lambda parts: F.transform(parts, lambda p, i: F.struct(p.alias("part"), choice(parts, i).alias("found")))
+    return _on_text(pieces, head, lambda t: F.aggregate(_let(F.split(t, head), places), start, step, lambda acc: F.concat(acc["out"], F.array(_piece(acc["last"], None)))))
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with the personal data in `text` replaced; all other columns and all other text stay.
 
@@ -170,9 +257,17 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     any length are read; a text without a digit, `@` or keyword is passed on unchanged. No shuffle.
     """
     t = F.col(text)
-    changed = F.transform(F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(0)), lambda m: pseudonym(m, key))
-    pieces = F.zip_with(F.split(t, ANY), changed, lambda gap, m: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(m, F.lit(""))))
-    return docs.withColumn(text, F.when(t.rlike(HINT), F.array_join(pieces, "")).otherwise(t))
+    pieces = _matches(F.array(_piece(t, None)), FIRST)
+    for options in (IBANS[:1], IBANS[1:]):
+        pieces = _scanned(pieces, IBAN_HEAD, options, "iban", is_iban)
+    pieces = _scanned(pieces, CARD_HEAD, USUAL_CARDS, "card", is_card)
+    pieces = _scanned(pieces, CARD_HEAD, EVEN_CARDS, "card", is_card, row=True)
+    pieces = _matches(pieces, LATER)
+    pieces = _scanned(pieces, CARD_HEAD, OTHER_CARDS[:1], "card", is_card, row=True)
+    pieces = _scanned(pieces, CARD_HEAD, OTHER_CARDS[1:], "card", is_card)
+    x = lambda p: p["text"]
+    new = lambda p: F.when(p["kind"].isNull(), x(p)).when(p["kind"] == "card", card_pseudonym(x(p), key)).when(p["kind"] == "iban", iban_pseudonym(x(p), key)).otherwise(pseudonym(x(p), key))
+    return docs.withColumn(text, F.when(t.rlike(HINT), F.array_join(F.transform(pieces, new), "")).otherwise(t))
 
 
 #: The query's key. A production run passes its own.

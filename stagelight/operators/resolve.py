@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stagelight.functions.artists import kind_rank, normalise_names
+from stagelight.functions.artists import kind_rank, normalise_names, preferred_name
 from stagelight.functions.dates import day_key, literal
 from stagelight.functions.text import STOP_WORDS, canonical_title, gig_slug, slugify
 
@@ -268,6 +268,21 @@ def canonical_artists(t: Tables) -> DataFrame:
     return rows.groupBy("gig_id").agg(F.max_by("names", rank).alias("artist_names"))
 
 
+def upsert_artists(artists: DataFrame, items: DataFrame) -> DataFrame:
+    """artists with the names of items (slug, name, gig_id, sort_order): preferred_name folded over the stored name and
+    the items in order. Only capitals can yield to a name before them, so the fold needs no more than the last item
+    and the last one not in capitals."""
+    from stagelight.operators.merging import upsert
+
+    name, at = F.col("name"), F.struct("gig_id", "sort_order")
+    capitals = (name == F.upper(name)) & (name != F.lower(name))
+    new = items.where("slug != ''").groupBy("slug").agg(F.max_by("name", at).alias("last"), F.max_by(F.when(~capitals, name), F.when(~capitals, at)).alias("plain"))
+    new = new.select("slug", stable_id(F.lit("artist"), F.col("slug")).alias("id"), "last", "plain")
+    plain, last = F.col("new.plain"), F.col("new.last")
+    folded = F.when(plain.isNull(), preferred_name(F.col("old.name"), last)).otherwise(preferred_name(plain, last))
+    return upsert(artists, new, ["slug"], {"id": F.coalesce("old.id", "new.id"), "name": folded})
+
+
 def sync_artists(t: Tables) -> tuple[dict[str, DataFrame], DataFrame]:
     """(new tables, plan): artists and gig_artists as canonical_artists asks; plan has the gigs whose list changes."""
     want = canonical_artists(t)
@@ -280,8 +295,7 @@ def sync_artists(t: Tables) -> tuple[dict[str, DataFrame], DataFrame]:
     none = F.array().cast("array<string>")
     plan = gigs.join(slugs, "gig_id", "left").join(have, "gig_id", "left").select("gig_id", F.coalesce("want", none).alias("want"), F.coalesce("have", none).alias("have")).where("want != have").checkpoint()
     todo = items.join(plan.select("gig_id"), "gig_id", "left_semi")
-    new = todo.groupBy("slug").agg(F.min_by("name", F.struct("gig_id", "sort_order")).alias("name")).join(t["artists"], "slug", "left_anti").select(stable_id(F.lit("artist"), F.col("slug")).alias("id"), "slug", "name")
-    artists = t["artists"].unionByName(new.select(*t["artists"].columns))
+    artists = upsert_artists(t["artists"], todo).checkpoint()
     links = todo.join(artists.select(F.col("id").alias("artist_id"), "slug"), "slug").select("gig_id", "artist_id", F.col("sort_order").cast("int").alias("sort_order"))
     kept = t["gig_artists"].join(plan.select("gig_id"), "gig_id", "left_anti")
     return dict(t) | {"artists": artists, "gig_artists": kept.unionByName(links.select(*t["gig_artists"].columns))}, plan

@@ -103,3 +103,18 @@ def test_reattachment_deletes_a_lone_gig(spark):
 def test_status_of_a_run(spark):
     status = lambda *o: run_status(spark.createDataFrame([(x,) for x in o], "outcome string")).first().status
     assert (status("inserted"), status("inserted", "failed"), status("failed"), status()) == ("success", "partial", "failed", "success")
+
+
+def test_artist_spellings(spark):
+    """Stored and planned names are folded in order: capitals yield to mixed case, else the later name wins."""
+    from stagelight.operators.resolve import sync_artists
+
+    lists = {"a": ["THE ONE", "THE TWO", "Three", "Four", "the five", "SIX"], "b": ["The One", "THE TWO", "THREE", "FoUr", "THE FIVE"]}
+    t = tables(spark)
+    t["gigs"] = spark.createDataFrame([(g,) for g in lists], "id string")
+    t["source_gigs"] = spark.createDataFrame([(g, g, "lo", names, "structured", NOW) for g, names in lists.items()], "id string, gig_id string, source_id string, artist_names array<string>, artist_extraction_kind string, last_seen_at timestamp")
+    t["artists"] = spark.createDataFrame([("1", "the-one", "THE ONE"), ("2", "the-two", "The Two"), ("3", "six", "six"), ("4", "other", "OTHER")], "id string, slug string, name string")
+    new, plan = sync_artists(t)
+    assert {r.slug: r.name for r in new["artists"].collect()} == {"the-one": "The One", "the-two": "The Two", "three": "Three", "four": "FoUr", "the-five": "THE FIVE", "six": "SIX", "other": "OTHER"}
+    assert {r.id for r in new["artists"].where("slug in ('the-one', 'the-two', 'six', 'other')").collect()} == {"1", "2", "3", "4"}
+    assert new["gig_artists"].count() == 11 and plan.count() == 2

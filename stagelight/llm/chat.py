@@ -136,8 +136,8 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     the loss takes (an assistant's escaped text). members: conv_id, leaf, path (its nodes, root first).
 
     Turns are ordered by turn, then role and text; null turns come first. Null roles and texts are empty; rows with a
-    null conv_id are one conversation. Conversations with equal turns share all nodes. A conversation streams through
-    one task, as its digests ask for; nothing else depends on the size of a conversation or of a tree. Other columns
+    null conv_id are one conversation. Conversations with equal turns share all nodes. A conversation goes through
+    one task, as its digests ask for, and its path is one array in memory; nothing depends on the size of a tree. Other columns
     are not read.
     """
     scratch = Scratch(conversations.sparkSession, "chat")

@@ -1,12 +1,15 @@
-"""Vectorised work on the bytes of Arrow string columns: words, unit hashes, rolling hashes, sliding minima.
+"""Vectorised work on the bytes of Arrow string columns: words, span hashes, rolling hashes, sliding minima.
 
 All functions take whole texts; a block is a run of texts from one Arrow batch, cut so that the work arrays of
-a block stay at a few MB each. Hashes are polynomials modulo 2^64 over random unit values, finished by a mixer.
+a block stay at a few MB each. Hashes are trees: two neighbours are mixed into one value, which isn't linear in
+either, so that no algebra of the units makes unequal strings meet. Where 64 bits don't do, two hashes of
+different constants are taken.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +18,9 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 1 << 18
 U64 = np.uint64
 
-#: Fixed odd bases of the polynomials and their inverses modulo 2^64.
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
-#: A random value for each byte, one table for each base.
+#: Fixed odd multipliers, a pair for each of the two hashes.
+FACTORS = ((0x9E3779B97F4A7C15, 0xD1342543DE82EF95), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F))
+#: A random value for each byte, one table for each hash.
 BYTE_VALUES = tuple(np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1) for seed in (11, 12))
 #: \x20 and \x09-\x0D end a word; all else, other Unicode spaces included, is part of one.
 SPACE = np.zeros(256, dtype=bool)
@@ -27,21 +29,8 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of a base and of its inverse."""
-    have = _powers.get(which)
-    if have is None or len(have[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        out = []
-        for base in (BASES[which], INVERSES[which]):
-            p = np.full(size, base, dtype=U64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=U64))
-        have = _powers[which] = (out[0], out[1])
-    return have[0][:n], have[1][:n]
+#: Bytes of a span that is hashed in pieces of eight; longer ones go to blake2b.
+SHORT = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -53,29 +42,63 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix(values: np.ndarray, which: int = 0) -> np.ndarray:
-    """P with P[j] - P[i] = sum of values[t] * base^t for t in [i, j)."""
-    p, _ = powers(which, len(values))
-    out = np.empty(len(values) + 1, dtype=U64)
-    out[0] = 0
-    np.cumsum(values * p, out=out[1:])
-    return out
+def join(left: np.ndarray, right: np.ndarray, which: int = 0) -> np.ndarray:
+    """One value for each pair of neighbours."""
+    one, two = FACTORS[which]
+    h = left * U64(one)
+    h ^= h >> U64(32)
+    h += right
+    h *= U64(two)
+    h ^= h >> U64(29)
+    return h
 
 
-def span_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """Mixed hashes of the spans [start, end), wherever they lie."""
-    _, inv = powers(which, len(pre))
-    return mix((pre[end] - pre[start]) * inv[start] + (end - start).astype(U64) * U64(0x632BE59BD9B4E019))
+def rollings(values: np.ndarray, widths: Sequence[int], which: int = 0) -> list[np.ndarray]:
+    """Hashes of each w consecutive values, for some w: from hashes of 1, 2, 4, ... values, as w's binary digits say."""
+    out: list[np.ndarray | None] = [None] * len(widths)
+    done = [0] * len(widths)
+    span, level = 1, values
+    while True:
+        for i, w in enumerate(widths):
+            n = len(values) - w + 1
+            if w & span and n > 0:
+                part = level[done[i] : done[i] + n]
+                out[i] = part if out[i] is None else join(out[i], part, which)
+                done[i] += span
+        if 2 * span > max(widths) or len(level) <= span:
+            break
+        level = join(level[:-span], level[span:], which)
+        span *= 2
+    return [np.empty(0, dtype=U64) if o is None or len(values) < w else mix(o + U64(w)) for o, w in zip(out, widths)]
 
 
 def rolling(values: np.ndarray, w: int, which: int = 0) -> np.ndarray:
-    """Mixed hashes of each w consecutive values."""
-    n = len(values) - w + 1
-    if n <= 0:
-        return np.empty(0, dtype=U64)
-    pre = prefix(values, which)
-    _, inv = powers(which, n)
-    return mix((pre[w:] - pre[:n]) * inv)
+    return rollings(values, [w], which)[0]
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the spans [start, end) of bytes: their length and their bytes, eight at a time, through a state
+    of 128 bits."""
+    size = end - start
+    padded = np.zeros(len(buf) + 8, dtype=np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray(len(buf) + 1, dtype="<u8", buffer=padded.data, strides=(1,))
+    a, b = size.astype(U64) * U64(FACTORS[0][0]), size.astype(U64) * U64(FACTORS[1][0]) + U64(1)
+    at = np.flatnonzero((size > 0) & (size <= SHORT))
+    done = 0
+    while len(at):
+        left = np.minimum(size[at] - done, 8).astype(U64)
+        chunk = eight[start[at] + done] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - U64(8) * left))
+        x = mix(a[at] ^ chunk)
+        b[at] = (b[at] + chunk * U64(FACTORS[1][1])) * U64(FACTORS[0][1]) ^ (x >> U64(17))
+        a[at] = x + (b[at] >> U64(31))
+        done += 8
+        at = at[size[at] > done]
+    raw = buf.data if buf.flags.c_contiguous else buf.tobytes()
+    for i in np.flatnonzero(size > SHORT).tolist():
+        digest = hashlib.blake2b(raw[int(start[i]) : int(end[i])], digest_size=16).digest()
+        a[i], b[i] = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")
+    return mix(a + (b << U64(23))), mix(b ^ a * U64(FACTORS[1][0]))
 
 
 def sliding_min(keys: np.ndarray, m: int) -> np.ndarray:
@@ -139,7 +162,3 @@ def word_spans(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     after[inner - 1] = False
     end = np.flatnonzero(word & ~after) + 1
     return start, end, np.searchsorted(start, bounds)
-
-
-def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    return span_hash(prefix(BYTE_VALUES[which][buf], which), start, end, which)

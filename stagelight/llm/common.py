@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only while its written size is below this many bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 6 << 20
+#: A key is heavy if it may fill more than one in MOST_HEAVY rows, and LEAST_HEAVY rows at least.
+MOST_HEAVY, LEAST_HEAVY = 1000, 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or in local mode one of our own where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
     set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_dir.isDefined():
         return set_dir.get().rstrip("/")
-    own = f"file://{tempfile.mkdtemp(prefix='stagelight-')}"  # only where no cluster names a folder, as in tests
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    own = f"file://{tempfile.mkdtemp(prefix='stagelight-')}"  # one machine, as in tests
     spark.sparkContext.setCheckpointDir(own)
     return own
 
@@ -53,6 +57,13 @@ class Scratch:
         fs, path = self._fs(table)
         fs.delete(path, True)
 
+    def keep_only(self, *tables: str) -> None:
+        """Drops all other written tables; to be called once nothing lazy reads them."""
+        fs, root = self._fs("")
+        for status in fs.listStatus(root):
+            if status.getPath().getName() not in tables:
+                fs.delete(status.getPath(), True)
+
     def small(self, df: DataFrame, table: str) -> DataFrame:
         """df with a broadcast hint if its written table is under BROADCAST_BYTES, else df for a shuffled join."""
         return F.broadcast(df) if self.size(table) <= BROADCAST_BYTES else df
@@ -64,3 +75,23 @@ def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     df has to be a scan or a written table, whose partitions hold the same rows in the same order each time.
     """
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def heavy_keys(rows: DataFrame, column: str) -> list[int]:
+    """Values of a column of longs that may each fill more than one in MOST_HEAVY rows, so MOST_HEAVY values at most.
+
+    A mergeable sketch of frequent items finds them; it misses none above its error, a third of that share. Callers
+    treat heavy keys another way, with the same result for any key, so an estimate is good enough.
+    """
+    n, top = rows.agg(F.count("*"), F.expr(f"approx_top_k({column}, {MOST_HEAVY}, {10 * MOST_HEAVY})")).first()
+    return [x[0] for x in top or [] if x[0] is not None and x[1] > max(n / MOST_HEAVY, LEAST_HEAVY)]
+
+
+def split_semi_join(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """rows whose key is in `wanted` (distinct keys). Rows of heavy keys are joined by broadcast of these keys alone,
+    so no task gets them all. on[0]: a long that tells keys apart, such as a hash."""
+    heavy = heavy_keys(rows, on[0])
+    if not heavy:
+        return rows.join(wanted, on, "left_semi")
+    is_heavy = F.col(on[0]).isin(heavy)
+    return rows.where(is_heavy).join(F.broadcast(wanted.where(is_heavy)), on, "left_semi").unionByName(rows.where(~is_heavy).join(wanted.where(~is_heavy), on, "left_semi"))

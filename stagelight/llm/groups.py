@@ -36,12 +36,12 @@ def shared_keys(column: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], column: str, most: int, weight: str | None = None) -> Iterator[tuple[pa.Table, bool]]:
-    """(rows, part) from batches sorted by a long column: whole groups together, up to about `most` rows or sum of
-    `weight`; a group beyond that comes in several tables, each with part = True."""
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str, most: int, weigh: Callable[[pa.RecordBatch], int] | None = None, whole: bool = False) -> Iterator[tuple[pa.Table, bool]]:
+    """(rows, part) from batches sorted by a long column: whole groups together, up to about `most` rows or their
+    weight; a group beyond that comes in several tables, each with part = True, or in one if `whole`."""
     held: list[pa.RecordBatch] = []
     size, over = 0, None
-    weigh = lambda x: int(x.column(weight).to_numpy().sum()) if weight else x.num_rows
+    weigh = weigh or (lambda x: x.num_rows)
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             rows = batch.slice(at, 2000)
@@ -57,14 +57,18 @@ def whole_groups(batches: Iterator[pa.RecordBatch], column: str, most: int, weig
             size += weigh(rows)
             if size < most:
                 continue
+            if held[0].column(column)[0].as_py() == key[-1]:  # one group so far
+                if not whole:
+                    yield pa.Table.from_batches(held).combine_chunks(), True
+                    held, size, over = [], 0, key[-1]
+                continue
             table = pa.Table.from_batches(held).combine_chunks()
             keys = table.column(column).to_numpy()
-            cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
-            if cut:
-                yield table.slice(0, cut).combine_chunks(), False
+            cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1
+            yield table.slice(0, cut).combine_chunks(), False
             held = table.slice(cut).combine_chunks().to_batches()
             size = sum(weigh(x) for x in held)
-            if size >= most:
+            if size >= most and not whole:
                 yield pa.Table.from_batches(held).combine_chunks(), True
                 held, size, over = [], 0, keys[-1]
     if held:

@@ -43,7 +43,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.nd
     """Sorted distinct shingle hashes of each text, one after the other, and their bounds."""
     low = B.LOWER[data]
     start, end, first = B.word_spans(low, bounds)
-    words = B.word_hashes(low, start, end)
+    words = B.span_hashes(low, start, end)[0]
     n_words = np.diff(first)
     n = np.where(n_words >= size, n_words - size + 1, 0)
     rows = [np.repeat(np.arange(len(n)), n)]
@@ -52,7 +52,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.nd
         short = np.flatnonzero(n_words == k)
         if len(short):
             rows.append(short)
-            hashes.append(B.mix(B.rolling(words, k)[first[short]] + np.uint64(k)))
+            hashes.append(B.rolling(words, k)[first[short]])
     row, h = np.concatenate(rows), np.concatenate(hashes)
     order = np.lexsort((h, row))
     row, h = row[order], h[order]

@@ -47,7 +47,7 @@ def _counts(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     line_start, line_end, line_row = line_start[has_word], line_end[has_word], line_row[has_word]
     twins = np.zeros(rows, dtype=np.int64)
     if len(line_start):
-        h = [B.span_hash(B.prefix(B.BYTE_VALUES[w][data], w), line_start, line_end, w) for w in (0, 1)]
+        h = B.span_hashes(data, line_start, line_end)
         order = np.lexsort((h[1], h[0], line_row))
         same = (h[0][order][1:] == h[0][order][:-1]) & (h[1][order][1:] == h[1][order][:-1]) & (line_row[order][1:] == line_row[order][:-1])
         twins = np.bincount(line_row[order][1:][same], minlength=rows)
@@ -57,7 +57,7 @@ def _counts(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     if n_windows.sum():
         at = B.runs(first[:-1], n_windows)
         row = np.repeat(np.arange(rows), n_windows)
-        words = [B.word_hashes(data, start, end, w) for w in (0, 1)]
+        words = B.span_hashes(data, start, end)
         h = [B.rolling(words[w], WINDOW, w)[at] for w in (0, 1)]
         order = np.lexsort((h[1], h[0], row))
         same = (h[0][order][1:] == h[0][order][:-1]) & (h[1][order][1:] == h[1][order][:-1]) & (row[order][1:] == row[order][:-1])

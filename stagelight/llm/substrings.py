@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagelight.llm.repeats import IN_MEMORY, Units, covered, remove_repeats
+from stagelight.llm.repeats import BUCKET, IN_MEMORY, Units, covered, remove_repeats
 
 WINDOW = 35
 #: Words of a minimiser: long enough that unrelated texts rarely share one.
 MINIMISER = 8
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, in_memory: int = IN_MEMORY) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, in_memory: int = IN_MEMORY, bucket: int = BUCKET) -> DataFrame:
     """Remove each word covered by a window of `window` words that also starts anywhere else in `docs`.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged; windows are judged on the input. Returns doc_id, n_words,
@@ -30,7 +30,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, minimiser: int = MIN
         gone = covered(len(words), spans)
         return len(words), int(gone.sum()), b" ".join(w for w, x in zip(words, gone.tolist()) if not x)
 
-    return remove_repeats(docs, units, out, "n_words long, n_removed long, kept binary", ["doc_id"], in_memory)
+    return remove_repeats(docs, units, out, "n_words long, n_removed long, kept binary", ["doc_id"], in_memory, bucket)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ CONTROL = re.compile(r"<(?=\||s>|/s>|<SYS>>|</SYS>>|unk>|pad>)|\[(?=INST\]|/INST
 LEARNED_ROLE = "assistant"
 BATCH = 2000
 
-TURNS = "conv_id long, depth int, node binary, parent binary, position long, length long, role string, segment string, loss_start long, loss_length long, path array<binary>"
+TURNS = "conv_id long, depth int, node binary, parent binary, position long, length long, role string, segment string, loss_start long, loss_length long, last boolean"
 NODES = "node binary, parent binary, depth int, stream_start long, length long, position_start long, role string, segment string, loss_start long, loss_length long"
 DIGEST = "leaf binary, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, attends array<struct<start:long,end:long>>"
 
@@ -57,12 +57,12 @@ def parse(segment: str) -> tuple[str, str]:
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Turns of conversations, sorted: each with its node, which is a digest of all turns up to it. The last turn of
-    a conversation has the path of its nodes."""
+    """Turns of conversations, sorted: each with its node, which is a digest of all turns up to it. Only the last
+    node of the conversation at hand is held."""
     names = [x.strip().split()[0] for x in TURNS.split(", ")]
     out: list[list] = [[] for _ in names]
-    conv, started, path, place = None, False, [], 0
-    schema = pa.schema([("conv_id", pa.int64()), ("depth", pa.int32()), ("node", pa.binary()), ("parent", pa.binary()), ("position", pa.int64()), ("length", pa.int64()), ("role", pa.string()), ("segment", pa.string()), ("loss_start", pa.int64()), ("loss_length", pa.int64()), ("path", pa.list_(pa.binary()))])
+    conv, started, parent, depth, place = None, False, None, 0, 0
+    schema = pa.schema([("conv_id", pa.int64()), ("depth", pa.int32()), ("node", pa.binary()), ("parent", pa.binary()), ("position", pa.int64()), ("length", pa.int64()), ("role", pa.string()), ("segment", pa.string()), ("loss_start", pa.int64()), ("loss_length", pa.int64()), ("last", pa.bool_())])
 
     def flush(keep: int) -> pa.RecordBatch:
         ready = [c[: len(c) - keep] for c in out]
@@ -74,21 +74,19 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, roles, texts = (batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))
         for c, role, text in zip(ids, roles, texts):
             if not started or c != conv:
-                if path:
-                    out[-1][-1] = path
-                conv, started, path, place = c, True, [], 0
+                if started:
+                    out[-1][-1] = True
+                conv, started, parent, depth, place = c, True, None, 0, 0
             role, text = role or "", text or ""
             segment, loss_start, loss_length = render(role, text)
-            parent = path[-1] if path else None
             node = hashlib.blake2b(f"{len(role)}|{role}{text}".encode("utf-8", "surrogatepass"), digest_size=16, key=parent or b"").digest()
-            path.append(node)
-            for column, value in zip(out, (c, len(path) - 1, node, parent, place, len(segment), role, segment, loss_start, loss_length, None)):
+            for column, value in zip(out, (c, depth, node, parent, place, len(segment), role, segment, loss_start, loss_length, False)):
                 column.append(value)
-            place += len(segment)
+            parent, depth, place = node, depth + 1, place + len(segment)
             if len(out[0]) > BATCH:
                 yield flush(1)
-    if path:
-        out[-1][-1] = path
+    if started:
+        out[-1][-1] = True
     yield flush(0)
 
 
@@ -128,26 +126,40 @@ def running_sum(df: DataFrame, order: list[str], value: str, out: str, scratch:
     return ranged.withColumn(out, F.col("before") + F.get(starts, F.col("part"))).drop("part", "before")
 
 
+def _leaf_turns(members: DataFrame) -> DataFrame:
+    """(leaf, leaf_depth, depth, node, parent): the turns of one conversation for each leaf."""
+    first = F.min(F.struct(F.col("conv_id").isNull().alias("none"), F.col("conv_id").alias("id")))
+    leaves = members.where("last").groupBy(F.col("node").alias("leaf"), F.col("depth").alias("leaf_depth")).agg(first.alias("c"))
+    leaves = leaves.select("leaf", "leaf_depth", F.col("c.id").alias("c"))
+    return members.join(leaves, F.col("conv_id").eqNullSafe(F.col("c"))).select("leaf", "leaf_depth", "depth", "node", "parent")
+
+
 def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, members) of rows conv_id, turn, role, text.
 
     nodes: one row for each distinct prefix of turns, with columns NODES: its place in the stream, position ids
     position_start .. position_start + length - 1, its segment (the formatted turn), and the span of the segment that
-    the loss takes (an assistant's escaped text). members: conv_id, leaf, path (its nodes, root first).
+    the loss takes (an assistant's escaped text). members: conv_id, depth, node, parent, last: a row for each turn.
+
+    Depth-first order compares conversations by the nodes at which paths part alone: the children of forks. A
+    conversation has as many of these as there are others that leave it, however long it is.
 
     Turns are ordered by turn, then role and text; null turns come first. Null roles and texts are empty; rows with a
-    null conv_id are one conversation. Conversations with equal turns share all nodes. A conversation goes through
-    one task, as its digests ask for, and its path is one array in memory; nothing depends on the size of a tree. Other columns
-    are not read.
+    null conv_id are one conversation. Conversations with equal turns share all nodes. A conversation streams through
+    one task, as its digests ask for, of which only the last is held. Other columns are not read.
     """
     scratch = Scratch(conversations.sparkSession, "chat")
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = scratch.write(rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_chain, TURNS), "turns")
-    members = turns.where("path is not null").select("conv_id", F.col("node").alias("leaf"), "path")
-    paths = members.groupBy("leaf").agg(F.first("path").alias("path")).withColumn("one", F.lit(1).cast("long"))
-    ranked = running_sum(paths, ["path"], "one", "rank", scratch, "paths")
-    # a node belongs to its first path in lexicographic order: (rank, depth) is depth-first order
-    owners = ranked.select("rank", F.posexplode("path").alias("depth", "node")).groupBy("node").agg(F.min("rank").alias("rank"))
+    members = turns.select("conv_id", "depth", "node", "parent", "last")
+    own = scratch.write(_leaf_turns(members), "own")
+    forks = own.where("parent is not null").select("parent", "node").distinct().groupBy("parent").count().where("count > 1").select("parent")
+    marks = own.where("parent is null").unionByName(own.join(forks, "parent", "left_semi").select(*own.columns))
+    path = F.transform(F.array_sort(F.collect_list(F.struct("depth", "node"))), lambda x: x["node"])
+    paths = marks.groupBy("leaf", "leaf_depth").agg(path.alias("path")).withColumn("one", F.lit(1).cast("long"))
+    ranked = running_sum(paths, ["path", "leaf_depth"], "one", "rank", scratch, "paths")
+    # a node belongs to its first path in this order: (rank, depth) is depth-first order
+    owners = own.select("leaf", "node").join(ranked.select("leaf", "rank"), "leaf").groupBy("node").agg(F.min("rank").alias("rank"))
     nodes = turns.groupBy("node").agg(*(F.first(c).alias(c) for c in ("parent", "depth", "length", "position", "role", "segment", "loss_start", "loss_length")))
     placed = running_sum(nodes.join(owners, "node"), ["rank", "depth"], "length", "stream_start", scratch, "nodes")
     return placed.select("node", "parent", "depth", "stream_start", "length", F.col("position").alias("position_start"), "role", "segment", "loss_start", "loss_length"), members
@@ -195,10 +207,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """What each conversation's part of the stream holds: DIGEST for each conv_id. attends: the stream's intervals
     that its last turn attends to, its own last, merged where they touch."""
-    leaves = members.groupBy("leaf").agg(F.first("path").alias("path"))
-    steps = leaves.select("leaf", F.posexplode("path").alias("at", "node")).join(nodes.select("node", "stream_start", "length", "segment", "loss_start", "loss_length"), "node")
+    steps = _leaf_turns(members).select("leaf", F.col("depth").alias("at"), "node").join(nodes.select("node", "stream_start", "length", "segment", "loss_start", "loss_length"), "node")
     digests = steps.repartition("leaf").sortWithinPartitions("leaf", "at").mapInArrow(_read, DIGEST)
-    return members.select("conv_id", "leaf").join(digests, "leaf").drop("leaf")
+    return members.where("last").select("conv_id", F.col("node").alias("leaf")).join(digests, "leaf").drop("leaf")
 
 
 #: The conversation that the query adds: control strings as texts.

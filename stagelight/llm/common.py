@@ -69,6 +69,14 @@ class Scratch:
         return F.broadcast(df) if self.size(table) <= BROADCAST_BYTES else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores in front until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     """A key for each row, equal each time the same scan is run: ids of input rows may repeat or be null.
 

@@ -20,6 +20,8 @@ LEAST_COSINE = 0.9
 MISS = 0.005
 #: Members of a bucket that are compared at once.
 BLOCK = 1024
+#: Bytes of the cells that a task holds at once.
+HELD = 32 << 20
 
 
 def parameters(rows: int, dim: int) -> tuple[int, int]:
@@ -156,8 +158,8 @@ def _links(polytopes: int, least: float):
         return pa.RecordBatch.from_arrays([pa.array(cls[some]), pa.array(links[some]), pa.array(root[some])], ["cls", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a cell has at most two blocks, so whole cells fit
-        for table, _ in whole_groups(batches, "pair", 16 * BLOCK):
+        # a cell has two blocks at most, so whole cells fit
+        for table, _ in whole_groups(batches, "pair", HELD, lambda b: b.nbytes, whole=True):
             pair = table.column("pair").to_numpy()
             begin = np.concatenate([[0], np.flatnonzero(pair[1:] != pair[:-1]) + 1, [len(pair)]])
             for a, b in zip(begin[:-1], begin[1:]):

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stagelight.llm import blocks as B
@@ -15,6 +16,8 @@ from stagelight.llm import blocks as B
 #: Bounds of the training sample: about so many documents a language, so many segments of so many characters each,
 #: taken from anywhere in a text. The sample's size is all that the driver holds; it doesn't grow with the input.
 DOCS_PER_LANGUAGE = 1000
+#: Languages that are learned, the most frequent ones.
+MOST_LANGUAGES = 200
 SEGMENTS, SEGMENT_CHARS = 4, 240
 NGRAMS = (1, 2, 3, 4)
 BUCKETS, DIM = 1 << 16, 16
@@ -25,8 +28,12 @@ UNKNOWN = "und"
 
 _rng = np.random.default_rng(5)
 NGRAM_VALUES = _rng.integers(1, 1 << 63, 5, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Code points that belong to words, by plane 0 and beyond: anything alphabetic.
-_LETTER = np.array([chr(c).isalpha() or chr(c).isalnum() and not chr(c).isdigit() for c in range(0x110000)], dtype=bool)
+
+
+@cache
+def _letters() -> np.ndarray:
+    """Which code points belong to words: anything alphabetic."""
+    return np.array([chr(c).isalpha() or chr(c).isalnum() and not chr(c).isdigit() for c in range(0x110000)], dtype=bool)
 
 
 def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -34,7 +41,7 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lower = [t.lower() for t in texts]
     sizes = np.array([len(t) + 1 for t in lower], dtype=np.int64)
     code = np.frombuffer((" ".join(lower) + " ").encode("utf-32-le", "replace"), dtype=np.uint32)
-    code = np.concatenate([np.array([32], dtype=np.uint32), np.where(_LETTER[code], code, 32).astype(np.uint32)])
+    code = np.concatenate([np.array([32], dtype=np.uint32), np.where(_letters()[code], code, 32).astype(np.uint32)])
     letter = code != 32
     row_end = np.cumsum(sizes)
     idx, at = [], []
@@ -157,13 +164,20 @@ def fit(texts: list[str], langs: list[str], seed: int = 3) -> Model:
 
 
 def training_sample(docs: DataFrame, is_training) -> DataFrame:
-    """(lang, text) segments of about DOCS_PER_LANGUAGE documents a language, chosen by a hash of doc_id."""
+    """(lang, text) segments of DOCS_PER_LANGUAGE documents a language at most, chosen by a hash of doc_id and text.
+
+    A hash below a language's share of about that size picks them; of rows that are still too many, as copies of one
+    row can be, those of the smallest hashes stay, cut to so many in each partition before they are shuffled.
+    """
     labelled = docs.where(is_training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return labelled.select("lang", "text").limit(0)
     shares = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, DOCS_PER_LANGUAGE / n)))))
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < F.element_at(shares, F.col("lang")) * (1 << 20))
+    place = F.xxhash64("doc_id", "text", F.lit(17))
+    chosen = labelled.where(F.pmod(place, F.lit(1 << 20)) < F.try_element_at(shares, F.col("lang")) * (1 << 20))
+    first = Window.partitionBy("lang").orderBy(place, "doc_id")
+    chosen = chosen.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= DOCS_PER_LANGUAGE)
     place = lambda i: F.pmod(F.xxhash64("doc_id", i), F.greatest(F.length("text") - SEGMENT_CHARS + 1, F.lit(1))).cast("int") + 1
     # short segments train the model for short texts
     length = lambda i: F.when(i == 1, 40).otherwise(SEGMENT_CHARS)
@@ -172,7 +186,8 @@ def training_sample(docs: DataFrame, is_training) -> DataFrame:
 
 
 def identify(docs: DataFrame, is_training, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score and rejected; existing columns of these names are replaced.
+    """docs with lang_pred, score and rejected; existing columns of these names are replaced, all others stay. Repeated
+    rows are predicted alike, and an empty table gives an empty one.
 
     Learns from text and lang of the rows that `is_training` selects (null: no) and that have both; predicts from the
     text alone. lang_pred is the likeliest learned language, `und` with score 0 for a text that is null, empty or

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagelight.llm import blocks as B
-from stagelight.llm.common import Scratch, with_row_id
+from stagelight.llm.common import Scratch, fresh, with_row_id
 from stagelight.llm.components import components
 from stagelight.llm.groups import shared_keys, whole_groups
 
@@ -21,15 +21,15 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 BITS = 4
 PERMUTATIONS = BANDS * ROWS
-#: Candidates whose collision-corrected estimate is below this are not confirmed on full sets. It lies 3.8 standard
-#: errors of the estimate (0.04 at similarity 0.75) under the least similarity of a link.
-LEAST_ESTIMATE = 0.6
+#: Candidates whose collision-corrected estimate is below this are not confirmed on full sets. It lies 5.7 standard
+#: errors of the estimate (0.04 at similarity 0.75) under the least similarity of a link: 6e-9 of such pairs.
+LEAST_ESTIMATE = 0.52
 #: Members of a band bucket that are compared at once.
 BUCKET = 1024
 #: Members of a bucket with several components whose full sets meet at once; larger ones meet block by block.
 BLOCK = 2048
-#: Bytes of full sets in a block.
-BLOCK_SETS = 6 << 20
+#: Bytes of full sets in a block, and of the cells that a task holds at once.
+BLOCK_SETS, HELD_SETS = 6 << 20, 24 << 20
 #: Values in at least so many sets are counted by matrix products.
 DENSE = 16
 
@@ -134,7 +134,8 @@ def _best(child, other, est, earlier) -> tuple:
 def _nearest(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Each bucket member's most similar other member, and its most similar earlier one, by estimate.
 
-    Buckets beyond `most` members are compared in blocks, each with itself and with the bucket's first block.
+    Buckets beyond `most` members are compared in blocks, each with itself and with the bucket's first block. Members
+    of these that find none there are named with themselves (kind 2), so that the search across components has them.
     """
 
     def rows(cls, found):
@@ -186,7 +187,11 @@ def _nearest(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
                 alone = len(c) == len(first[2]) and c[0] == first[2][0]
                 pool = 0 if alone else len(first[2])
                 both_c = c if alone else np.concatenate([first[2], c])
-                yield from rows(both_c, list(dense(both_c, s if alone else np.concatenate([first[1], s]), pool)))
+                found = list(dense(both_c, s if alone else np.concatenate([first[1], s]), pool))
+                yield from rows(both_c, found)
+                lone = np.setdiff1d(np.arange(pool, len(both_c)), found[0][0] if found else [])
+                if len(lone) and (part or b - a > most):
+                    yield from rows(both_c, [(z := np.empty(0, dtype=np.int64), z, np.empty(0))] * 2 + [(lone, lone, np.zeros(len(lone)))])
 
 
 def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -219,12 +224,10 @@ def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     return out
 
 
-def _across(batches: Iterator[pa.RecordBatch], percent: int, block: int) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Links across components in each cell (a bucket, or two blocks of a large one), all pairs by their full sets:
     a spanning forest of them, a row for each member that has one."""
-    for table, part in whole_groups(batches, "pair", 16 * block):
-        if part:
-            raise RuntimeError("a cell holds more than its two blocks")
+    for table, _ in whole_groups(batches, "pair", HELD_SETS, lambda b: b.nbytes, whole=True):
         pair = table.column("pair").to_numpy()
         left, right = (table.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
         cls, root = (np.frombuffer(bytes(B.utf8(table.column(c))[0]), dtype="S16") for c in ("cls", "root"))
@@ -297,12 +300,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """docs with one row of each component: one of the smallest doc_id, the first of equal ones. Rows without a word
-    all stay. Columns stay as they are."""
-    scratch = Scratch(docs.sparkSession, "drop")
-    keyed = with_row_id(docs)
-    labels = labelled_rows(keyed.select("_row", "doc_id", "text"), percent)
-    dropped = scratch.write(labels.where("_row != keep_row").select("_row"), "dropped")
-    return keyed.join(scratch.small(dropped, "dropped"), "_row", "left_anti").drop("_row")
+    all stay. Columns stay as they are, whatever their names. An empty table stays empty."""
+    scratch, row = Scratch(docs.sparkSession, "drop"), fresh(docs, "_row")
+    keyed = with_row_id(docs, row)
+    labels = labelled_rows(keyed.select(F.col(row).alias("_row"), "doc_id", "text"), percent)
+    dropped = scratch.write(labels.where("_row != keep_row").select(F.col("_row").alias(row)), "dropped")
+    return keyed.join(scratch.small(dropped, "dropped"), row, "left_anti").drop(row)
 
 
 def labelled_rows(keyed: DataFrame, percent: int) -> DataFrame:
@@ -314,8 +317,9 @@ def labelled_rows(keyed: DataFrame, percent: int) -> DataFrame:
     even each other. Equal word sequences are one class and link at once. Band buckets give candidates, b-bit
     signatures estimate them, and full sets confirm each link: first each class's best candidates, then, where a
     bucket still holds several components, all its pairs across them, in blocks. So no link between members of a bucket
-    that could join two components is left out, and groups cost a few rows a member however dense they are. Rows with equal doc_id are texts of their own under one
-    name; a null doc_id is kept unless its component has a number. Other columns are not read. `docs` has to be a
+    that could join two components is left out, but for pairs whose only estimates are below LEAST_ESTIMATE. A dense
+    group costs a few rows a member; a bucket of many components costs its pairs, and a copy of each member's set for
+    each of its blocks. Rows with equal doc_id are texts of their own under one name; a null doc_id is kept unless its component has a number. Other columns are not read. `docs` has to be a
     scan or a written table.
     """
     scratch = Scratch(keyed.sparkSession, "minhash")
@@ -326,9 +330,10 @@ def labelled_rows(keyed: DataFrame, percent: int) -> DataFrame:
     multi = scratch.write(thin.repartition("key").sortWithinPartitions("key").mapInArrow(shared_keys("key"), "key long, cls binary"), "multi")
     sigs = classes.select("cls", "sig")
     near = multi.join(sigs, "cls").repartition("key").sortWithinPartitions("key", "cls").mapInArrow(partial(_nearest, most=BUCKET), "child binary, other binary, est double, kind int")
-    best = near.groupBy("child", "kind").agg(F.max_by("other", F.struct("est", "other")).alias("other"))
+    near = scratch.write(near.groupBy("child", "kind").agg(F.max_by("other", F.struct("est", "other")).alias("other")), "near")
+    best = near.where("kind < 2")
     pairs = scratch.write(best.select(F.least("child", "other").alias("a"), F.greatest("child", "other").alias("b")).distinct(), "pairs")
-    involved = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    involved = near.select(F.explode(F.array("child", "other")).alias("cls")).distinct()
     rows = scratch.write(classes.select("cls", "_row").join(involved, "cls", "left_semi"), "rows")
     sets = scratch.write(keyed.select("_row", "text").join(scratch.small(rows, "rows"), "_row").mapInArrow(_sets, "cls binary, shingles binary"), "sets")
 
@@ -341,7 +346,7 @@ def labelled_rows(keyed: DataFrame, percent: int) -> DataFrame:
     mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where("lo != hi").select("key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_SETS)).cast("int").alias("blocks"))
     cells = labelled.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select(F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with")).alias("pair"), "cls", "root", (F.col("own") <= F.col("with")).alias("left"), (F.col("own") >= F.col("with")).alias("right"))
-    across = cells.join(sets, "cls").repartition("pair").sortWithinPartitions("pair").mapInArrow(partial(_across, percent=percent, block=BLOCK), "a binary, b binary")
+    across = cells.join(sets, "cls").repartition("pair").sortWithinPartitions("pair").mapInArrow(partial(_across, percent=percent), "a binary, b binary")
     later = scratch.write(across.distinct(), "links2")
     if not later.isEmpty():
         roots = scratch.write(components(links.unionByName(later), scratch, "second"), "roots2")

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagelight.llm.common import Scratch
+from stagelight.llm.common import Scratch, fresh
 
 #: A mean above this is drawn as a sum of independent draws of equal, smaller means, so that exp(-mean) stays normal.
 MOST_MEAN = 500.0
@@ -48,7 +48,7 @@ def mix_sources(
     `default_weight`; null is a source of its own under the default, and a source without a character counts as one
     character. The draw is a function of seed and doc_id: rows with equal doc_id get equal counts. A weight of 0
     removes a source. Copies are numbered from 1 in `copy_column`, which replaces a column of that name (None: no
-    such column); all columns of docs stay. Rows are dealt by a hash of document and copy and sorted by it within
+    such column); all other columns of docs stay, whatever their names. An empty table gives an empty one. Rows are dealt by a hash of document and copy and sorted by it within
     each partition, which is a random order over the whole output; a hot source is spread like any other.
     """
     if any(w < 0 for w in [*weights.values(), default_weight]) or epochs < 0:
@@ -61,13 +61,14 @@ def mix_sources(
     sizes = scratch.write(sizes.select("source", "_chars", weight.alias("_weight")), "sizes")
     total, share = sizes.agg(F.sum("_chars"), F.sum("_weight")).first()
     rate = F.lit(float(epochs * (total or 0))) * F.col("_weight") / F.lit(float(share or 1.0)) / F.col("_chars")
-    rates = scratch.small(sizes.select(F.col("source").alias("_mix_source"), rate.alias("_mix_rate")), "sizes")
-    counted = docs.join(rates, F.col("source").eqNullSafe(F.col("_mix_source"))).withColumn("_mix_times", poisson_count(seed, F.col("doc_id"), F.col("_mix_rate"))).where("_mix_times > 0")
-    copies = counted.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
-    dealt = copies.withColumn("_mix_place", F.xxhash64(F.lit(seed), "doc_id", "_mix_copy")).repartition("_mix_place").sortWithinPartitions("_mix_place")
+    of, mean, times, copy, place = (fresh(docs, f"_mix_{x}") for x in ("source", "rate", "times", "copy", "place"))
+    rates = scratch.small(sizes.select(F.col("source").alias(of), rate.alias(mean)), "sizes")
+    counted = docs.join(rates, F.col("source").eqNullSafe(F.col(of))).withColumn(times, poisson_count(seed, F.col("doc_id"), F.col(mean))).where(F.col(times) > 0)
+    copies = counted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    dealt = copies.withColumn(place, F.xxhash64(F.lit(seed), "doc_id", copy)).repartition(place).sortWithinPartitions(place)
     if copy_column:
-        dealt = dealt.withColumn(copy_column, F.col("_mix_copy"))
-    return dealt.drop("_mix_source", "_mix_rate", "_mix_times", "_mix_copy", "_mix_place")
+        dealt = dealt.withColumn(copy_column, F.col(copy))
+    return dealt.drop(of, mean, times, copy, place)
 
 
 #: Production weights of the query: three times the default for src1, half for the largest source's neighbours.

@@ -3,13 +3,17 @@
 Values are cut out in passes, and what a pass leaves, failed candidates too, is whole text for the next: access keys,
 secrets, e-mail and IPv4 addresses; IBANs and cards in their usual grouping, tried at each place where one can begin;
 cards of other even groupings; dates, SSNs and phones; cards in any other grouping. IBANs (mod-97 digits, length of the
-country), cards (Luhn digit), addresses (octets) and dates (calendar) are validated. A keyed Feistel network then
+country), cards (Luhn digit), addresses (octets), dates (calendar), SSNs (area, group, serial) and phones (7 to 15
+digits, not all the same) are validated. A keyed Feistel network then
 permutes each value among the values of its own format:
 
 - digit and letter strings: the halves are added, character by character in each one's own alphabet, to digests of
   the other half, so length, case, separators and the class of each character stay;
 - cards: all digits but the last, which is the Luhn digit of the others;
-- IPv4 addresses: two halves of 16 bits; dates: a day number in a product of two moduli.
+- IPv4 addresses: two halves of 16 bits; dates: a day number in a product of two moduli; SSNs: the number of an SSN
+  among those that can be given out. Dates with the month first are those that can't be read day first, and are
+  permuted among themselves;
+- phones: all digits but the country code, so that a number with and without it, spaced or not, stays linked.
 
 The key, the class and the length are all that a permutation depends on, so equal values get equal pseudonyms in
 every document, however they are spaced, and different values never meet.
@@ -67,6 +71,13 @@ REACH = 48
 
 #: Days 1900-01-01 to 2200-08-14: the product of the two moduli of the dates' network.
 DATE_MODULI = (300, 366)
+#: SSNs: areas 001 to 899 without 666, and 99 groups of 9,999 serials.
+SSN_MODULI = (898, 99 * 9999)
+#: Country codes by their first digits; all others have three.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: Steps of a walk through a permutation's cycle to the next value of a set that holds more than half of all: it
+#: misses with probability 1e-16.
+WALK = 40
 
 
 def _number(key: str, parts: list[Column], modulus: int) -> Column:
@@ -158,8 +169,27 @@ def is_iban(found: Column) -> Column:
     return mod97(F.concat(F.substring(compact, F.lit(5), F.length(compact)), F.substring(compact, 1, 4))) == 1
 
 
+def _walk(value: Column, permute, inside) -> Column:
+    """The first value of the set in the permutation's cycle behind `value`, which is a permutation of the set."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), permute(value), lambda n, _: F.when(inside(n), n).otherwise(permute(n)))
+
+
+def ssn_pseudonym(found: Column, digits: Column, key: str) -> Column:
+    """Area, group and serial of a valid SSN become those of another one; others stay."""
+    area, group, serial = (F.substring(digits, *x).try_cast("long") for x in ((1, 3), (4, 2), (6, 4)))
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    number = (area - F.when(area > 666, 2).otherwise(1)) * SSN_MODULI[1] + (group - 1) * 9999 + serial - 1
+
+    def spelt(n: Column) -> Column:
+        a, rest = F.floor(n / F.lit(SSN_MODULI[1])).cast("long"), n % SSN_MODULI[1]
+        a = a + F.when(a >= 665, 2).otherwise(1)
+        return F.concat_ws("-", F.lpad(a.cast("string"), 3, "0"), F.lpad((F.floor(rest / F.lit(9999)).cast("long") + 1).cast("string"), 2, "0"), F.lpad((rest % 9999 + 1).cast("string"), 4, "0"))
+
+    return F.when(valid, _let(permute_number(number, key, "ssn", *SSN_MODULI), spelt)).otherwise(found)
+
+
 def pseudonym(found: Column, key: str) -> Column:
-    """The pseudonym of one match of FIRST or LATER; a date that isn't valid stays as it is."""
+    """The pseudonym of one match of FIRST or LATER; one that isn't valid stays as it is."""
     is_a = lambda kind: found.rlike(f"^(?:{PATTERNS[kind].replace('(?<', '(?<')})$")
     digits = digits_of(found)
     octets = F.split(found, r"\.")
@@ -174,21 +204,26 @@ def pseudonym(found: Column, key: str) -> Column:
     valid_day = at.between(0, DATE_MODULI[0] * DATE_MODULI[1] - 1)
     new_day = F.date_add(first, permute_number(at, key, "date", *DATE_MODULI).cast("int"))
     date = F.when(year_first, F.date_format(new_day, "yyyy-MM-dd")).when(found.contains("/"), F.date_format(new_day, "dd/MM/yyyy")).otherwise(F.date_format(new_day, "dd.MM.yyyy"))
+    # month first: only where the second number is no month
+    us_at = F.datediff(F.try_to_timestamp(F.when(found.rlike("^[0-9]{2}/(?:1[3-9]|[23])"), found), F.lit("MM/dd/yyyy")).cast("date"), first)
+    us_day = F.date_add(first, _walk(us_at, lambda n: permute_number(n, key, "us-date", *DATE_MODULI), lambda n: F.dayofmonth(F.date_add(first, n.cast("int"))) > 12).cast("int"))
+    date = F.when(valid_day, date).when(us_at.between(0, DATE_MODULI[0] * DATE_MODULI[1] - 1), F.date_format(us_day, "MM/dd/yyyy")).otherwise(found)
     head = F.regexp_extract(found, r"^(?i:(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?)", 0)
     secret = F.concat(head, permute_text(F.substring(found, F.length(head) + 1, F.length(found)), key, "secret"))
     local = F.substring_index(found, "@", 1)
     email = F.concat(permute_text(local, key, "email"), F.substring(found, F.length(local) + 1, F.length(found)))
-    code = F.regexp_extract(found, r"^\+[0-9]{1,3}(?=[ .-])", 0)
+    code = F.regexp_extract(found, COUNTRY, 0)
     rest = F.substring(found, F.length(code) + 1, F.length(found))
     phone = F.concat(code, refill(rest, permute_text(digits_of(rest), key, "phone"), "[0-9]"))
+    valid_phone = F.length(digits).between(7, 15) & ~digits.rlike(r"^([0-9])\1*$")
     return (
         F.when(is_a("credential"), F.concat(F.substring(found, 1, 4), permute_text(F.substring(found, F.lit(5), F.lit(16)), key, "credential")))
         .when(head != "", secret)
         .when(found.contains("@"), email)
         .when(is_a("ip"), ip)
-        .when(is_a("date"), F.when(valid_day, date).otherwise(found))
-        .when(is_a("ssn"), refill(found, permute_text(digits, key, "ssn"), "[0-9]"))
-        .when(is_a("phone"), phone)
+        .when(is_a("date"), date)
+        .when(is_a("ssn"), ssn_pseudonym(found, digits, key))
+        .when(is_a("phone"), F.when(valid_phone, phone).otherwise(found))
         .otherwise(found)
     )
 
@@ -252,9 +287,11 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     Found are e-mail addresses (the local part changes), IPv4 addresses, card numbers with a valid Luhn digit, IBANs
     with valid check digits, US social-security numbers, phone numbers, calendar dates from 1900-01-01 to 2200-08-14,
-    access keys and the values of passwords and tokens. Candidates that are not valid stay. A null text stays null, an
+    access keys and the values of passwords and tokens. Dates may have the year first, the day first or, where that
+    is no date, the month first. Candidates that are not valid stay. A null text stays null, an
     empty one empty. Repeated rows and equal values in other rows get equal pseudonyms under one key. Whole texts of
-    any length are read; a text without a digit, `@` or keyword is passed on unchanged. No shuffle.
+    any length are read; a text without a digit, `@` or keyword is passed on unchanged. Other columns may have any
+    names; an empty table stays empty. No shuffle.
     """
     t = F.col(text)
     pieces = _matches(F.array(_piece(t, None)), FIRST)

@@ -1,8 +1,11 @@
 """Operator 10: validation, formats, links, and what must stay."""
 
+import hashlib
+import random
 import re
+from datetime import date, timedelta
 
-from stagelight.llm.pii import ANY, pseudonymise
+from stagelight.llm.pii import ANY, DIGITS, LOWER, ROUNDS, UPPER, pseudonymise
 
 
 def run(spark, texts, key="k"):
@@ -85,3 +88,78 @@ def test_long_rows_of_numbers(spark):
     text = " ".join(str(i % 10) for i in range(20_000))
     got = run(spark, [text, text + " x 4111 1111 1111 1111 12/27"])
     assert got[0] == text and got[1].startswith(text + " x ") and "4111 1111" not in got[1]
+
+
+def plain_number(value, key, kind, a, b):
+    def number(parts, modulus):
+        return int(hashlib.sha256("|".join([key, *map(str, parts)]).encode()).hexdigest()[:12], 16) % modulus
+
+    left, right = divmod(value, b)
+    for i in range(1, ROUNDS // 2 + 1):
+        left = (left + number([kind, i, "l", right], a)) % a
+        right = (right + number([kind, i, "r", left], b)) % b
+    return left * b + right
+
+
+def plain_text(value, key, kind):
+    alphabets = (DIGITS, LOWER, UPPER)
+    classes = "".join(next((x[0] if x is DIGITS else x[0]) for x in alphabets if c in x) if any(c in x for x in alphabets) else c for c in value)
+
+    def add(half, digest):
+        out = []
+        for i, c in enumerate(half):
+            x = next((x for x in alphabets if c in x), None)
+            out.append(c if x is None else x[(x.index(c) + int(digest[i % 64 * 2 : i % 64 * 2 + 2], 16)) % len(x)])
+        return "".join(out)
+
+    left, right = value[: len(value) // 2], value[len(value) // 2 :]
+    for i in range(1, ROUNDS + 1):
+        left, right = right, add(left, hashlib.sha512("|".join([key, kind, str(i), classes, right]).encode()).hexdigest())
+    return left + right
+
+
+def test_against_plain_networks(spark):
+    """An independent Feistel network in plain Python gives the same pseudonyms."""
+    rng = random.Random(3)
+    days = [date(1900, 1, 1) + timedelta(days=rng.randrange(300 * 366)) for _ in range(40)]
+    ips = [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(40)]
+    locals_ = ["".join(rng.choice("abcXYZ019") for _ in range(rng.randint(2, 20))) for _ in range(40)]
+    ssns = [(rng.choice([1, 665, 667, 899, rng.randint(1, 665)]), rng.randint(1, 99), rng.randint(1, 9999)) for _ in range(40)]
+    us = [d for d in days if d.day > 12]
+    texts = [d.isoformat() for d in days] + ips + [f"{x}@example.org" for x in locals_] + [f"{a:03d}-{g:02d}-{n:04d}" for a, g, n in ssns] + [d.strftime("%m/%d/%Y") for d in us]
+    got = run(spark, texts)
+    want = [(date(1900, 1, 1) + timedelta(days=plain_number((d - date(1900, 1, 1)).days, "k", "date", 300, 366))).isoformat() for d in days]
+    for ip in ips:
+        n = plain_number(int.from_bytes(bytes(map(int, ip.split("."))), "big"), "k", "ip", 65536, 65536)
+        want.append(".".join(map(str, n.to_bytes(4, "big"))))
+    want += [f"{plain_text(x, 'k', 'email')}@example.org" for x in locals_]
+    areas = [a for a in range(1, 900) if a != 666]
+    for a, g, n in ssns:
+        new, rest = divmod(plain_number(areas.index(a) * 99 * 9999 + (g - 1) * 9999 + n - 1, "k", "ssn", 898, 99 * 9999), 99 * 9999)
+        want.append(f"{areas[new]:03d}-{rest // 9999 + 1:02d}-{rest % 9999 + 1:04d}")
+    for d in us:
+        n = (d - date(1900, 1, 1)).days
+        while True:
+            n = plain_number(n, "k", "us-date", 300, 366)
+            new = date(1900, 1, 1) + timedelta(days=n)
+            if new.day > 12:
+                break
+        want.append(new.strftime("%m/%d/%Y"))
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_phones_and_invalid_values(spark):
+    same = ["+14155550123", "+1 415 555 0123", "+1-415-555-0123", "415-555-0123"]
+    stay = ["000-12-3456", "666-12-3456", "912-12-3456", "123-00-4567", "123-45-0000", "13/13/2020", "111-111-1111"]
+    got = run(spark, same + stay)
+    digits = {re.sub("[^0-9]", "", got[i])[-10:] for i in range(4)}
+    assert len(digits) == 1 and digits != {"4155550123"} and all(got[i].startswith("+1") for i in range(3))
+    assert [got[4 + i] for i in range(len(stay))] == stay
+
+
+def test_rows_columns_and_empty_table(spark):
+    rows = [(1, "a.b@example.org", "x", "y", 1), (1, "a.b@example.org", "x", "y", 1), (None, None, None, None, None), (2, "", "", "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string, found string, _row int")
+    out = pseudonymise(docs, "k").collect()
+    assert len(out) == 4 and out[0] == out[1] and out[0].text != rows[0][1] and tuple(out[2]) == rows[2] and tuple(out[3]) == rows[3] and out[0].found == "y"
+    assert pseudonymise(docs.limit(0), "k").count() == 0

@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only while its written size is below this many bytes; beyond it the join shuffles.
-BROADCAST_BYTES = 6 << 20
+#: A side is broadcast only while its written (zstd) size is below this many bytes, which are two to three times as many
+#: in memory; beyond it the join shuffles.
+BROADCAST_BYTES = 2 << 20
 #: A key is heavy if it may fill more than one in MOST_HEAVY rows, and LEAST_HEAVY rows at least.
 MOST_HEAVY, LEAST_HEAVY = 1000, 10_000
 

@@ -33,6 +33,8 @@ UNKNOWN_PENALTY = 10.0
 CACHE = 100_000
 #: Words up to this length are searched together, in arrays.
 LONGEST_WORD = 40
+#: Fewer words of one length than this are searched one by one, which is faster then.
+FEW = 300
 INFINITE = float("inf")
 
 
@@ -47,6 +49,8 @@ class Vocabulary:
     unknown: float = 0.0
     cut: str = ""
     cache: dict = field(default_factory=dict)
+    older: dict = field(default_factory=dict)
+    lattice: Lattice | None = None
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.pieces), default=1)
@@ -187,7 +191,7 @@ RESULT = "token_ids array<int>, score double, nbest array<struct<score:double,ch
 class Lattice:
     """The Viterbi pass of `best_of_unit` over many words of one length at once; pieces are found by rolling hashes."""
 
-    BASE = np.uint64(0x9E3779B97F4A7C15)
+    BASE, SPREAD, SEEN_BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95), 20
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -207,6 +211,9 @@ class Lattice:
             self.tables.append(table)
             rest = rest[table[slot] != rest]
         self.bits = bits
+        # one bit of most spans tells that they are no piece
+        self.seen = np.zeros(1 << self.SEEN_BITS, dtype=bool)
+        self.seen[self._slot(np.array([self._hash(p) for p, _ in pieces], dtype=np.uint64))] = True
 
     @classmethod
     def _hash(cls, piece: str) -> int:
@@ -215,16 +222,23 @@ class Lattice:
             h = (h * int(cls.BASE) + ord(c) + 1) % (1 << 64)
         return h
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Index of the piece of each hash, or -1."""
-        h = B.mix(h)
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        slot = h * self.SPREAD
+        slot >>= np.uint64(64 - self.SEEN_BITS)
+        return slot.view(np.int64)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes that are those of pieces, and the pieces' indices."""
+        at = np.flatnonzero(self.seen[self._slot(h)])
+        h = B.mix(h[at])
         out = np.full(len(h), -1, dtype=np.int64)
         for k, table in enumerate(self.tables):
-            got = table[(h * np.uint64(2 * k + 1) >> np.uint64(64 - self.bits)).astype(np.int64)]
+            got = table[(h * np.uint64(2 * k + 1) >> np.uint64(64 - self.bits)).view(np.int64)]
             hit = got >= 0
             hit[hit] = self.keys[got[hit]] == h[hit]
             out[hit] = got[hit]
-        return out
+        found = out >= 0
+        return at[found], out[found]
 
     def best(self, words: list[str]) -> list[tuple[bytes, float, float]]:
         """best_of_unit of words of one length."""
@@ -243,15 +257,17 @@ class Lattice:
         for j in range(1, size + 1):
             second = np.full(n, -INFINITE)
             for i in range(max(0, j - longest), j):
-                got = self.find(pre[j] - pre[i] * power[j - i])
+                at, got = self.find(pre[j] - pre[i] * power[j - i])
                 if i == j - 1:
-                    at, f = rows, np.where(got >= 0, top[i] + self.scores[got], top[i] + self.v.unknown)
-                else:  # most spans are no piece
-                    at = np.flatnonzero(got >= 0)
-                    if not len(at):
-                        continue
-                    got = got[at]
+                    single = np.full(n, -1, dtype=np.int64)
+                    single[at] = got
+                    f = top[i] + self.v.unknown
+                    f[at] = top[i][at] + self.scores[got]
+                    at, got = rows, single
+                elif len(at):
                     f = top[i][at] + self.scores[got]
+                else:  # most spans are no piece
+                    continue
                 old = top[j][at]
                 better = f > old
                 second[at] = np.where(better, old, np.maximum(second[at], f))
@@ -278,28 +294,33 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, n: int):
         self.v, self.n, self.finder = vocabulary, n, re.compile(vocabulary.cut).findall
         self.options: dict[str, list] = {}
-        self.lattice = Lattice(vocabulary)
-        self.older: dict[str, tuple] = {}
+        if vocabulary.lattice is None:  # one for all tasks of a worker
+            vocabulary.lattice = Lattice(vocabulary)
+        self.lattice = vocabulary.lattice
 
     def learn(self, units: set[str]) -> None:
-        """Puts the best segmentations of units into the cache; the older generation of the cache goes when it is full."""
-        cache = self.v.cache
-        if len(cache) + len(units) > CACHE:
-            self.older = dict(cache)
-            cache.clear()
+        """Puts the best segmentations of units into the cache. When it is full, those of other units become the
+        older generation, from which units come back when they are met again, and the one before that goes."""
+        v = self.v
+        new = units.difference(v.cache)
+        if len(v.cache) + len(new) > CACHE:
+            v.older, v.cache = v.cache, {u: v.cache[u] for u in units.intersection(v.cache)}
         by_size: dict[int, list[str]] = {}
-        for u in units:
-            got = self.older.get(u)
+        for u in new:
+            got = v.older.get(u)
             if got is not None:
-                cache[u] = got
+                v.cache[u] = got
             elif len(u) <= LONGEST_WORD:
                 by_size.setdefault(len(u), []).append(u)
             else:
-                cache[u] = best_of_unit(u, self.v)
+                v.cache[u] = best_of_unit(u, v)
         for words in by_size.values():
+            if len(words) < FEW:
+                v.cache.update((u, best_of_unit(u, v)) for u in words)
+                continue
             for a in range(0, len(words), 20_000):
                 part = words[a : a + 20_000]
-                cache.update(zip(part, self.lattice.best(part)))
+                v.cache.update(zip(part, self.lattice.best(part)))
 
     def alternatives(self, unit: str) -> list:
         got = self.options.get(unit)
@@ -313,22 +334,17 @@ class Encoder:
         """ids, score, and the n best: their scores and what they change in the ids of the best."""
         if not text:
             return np.empty(0, dtype=np.int32), 0.0, [{"score": 0.0, "changes": []}]
-        return self.encode_units(self.finder(SPACE + swap(text)))
+        return self.encode_many([text])[0]
 
     def encode_many(self, texts: list[str | None]) -> list[tuple | None]:
         """encode of each text; words that are new are searched together."""
         every = [self.finder(SPACE + swap(t)) if t else [] for t in texts]
-        self.learn(set().union(*every).difference(self.v.cache))
+        self.learn(set().union(*every))
         return [None if t is None else self.encode_units(u) if t else self.encode("") for t, u in zip(texts, every)]
 
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, float, list[dict]]:
         cache, v = self.v.cache, self.v
-        try:
-            got = [cache[u] for u in units]
-        except KeyError:
-            self.learn(set(units).difference(cache))
-            got = [cache[u] for u in units]
-        parts, scores, losses = zip(*got)
+        parts, scores, losses = zip(*[cache[u] for u in units])
         ids, score = np.frombuffer(b"".join(parts), dtype=np.int32), float(sum(scores))
         if self.n < 2:
             return ids, score, []
@@ -374,8 +390,8 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, n: int = NBEST, text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(shared.value, n), Decoder(shared.value)
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
                 rows = encoder.encode_many(part.column(text).to_pylist())
                 ids = [r[0] if r else np.empty(0, dtype=np.int32) for r in rows]
                 bounds = np.cumsum([0, *map(len, ids)]).astype(np.int32)

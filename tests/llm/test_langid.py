@@ -1,10 +1,14 @@
 """Operator 1: held-out accuracy and edge cases."""
 
+import math
 import random
+import zlib
 
 from pyspark.sql import functions as F
 
-from stagelight.llm.langid import held_out, identify
+from stagelight.llm import blocks as B
+from stagelight.llm import langid
+from stagelight.llm.langid import BUCKETS, DOCS_PER_LANGUAGE, NGRAM_VALUES, SEGMENTS, fit, held_out, identify, training_sample
 
 LETTERS = {"aa": "abcdefgh", "bb": "ghijklmn", "cc": "éàçœabcd"}
 
@@ -33,3 +37,39 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "abc", None), (2, None, "x")], "doc_id long, text string, lang string")
     assert {(r.doc_id, r.lang_pred, r.score, r.rejected) for r in identify(docs, F.lit(True)).collect()} == {(1, "und", 0.0, True), (2, "und", 0.0, True)}
     assert identify(docs.limit(0), F.lit(True)).count() == 0
+
+
+def plain_probabilities(model, text):
+    """Softmax of the mean of a text's n-gram rows, in plain Python."""
+    letter = lambda c: c.isalpha() or c.isalnum() and not c.isdigit()
+    s = " " + "".join(c if letter(c) else " " for c in text.lower()) + " "
+    rows = []
+    for n in (1, 2, 3, 4):
+        for i in range(len(s) - n + 1):
+            gram = s[i : i + n]
+            if (n == 1 and gram != " ") or (n == 2 and gram != "  ") or (n > 2 and " " not in gram[1:-1]):
+                h = (n + sum(ord(c) * int(v) for c, v in zip(gram, NGRAM_VALUES))) % (1 << 64)
+                rows.append(int(B.mix(B.np.array([h], dtype=B.U64))[0]) % BUCKETS)
+    z = [(sum(float(model.table[r, k]) for r in rows) / len(rows) + float(model.bias[k])) / model.temperature for k in range(len(model.languages))]
+    e = [math.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
+
+
+def test_against_plain_softmax(spark):
+    data = list(rows(200))
+    model = fit([r[1] for r in data], [r[2] for r in data])
+    texts = ["hij klm abc", "é à ç", "Abc123 def-gh", "a", *(r[1] for r in data[:20])]
+    got = model.probabilities(texts)
+    for p, t in zip(got, texts):
+        assert max(abs(x - y) for x, y in zip(p, plain_probabilities(model, t))) < 1e-6
+    ids = spark.createDataFrame([(i,) for i in [*range(50), -3, 10**12]], "doc_id long")
+    assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in ids.select("doc_id", held_out(F.col("doc_id")).alias("h")).collect())
+
+
+def test_sample_is_bounded_when_ids_repeat(spark, monkeypatch):
+    monkeypatch.setattr(langid, "DOCS_PER_LANGUAGE", 50)
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    same = [(7, "abc def", "aa")] * 3000 + [(None, f"hij {i}", "bb") for i in range(2000)] + [(i, "x", f"l{i}") for i in range(300)]
+    got = training_sample(spark.createDataFrame(same, "doc_id long, text string, lang string"), F.lit(True)).groupBy("lang").count().collect()
+    assert {r.lang for r in got} <= {"aa", "bb"} and all(r["count"] <= 50 * SEGMENTS for r in got) and DOCS_PER_LANGUAGE >= 50
+    assert {r.lang: r["count"] for r in got}["bb"] > 20 * SEGMENTS

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from stagelight.llm import minhash
+from stagelight.llm.minhash import drop_near_duplicates, near_duplicates
 from stagelight.llm.common import Scratch
 from stagelight.llm.components import components
 
@@ -114,3 +115,21 @@ def test_common_counts():
     left, right = np.arange(0, 50), np.arange(30, 80)
     want = np.array([[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left])
     assert (minhash.common_counts(sets, left, right) == want).all()
+
+
+def test_long_words_that_differ(spark, tmp_path):
+    a = "a"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, a.translate(str.maketrans("ab", "ba")))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "tm"))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.read.parquet(str(tmp_path / "tm"))).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 2, True)}
+
+
+def test_columns_stay_whatever_their_names(spark, tmp_path):
+    rows = [(1, "a b c d e f", 7, "x", 0), (2, "a b c d e f", 8, "y", 0), (3, None, 9, None, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, _row int, cls string, __row int").coalesce(1).write.parquet(str(tmp_path / "c"))
+    out = drop_near_duplicates(spark.read.parquet(str(tmp_path / "c")))
+    assert out.columns == ["doc_id", "text", "_row", "cls", "__row"]
+    assert sorted(tuple(r) for r in out.collect()) == [rows[0], rows[2]]

@@ -54,3 +54,12 @@ def test_order_is_spread(spark, tmp_path):
     ids = [r.doc_id for r in out]
     up = sum(a < b for a, b in zip(ids, ids[1:]))
     assert 0.4 < up / len(ids) < 0.6
+
+
+def test_clashing_columns_and_empty_table(spark):
+    docs = spark.createDataFrame([(i, "abc", "s", 5, "r", 1.5, 2, 3) for i in range(20)], "doc_id long, text string, source string, _mix_times int, _mix_source string, _mix_rate double, _mix_copy int, _mix_place long")
+    out = mix_sources(docs, {"s": 2.0}, epochs=2.0, seed=3)
+    assert out.columns == [*docs.columns, "copy_no"]
+    rows = out.collect()
+    assert rows and {(r._mix_times, r._mix_source, r._mix_rate, r._mix_copy, r._mix_place) for r in rows} == {(5, "r", 1.5, 2, 3)}
+    assert mix_sources(docs.limit(0), {"s": 2.0}, seed=3).count() == 0

@@ -98,3 +98,21 @@ def test_array_pass_equals_word_by_word():
         for w, got in zip(some, lattice.best(some)):
             want = best_of_unit(w, v)
             assert got[0] == want[0] and np.allclose(got[1:], want[1:]), w
+
+
+def test_more_words_than_the_cache_holds(monkeypatch):
+    """Results don't depend on what the cache has dropped, nor on how words are searched."""
+    import random
+
+    from stagelight.llm import pieces
+
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcdeéß日") for _ in range(rng.randint(1, 9))) for _ in range(60)) for _ in range(40)]
+    want = pieces.Encoder(pieces.load_vocabulary(), 4).encode_many(texts)
+    monkeypatch.setattr(pieces, "CACHE", 150)
+    for few in (0, 10**6):
+        monkeypatch.setattr(pieces, "FEW", few)
+        encoder = pieces.Encoder(pieces.load_vocabulary(), 4)
+        got = [x for a in range(0, 40, 8) for x in encoder.encode_many(texts[a : a + 8])] + [encoder.encode(t) for t in texts]
+        for g, w in zip(got, want + want):
+            assert (g[0] == w[0]).all() and g[1] == w[1] and g[2] == w[2]

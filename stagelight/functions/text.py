@@ -331,7 +331,7 @@ def encode_path(path: Column) -> Column:
 
 def safe_json(value: Column) -> Column:
     """JSON that may stand inside a script element."""
-    return F.regexp_replace(F.to_json(value), "<", "\\\\\\\\u003c")
+    return F.replace(F.to_json(value), F.lit("<"), F.lit("\\u003c"))
 
 
 @F.pandas_udf(ArrayType(StringType()))

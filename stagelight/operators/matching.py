@@ -61,28 +61,40 @@ PASS_TITLE = "(?i)\\b(?:both|two|2)[ -]?show pass\\b"
 def link_scores(gigs: DataFrame, events: DataFrame) -> DataFrame:
     """(gig_id, url, confidence 1 to 3) of pairs on one local day.
 
+    Without an equal title slug or an equal venue key there is no confidence, so pairs come from two equi-joins, on
+    day and slug and on day and venue key; a busy day costs no product of its gigs and events.
+
     gigs: gig_id, title, starts_at, artist_names, venue_name, venue_slug. events: url, date_key, title, starts_at, venue_name.
     """
     g = gigs.select("gig_id", day_key(F.col("starts_at")).alias("date_key"), slugify(F.col("title")).alias("slug"), canonical_title(F.col("title")).alias("canonical"), F.col("starts_at").alias("g_at"), F.array(venue_match_key(F.col("venue_slug")), venue_match_key(F.col("venue_name"))).alias("venues"), F.col("title").rlike(PASS_TITLE).alias("is_pass"), "artist_names")
     names = gigs.select("gig_id", F.explode("artist_names").alias("name")).where(F.trim("name") != "").withColumn("key", slugify(F.col("name"))).groupBy("gig_id").agg(F.collect_set("key").alias("performers"))
     g = g.join(names, "gig_id", "left")
     e = events.select("url", "date_key", slugify(F.col("title")).alias("e_slug"), canonical_title(F.col("title")).alias("e_canonical"), F.col("starts_at").alias("e_at"), venue_match_key(F.col("venue_name")).alias("e_venue"))
-    pairs = g.join(e, "date_key")
+    by_slug = g.join(e.withColumn("slug", F.col("e_slug")), ["date_key", "slug"])
+    by_venue = g.withColumn("e_venue", F.explode(F.array_distinct("venues"))).join(e, ["date_key", "e_venue"])
+    columns = [*g.columns, *(c for c in e.columns if c != "date_key")]
+    pairs = by_slug.select(*columns).unionByName(by_venue.select(*columns).where("slug != e_slug"))
     exact = F.col("slug") == F.col("e_slug")
     alike = compatible_keys(F.col("canonical"), F.col("e_canonical"))
     performer = ~F.col("is_pass") & F.coalesce(F.array_contains("performers", F.col("e_slug")), F.lit(False))
     venue = F.array_contains("venues", F.col("e_venue"))
     time = F.abs(F.unix_micros("g_at") - F.unix_micros("e_at")) <= 15 * 60 * 1_000_000
     confidence = F.when(exact & venue & time, 3).when((exact & time) | ((alike | performer) & venue & time), 2).when(exact & venue, 1).otherwise(0)
-    return pairs.select("gig_id", "url", confidence.alias("confidence")).where("confidence > 0")
+    return pairs.select("gig_id", "url", confidence.alias("confidence")).where("confidence > 0").distinct()
 
 
 def plausible_cards(cards: DataFrame, gigs: DataFrame) -> DataFrame:
-    """Discovery cards that some gig of the day could be: equal or compatible title, or performer at the venue."""
+    """Discovery cards that some gig of the day could be: equal or compatible title, or performer at the venue.
+
+    Compatible titles share a word, so pairs meet by day and word.
+    """
     scored = link_scores(gigs, cards.withColumn("starts_at", F.lit(None).cast("timestamp")))
     g = gigs.select(day_key(F.col("starts_at")).alias("date_key"), slugify(F.col("title")).alias("slug"), canonical_title(F.col("title")).alias("canonical"))
     c = cards.select("url", "date_key", slugify(F.col("title")).alias("e_slug"), canonical_title(F.col("title")).alias("e_canonical"))
-    by_title = c.join(g, "date_key").where((F.col("slug") == F.col("e_slug")) | compatible_keys(F.col("canonical"), F.col("e_canonical"))).select("url")
+    words = lambda rows, key: rows.distinct().withColumn("word", F.explode(F.array_distinct(F.split(key, "-"))))
+    same = c.join(g.select("date_key", F.col("slug").alias("e_slug")).distinct(), ["date_key", "e_slug"], "left_semi").select("url")
+    alike = words(c.select("url", "date_key", "e_canonical"), "e_canonical").join(words(g.select("date_key", "canonical"), "canonical"), ["date_key", "word"])
+    by_title = same.unionByName(alike.where(compatible_keys(F.col("canonical"), F.col("e_canonical"))).select("url"))
     return cards.join(by_title.unionByName(scored.select("url")).distinct(), "url", "left_semi")
 
 

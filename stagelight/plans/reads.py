@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stagelight.functions import dates as D
 from stagelight.functions.artists import artist_line
-from stagelight.functions.text import match_score, matches_query, search_text
+from stagelight.functions.text import match_score, matches_query, safe_json, search_text
 
 SUGGESTIONS, UPCOMING = 7, 120
 
@@ -226,7 +226,7 @@ def event_json(cards: DataFrame, now: datetime, site: str) -> DataFrame:
     place = F.struct(F.lit("MusicVenue").alias("@type"), F.col("venue_name").alias("name"), F.col("venue_address").alias("address"))
     performers = F.when(F.size("artist_names") > 0, F.transform("artist_names", lambda n: F.struct(F.lit("MusicGroup").alias("@type"), n.alias("name"))))
     body = F.struct(F.lit("https://schema.org").alias("@context"), F.lit("MusicEvent").alias("@type"), F.col("title").alias("name"), D.iso_local(F.col("starts_at")).alias("startDate"), D.iso_local(F.col("ends_at")).alias("endDate"), status.alias("eventStatus"), F.concat(F.lit(f"{site}/gigs/"), "slug").alias("url"), place.alias("location"), performers.alias("performer"))
-    return cards.select("id", F.regexp_replace(F.to_json(body), "<", "\\\\\\\\u003c").alias("json"))
+    return cards.select("id", safe_json(body).alias("json"))
 
 
 def fact_summary(now: datetime) -> Column:

@@ -44,11 +44,11 @@ def normalise_names(names: Column) -> Column:
     Slugs of names with other than ASCII letters differ by accents from their plain form here, as a pandas UDF can't
     stand inside a higher-order function; `normalise_exploded` in operators.artists folds them too.
     """
-    cleaned = F.filter(F.transform(F.coalesce(names, F.array().cast("array<string>")), _clean_native), lambda n: (n != "") & ~n.rlike(PLACEHOLDER))
+    cleaned = F.filter(F.transform(F.coalesce(names, F.array().cast("array<string>")), clean_plain), lambda n: (n != "") & ~n.rlike(PLACEHOLDER))
     return distinct_by(cleaned, lambda n: F.regexp_replace(F.lower(F.regexp_replace(n, "&", " and ")), "[^\\p{L}\\p{N}]+", "-"))
 
 
-def _clean_native(name: Column) -> Column:
+def clean_plain(name: Column) -> Column:
     text = F.trim(F.regexp_replace(name, f"{SPACE}+", " "))
     edge = f"[{DECORATION}{SPACE[1:-1]}]+"
     bare = F.regexp_replace(F.regexp_replace(text, f"^{edge}", ""), f"{edge}$", "")
@@ -68,9 +68,10 @@ def kind_rank(kind: Column) -> Column:
     return rank
 
 
-def preferred_name(existing: Column, incoming: Column) -> Column:
-    """The incoming spelling, unless it is all capitals and the existing one is mixed case."""
-    old, new = clean_name(F.coalesce(existing, F.lit(""))), clean_name(incoming)
+def preferred_name(existing: Column, incoming: Column, clean=clean_name) -> Column:
+    """The incoming spelling, unless it is all capitals and the existing one is mixed case. clean: `clean_plain` inside
+    higher-order functions, for names without entities."""
+    old, new = clean(F.coalesce(existing, F.lit(""))), clean(incoming)
     mixed = (old != F.upper(old)) & (old != F.lower(old))
     capitals = (new == F.upper(new)) & (new != F.lower(new))
     return F.when((old != "") & mixed & capitals, old).otherwise(new)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stagelight.functions import text as T
 from stagelight.functions.artists import extraction
 from stagelight.functions.dates import day_key, parse_utc
+from stagelight.functions.lineups import guests, milk_bar_names
 from stagelight.functions.merging import listing_status
 from stagelight.functions.urls import clean_url, drop_image_size, image_area, within_km
 
@@ -51,8 +52,7 @@ def structured_artists() -> Column:
 
 def guest_artists() -> Column:
     """Guests of a line such as `with A, B and C`."""
-    text = F.regexp_replace(T.normalise_space(F.regexp_replace(F.coalesce("SpecialGuests", F.lit("")), "<[^>]+>", " ")), "(?i)^(?:with|featuring|feat\\.?|supported by|support from)[:\\s]+", "")
-    return F.filter(F.split(text, "\\s*[,;|•]\\s*|\\s+(?:and|&|\\+)\\s+"), lambda x: x != "")
+    return guests(T.normalise_space(F.regexp_replace(F.coalesce("SpecialGuests", F.lit("")), "<[^>]+>", " ")))
 
 
 def description() -> Column:
@@ -78,11 +78,11 @@ def preferred_image() -> Column:
     return F.get(listed, 0)["url"]
 
 
-def _records(hits: DataFrame, slug: str, title: Column, source_url: Column, image: Column, venue: Column, rescheduled: bool) -> DataFrame:
+def _records(hits: DataFrame, slug: str, title: Column, source_url: Column, image: Column, venue: Column, rescheduled: bool, artists: Column | None = None) -> DataFrame:
     start = parse_utc(F.col("DateStart"))
     named = hits.withColumn("_title", title).withColumn("_start", start).withColumn("_url", source_url).withColumn("_venue", venue)
     own, guests = extraction(structured_artists(), "structured"), extraction(guest_artists(), "explicit_lineup")
-    chosen = F.when(F.size(own["artists"]) > 0, own).otherwise(guests)
+    chosen = F.when(F.size(own["artists"]) > 0, own).otherwise(guests) if artists is None else artists
     status = listing_status(F.col("_title"), F.col("IsCancelled"), F.coalesce("IsPostponed", F.lit(False)) | F.coalesce("IsRescheduled", F.lit(False)), F.col("AffectedBy"), rescheduled)
     out = named.select(
         F.lit(slug).alias("source_slug"), F.nullif(F.trim("EventGuid"), F.lit("")).alias("external_id"), F.col("_url").alias("source_url"), image.alias("image_url"), F.col("_title").alias("title"),
@@ -135,7 +135,9 @@ def normalise_milk_bar(hits: DataFrame) -> DataFrame:
     name = F.coalesce(F.col("Venue.Name"), F.lit("Milk Bar"))
     venue = _venue(name, T.venue_suburb(name, F.col("Venue.Locality")), T.venue_address(name, F.col("Venue.Address")), clean_url(F.col("Venue.WebsiteUrl")))
     url = F.coalesce(F.nullif(F.trim("EventUrl"), F.lit("")), F.lit("https://www.milkbarperth.com.au/"))
-    return without_status_variants(_records(rows, "milk-bar", T.normalise_space(F.col("EventName")), url, F.lit(None).cast("string"), venue, False))
+    rows = rows.withColumn("_lines", T.html_lines(F.col("EventDescription")))
+    found = milk_bar_names(F.col("_lines"), structured_artists(), F.col("SpecialGuests"), F.coalesce("EventName", F.lit("")))
+    return without_status_variants(_records(rows, "milk-bar", T.normalise_space(F.col("EventName")), url, F.lit(None).cast("string"), venue, False, found))
 
 
 def without_status_variants(rows: DataFrame) -> DataFrame:

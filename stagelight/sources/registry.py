@@ -37,7 +37,9 @@ ORDER = (
 
 
 def registry() -> list[Source]:
-    from stagelight.sources import city_feed, json_hits, json_ld
+    from datetime import datetime, timezone
+
+    from stagelight.sources import city_feed, feeds, json_hits, json_ld, pages
 
     own = {
         "oztix-wa": (json_hits.read_hits, json_hits.normalise_oztix),
@@ -47,6 +49,9 @@ def registry() -> list[Source]:
         "humanitix-perth-music": (json_ld.read_pages, json_ld.normaliser("humanitix-perth-music")),
         "moshtix-wa": (json_ld.read_pages, json_ld.normaliser("moshtix-wa")),
         "eventbrite-perth-music": (json_ld.read_pages, json_ld.normaliser("eventbrite-perth-music")),
+        "the-bird": (feeds.read_bird, lambda rows: feeds.normalise_bird(rows, datetime.now(timezone.utc))),
+        "the-ellington": (feeds.read_ellington_with_details, feeds.normalise_ellington_rows),
+        "ticketek-wa": (lambda spark, path: pages.result_rows(json_ld.read_pages(spark, path)), feeds.normalise_ticketek),
     }
     return [Source(slug, name, priority, True, *own.get(slug, (None, None))) for slug, name, priority in ORDER]
 

@@ -8,9 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only while its written (zstd) size is below this many bytes, which are two to three times as many
-#: in memory; beyond it the join shuffles.
-BROADCAST_BYTES = 2 << 20
+#: A side is broadcast only while its rows take at most this many bytes in memory; beyond it the join shuffles.
+BROADCAST_BYTES = 6 << 20
+#: Bytes that a row takes in a broadcast relation besides its texts: its own fields, its key and its pointers.
+ROW_BYTES = 80
 #: A key is heavy if it may fill more than one in MOST_HEAVY rows, and LEAST_HEAVY rows at least.
 MOST_HEAVY, LEAST_HEAVY = 1000, 10_000
 
@@ -66,8 +67,14 @@ class Scratch:
                 fs.delete(status.getPath(), True)
 
     def small(self, df: DataFrame, table: str) -> DataFrame:
-        """df with a broadcast hint if its written table is under BROADCAST_BYTES, else df for a shuffled join."""
-        return F.broadcast(df) if self.size(table) <= BROADCAST_BYTES else df
+        """df with a broadcast hint if its written table takes at most BROADCAST_BYTES in memory, as counted over its
+        rows and the lengths of its texts, else df for a shuffled join."""
+        if self.size(table) > BROADCAST_BYTES:
+            return df
+        rows = self.spark.read.parquet(self.path(table))
+        texts = [F.sum(F.length(name)) for name, kind in rows.dtypes if kind in ("string", "binary")]
+        n, *lengths = rows.agg(F.count("*"), *texts).first()
+        return F.broadcast(df) if ROW_BYTES * n + sum(x or 0 for x in lengths) <= BROADCAST_BYTES else df
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -30,3 +30,8 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id: r.text for r in seen["pii"] if r.doc_id < 3000} == {r[0]: r[1] for r in rows}
     assert 150 < len(seen["mixing"]) < 600 and len(seen["encoding"]) == len(seen["mixing"])
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(r.doc_id for r in seen["encoding"])
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

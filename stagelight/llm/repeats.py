@@ -430,7 +430,8 @@ def remove_repeats(docs: DataFrame, units: Units, out, schema: str, columns: lis
     keyed = with_row_id(docs.select(*columns, "text"))
     ranges = repeated_ranges(keyed.select("_row", "text"), units, scratch, in_memory, bucket)
     scratch.keep_only("ranges")
-    joined = keyed.join(scratch.small(ranges, "ranges"), "_row", "left").select(*columns, "text", "spans")
+    # shuffled at every size: spans grow with the repeats, and a broadcast of a few would tell nothing about many
+    joined = keyed.join(ranges.hint("shuffle_hash"), "_row", "left").select(*columns, "text", "spans")
     names = [x.split()[0] for x in schema.split(", ")]
     fields = docs.select(*columns).schema
     for part in schema.split(", "):

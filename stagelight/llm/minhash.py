@@ -335,7 +335,8 @@ def labelled_rows(keyed: DataFrame, percent: int) -> DataFrame:
     pairs = scratch.write(best.select(F.least("child", "other").alias("a"), F.greatest("child", "other").alias("b")).distinct(), "pairs")
     involved = near.select(F.explode(F.array("child", "other")).alias("cls")).distinct()
     rows = scratch.write(classes.select("cls", "_row").join(involved, "cls", "left_semi"), "rows")
-    sets = scratch.write(keyed.select("_row", "text").join(scratch.small(rows, "rows"), "_row").mapInArrow(_sets, "cls binary, shingles binary"), "sets")
+    # shuffled at every size: these rows grow with the near copies, and a broadcast of a few would tell nothing about many
+    sets = scratch.write(keyed.select("_row", "text").join(rows.hint("shuffle_hash"), "_row").mapInArrow(_sets, "cls binary, shingles binary"), "sets")
 
     x = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))

@@ -242,7 +242,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     constant = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
     far = F.zip_with("x", constant([int(s) for s in fitted.moments.sums], "bigint"), lambda x, s: F.try_subtract(F.try_multiply(F.lit(n), x), s))
     deviation = F.aggregate(far, F.lit(0).cast("long"), lambda total, v: F.try_add(total, F.try_multiply(v, v)))
-    rows = white.select("vec_id", deviation.alias("deviation"), F.posexplode("whitened").alias("at", "value"))
+    rows = white.select("vec_id", deviation.alias("deviation"), "whitened").select("vec_id", "deviation", F.posexplode("whitened").alias("at", "value"))
     share = F.element_at(constant(fitted.explained.tolist(), "double"), F.col("at") + 1)
     return rows.select(
         "vec_id", (F.col("at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", F.col("value").alias("whitened"), share.alias("explained"), F.lit(error).alias("identity_error")

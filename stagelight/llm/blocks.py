@@ -144,12 +144,13 @@ def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int,
         a = min(b, n)
 
 
-def word_spans(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and the index of each row's first word (with the total at the end)."""
+def word_spans(buf: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and the index of each row's first word (with the total at the end); `space` tells
+    which bytes are part of no word."""
     if not len(buf):
         z = np.empty(0, dtype=np.int64)
         return z, z, np.zeros(len(bounds), dtype=np.int64)
-    word = ~SPACE[buf]
+    word = ~space[buf]
     before = np.empty(len(buf), dtype=bool)
     before[0] = False
     before[1:] = word[:-1]

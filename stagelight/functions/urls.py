@@ -78,6 +78,13 @@ def _clean(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) != "", absolute_http(drop_params(full, "utm_[A-Za-z_]*")))
 
 
+def resolved(value: Column, origin: str) -> Column:
+    """A page's link as an absolute URL: relative ones belong to the origin; null if blank."""
+    text = F.trim(value)
+    full = F.when(text.startswith("//"), F.concat(F.lit("https:"), text)).when(text.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), text).when(text.startswith("/"), F.concat(F.lit(origin), text)).otherwise(F.concat(F.lit(f"{origin}/"), text))
+    return F.when(F.coalesce(text, F.lit("")) != "", full)
+
+
 def drop_image_size(url: Column) -> Column:
     return drop_params(url, "width|height")
 

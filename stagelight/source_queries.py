@@ -186,17 +186,20 @@ def s07_rest_list(spark, d):
 
 
 @query(
-    """SELECT 'C' || p_partkey || CASE WHEN p_size % 2 = 0 THEN ':V1' ELSE '' END AS external_id, 'https://t.example.com/Shows/Show.aspx?sh=C' || p_partkey || CASE WHEN p_size % 2 = 0 THEN '&v=V1' ELSE '' END AS url, p_name || ' Concert' AS title, 'hall-' || p_size AS venue, 'Perth' AS suburb, CASE WHEN p_size % 3 = 1 THEN 'Ada|Bo' ELSE '' END AS artists,
-  CASE WHEN p_size % 3 = 1 THEN 'featuring Ada and Bo — ' ELSE '' END || 'see it' AS description, '1998-03-20 04:00:00' AS starts, CASE WHEN p_size % 5 = 0 THEN 'ambiguous' WHEN p_size % 7 = 0 THEN 'rejected' WHEN p_size % 11 = 0 THEN 'ambiguous' ELSE 'accepted' END AS verified FROM part WHERE p_size % 4 <> 0"""
+    """SELECT 'C' || p_partkey || m || CASE WHEN p_size % 2 = 0 THEN ':V1' ELSE '' END AS external_id, 'https://t.example.com/Shows/Show.aspx?sh=C' || p_partkey || m || CASE WHEN p_size % 2 = 0 THEN '&v=V1' ELSE '' END AS url, 'https://i.example.com/a.jpg' AS image, 3 AS page_count, 1 AS broken, p_name || ' Concert' AS title, 'hall-' || p_size AS venue, 'Perth' AS suburb, CASE WHEN p_size % 3 = 1 THEN 'Ada|Bo' ELSE '' END AS artists,
+  CASE WHEN p_size % 3 = 1 THEN 'featuring Ada and Bo — ' ELSE '' END || 'see it' AS description, '1998-03-20 04:00:00' AS starts, CASE WHEN m = 'm' OR p_size % 5 = 0 THEN 'ambiguous' WHEN p_size % 7 = 0 THEN 'rejected' WHEN p_size % 11 = 0 THEN 'ambiguous' ELSE 'accepted' END AS verified FROM part, (VALUES (''), ('m')) v(m) WHERE p_size % 4 <> 0"""
 )
 def s08_result_rows(spark, d):
     """S8, S15, F-S34, F-S38, F-U6, F-T12, P9, P14, P23, A17, H13, H14: result pages to listings, and their verification."""
     p = part(spark, d)
     n = F.col("p_size")
-    row = lambda sh: F.concat(F.lit("<div class='row'><a href='//t.example.com/x.aspx?"), F.when(n % 2 == 0, "v=V1&amp;").otherwise(""), F.lit("sh="), sh, F.lit("&amp;q=1'>Buy</a><span class='place'>Hall "), n, F.lit(", Perth, WA</span><span class='date'>Fri 20 Mar 1998</span></div>"))
+    button = lambda sh: F.concat(F.lit("<div class='resultBuyNow'><a class=b href='//t.example.com/x.aspx?"), F.when(n % 2 == 0, "v=V1&amp;").otherwise(""), F.lit("sh="), sh, F.lit("&amp;q=1'>Buy</a></div>"))
+    row = lambda link: F.concat(F.lit("<div class='contentEventAndDate clearfix'><div class='contentLocation'>Hall <div>"), n, F.lit("</div>, Perth,\n WA</div><div class='contentDate'>Fri 20 Mar 1998</div><p class='contentResultSummary'>see <b>it</b></p>"), link, F.lit("</div>"))
     code = F.concat(F.lit("C"), "p_partkey")
     title = F.when(n % 4 == 0, "Comedy gala").otherwise(F.concat("p_name", F.lit(" <b>Concert</b>")))
-    html = F.concat(F.lit("<div class='module'><h3 class='title'>"), title, F.lit("</h3><h4 class='subtitle'>"), F.when(n % 3 == 1, "featuring Ada and Bo").otherwise(""), F.lit("</h4><p class='summary'>see it</p>"), row(code), row(code), F.lit("<div class='row'><a href='/nothing'>x</a></div></div>"))
+    module = lambda inner: F.concat(F.lit("<div class='multi resultModule'><div class='resultContainer'><div class='contentImage'><a href='/x'><img src='//i.example.com/a.jpg'></a></div><div class='contentEvent'><h6>"), title, F.lit("</h6><p class='sub-title'>"), F.when(n % 3 == 1, "featuring Ada and Bo").otherwise(""), F.lit("</p></div>"), inner, F.lit("</div></div>"))
+    none = F.lit("")
+    html = F.concat(F.lit("<ul><li><a href='/search/SearchResults.aspx?k=x&amp;page=3'>3</a></ul>"), module(F.concat(row(button(code)), row(button(code)), row(F.concat(F.lit("<div class='resultBuyNow'><a href='/nothing?k="), "p_partkey", F.lit("'>x</a></div>"))), row(none))), module(F.concat(row(none), button(F.concat(code, F.lit("m"))))), F.lit("<div class='resultModule'><h6>no event</h6></div>"))
     rows = pages.result_rows(p.select(F.col("p_partkey").alias("page_id"), html.alias("html")))
     listed = feeds.normalise_ticketek(rows)
     key = F.regexp_extract("external_id", "^C([0-9]+)", 1)
@@ -205,30 +208,45 @@ def s08_result_rows(spark, d):
     kinds = gates.positive_facets(F.create_map(F.when(n % 7 == 0, "Sport > Golf").when(n % 11 == 0, "Other").otherwise("Contemporary Music > Rock"), F.lit(2), F.lit("Theatre"), F.lit(0)))
     responses = p.select(F.col("p_partkey").cast("string").alias("title_key"), kinds.alias("facets"), F.lit(False).alias("has_more"))
     verified = gates.verify_listings(asked, answers, responses).select(F.col("listing_id").alias("external_id"), F.col("status").alias("verified"))
-    out = listed.select("external_id", F.col("source_url").alias("url"), "title", F.col("venue.slug").alias("venue"), F.col("venue.suburb").alias("suburb"), joined("artists").alias("artists"), "description", F.date_format("starts_at", "yyyy-MM-dd HH:mm:ss").alias("starts"))
+    broken = listed.where("_error IS NOT NULL").groupBy(F.regexp_extract("source_url", "k=([0-9]+)$", 1).alias("title_key")).agg(F.count("*").cast("int").alias("broken"))
+    counts = rows.groupBy(F.col("n.page_id").cast("string").alias("title_key")).agg(F.max("page_count").alias("page_count")).join(broken, "title_key")
+    out = listed.join(counts, counts["title_key"] == key).select("external_id", F.col("source_url").alias("url"), F.col("image_url").alias("image"), "page_count", "broken", "title", F.col("venue.slug").alias("venue"), F.col("venue.suburb").alias("suburb"), joined("artists").alias("artists"), "description", F.date_format("starts_at", "yyyy-MM-dd HH:mm:ss").alias("starts"))
     return out.join(verified, "external_id")
 
 
 @query(
     """SELECT p_partkey, 'https://events.humanitix.com/a' || p_partkey || '|https://events.humanitix.com/b' AS events, '/p?page=2' AS next, 1 AS failed, 'https://tixel.com/au/red-tickets/1998/03/20/red-' || p_partkey || '|1998-03-20|Red & Co|Hall' AS card, p_size AS pages, '{"a": {"b": "}' || p_size || '"}}' AS embedded, 'i' || p_partkey AS decoded, '{"id": ' || p_size || '}' AS event_data,
-  CASE WHEN p_size % 2 = 0 THEN CAST(p_partkey AS VARCHAR) END AS owned, 'u' || p_partkey || '|' || p_name || '|t' AS row, p_size + 1 AS page_count, 1 AS broken FROM part"""
+  CASE WHEN p_size % 2 = 0 THEN CAST(p_partkey AS VARCHAR) END AS owned, p_partkey || '|' || p_name || '|https://www.moshtix.com.au/v2/event/red/' || p_partkey || '?x=1|' || CASE WHEN p_size % 5 = 0 THEN '-' ELSE '1998-03-20 11:30' END || '|https://i.example.com/a.jpg|' || CASE WHEN p_size % 2 = 0 THEN 't & u' ELSE '-' END || CASE WHEN p_size % 5 = 0 THEN '|no date' ELSE '|ok' END AS row,
+  p_size + 1 AS page_count, CASE WHEN p_size % 5 = 0 THEN 2 ELSE 1 END AS broken FROM part"""
 )
 def s09_discovery(spark, d):
     """S14, S16, S17, S18, F-U4, F-U5, F-S40, F-J5 to F-J7: links, cards and data of search and discovery pages."""
     p = part(spark, d)
     n, key = F.col("p_size"), F.col("p_partkey")
     crawl = pages.discovery(F.concat(F.lit("<a class=x href='https://events.humanitix.com/a"), key, F.lit("?c=1'>a</a><a href='https://events.humanitix.com/b/'>b</a><a href='https://events.humanitix.com/b'>b</a><a href='https://events.humanitix.com/x/y'>c</a><a rel='next' href='/p?page=2'>n</a>")))
-    market = pages.secondary_cards(F.concat(*[F.lit("<a href='/au/red-tickets/1998/03/20/red-"), key, F.lit("'><p><strong>Red &amp; <i>Co</i></strong></p><p>Hall</p></a>")] * 2, F.lit("<a href='/au/red-tickets/1998/02/30/red-1'><p><strong>No day</strong></p><p>Hall</p></a><a href='/au/discover/Perth/music-tickets?page="), n, F.lit("'>l</a>")))
+    card_of = lambda href, inner: F.concat(F.lit("<div data-e2e='music/:event'><a class='c' href='"), href, F.lit("'><div><div><img src=x></div></div>"), F.lit(inner), F.lit("</a></div>"))
+    url_of = lambda name: F.concat(F.lit(f"/au/{name}-tickets/1998/03/20/{name}-"), key)
+    market = pages.secondary_cards(F.concat(
+        *[card_of(url_of("red"), "<div><p class=t><span><strong>Red &amp; <i>Co</i></strong></span> now<p>Hall<p>Perth</div>")] * 2, card_of(F.lit("/au/red-tickets/1998/02/30/red-1"), "<p><strong>No day</strong></p><p>Hall</p>"), card_of(F.concat(url_of("red"), F.lit("?ref=t")), "<p><strong>Tracked</strong></p><p>Hall</p>"),
+        card_of(url_of("blue"), "<p><strong>No venue</strong></p><div><p>Hall</p></div>"), F.lit("<a href='"), url_of("green"), F.lit("'><p><strong>No card</strong></p><p>Hall</p></a><a href='https://tixel.com/au/discover/Perth/music-tickets?page="), n, F.lit("'>l</a><a href='https://evil.example.com/au/discover/Perth/music-tickets?page=99'>l</a>"),
+    ))
     data = pages.embedded_json(F.concat(F.lit("<script>window.__SERVER_DATA__ = {\"a\":{\"b\":\"}"), n, F.lit("\"}}; x = {};</script>")))
     encoded = F.base64(F.concat(F.lit('{"itemId":"i'), key, F.lit('"}')).cast("binary"))
     owned = feeds.owned_event(F.when(n % 2 == 0, F.concat(F.lit("https://www.eventbrite.com.au/e/red-ring-tickets-"), key, F.lit("?aff=x"))).otherwise(F.concat(F.lit("https://evil.example.com/e/red-"), key)))
-    search = pages.search_rows(F.concat(F.lit("<div class='searchresult a'><a href='https://m.example.com/v2/event/red/"), key, F.lit("?x=1'>l</a><h2>"), F.col("p_name"), F.lit("</h2><p class='teaser'>t</p></div><div class='searchresult'><h2>broken</h2></div><a href='?Page="), n + 1, F.lit("'>p</a>")))
+    data_of = F.concat(F.lit("<script type='application/ld+json'>[{\"@type\":\"MusicEvent\",\"name\":\""), F.col("p_name"), F.lit("\",\"url\":\"https://x.example.com/v2/event/other/1\",\"startDate\":\""), F.when(n % 5 == 0, "soon").otherwise("1998-03-20T19:30:00"), F.lit("\",\"image\":[\"https://www.moshtix.com.au/uploads/\",\"//i.example.com/a.jpg\"]}]</script>"))
+    block = lambda attrs, inner: F.concat(F.lit(f"<div class='searchresult  clearfix' {attrs}><div><div>"), *inner, F.lit("</div></div></div>"))
+    main = F.concat(F.lit("<h2 class='main-event-header'><a href='/v2/event/red/"), key, F.lit("?x=1'><span>Heading</span></a></h2><h2>Tue</h2>"))
+    search = pages.search_rows(p.select(key.alias("page_id"), F.concat(
+        block("data-event-id=' '", (main, F.when(n % 2 == 0, "<p><span> t &amp; <b>u</b></span> <a href=x>more</a></p>").otherwise("<p>t</p>"), data_of)), block("data-event-id='b'", (F.lit("<h2 class='main-event-header'></h2>"),)), F.lit("<div class='searchresult'><h2>no block</h2></div><a href='?Page="), n + 1, F.lit("'>p</a>")
+    ).alias("html")))
+    found = search.where("i = 0").select(F.col("page_id").alias("p_partkey"), "page_count", F.concat_ws("|", "external_id", "title", "url", F.coalesce(F.date_format("starts_at", "yyyy-MM-dd HH:mm"), F.lit("-")), "image_url", F.coalesce("teaser", F.lit("-")), F.coalesce("_error", F.lit("ok"))).alias("row"))
+    broken = search.groupBy(F.col("page_id").alias("p_partkey")).agg(F.count("_error").alias("broken"))
     card = F.get(market["cards"], 0)
-    one = F.get(search["rows"], 0)
-    return p.select(
+    out = p.select(
         "p_partkey", joined(crawl["event_urls"]).alias("events"), joined(crawl["next_urls"]).alias("next"), crawl["failed"].alias("failed"), F.when(F.size(market["cards"]) == 1, F.concat_ws("|", card["url"], card["date_key"], card["title"], card["venue_name"])).alias("card"), market["max_page"].alias("pages"), data.alias("embedded"), pages.base64_id(encoded).alias("decoded"),
-        pages.event_data(F.concat(F.lit("x; var moshtixEventData = {\"id\": "), n, F.lit("}; var y = {};"))).alias("event_data"), owned["external_id"].alias("owned"), F.concat_ws("|", F.concat(F.lit("u"), one["external_id"]), one["title"], one["teaser"]).alias("row"), search["page_count"].alias("page_count"), search["failed"].alias("broken"),
+        pages.event_data(F.concat(F.lit("x; var moshtixEventData = {\"id\": "), n, F.lit("}; var y = {};"))).alias("event_data"), owned["external_id"].alias("owned"),
     )
+    return out.join(found, "p_partkey").join(broken, "p_partkey")
 
 
 @query(

@@ -31,7 +31,7 @@ def _listing(rows: DataFrame, slug: str, venue: Column, **fields: Column) -> Dat
     """Normalised listings with an error where title or start is missing. fields: the record's own columns."""
     none = F.lit(None).cast("string")
     get = lambda name, other=none: fields.get(name, other)
-    error = F.when((F.coalesce(fields["title"], F.lit("")) == "") | fields["starts_at"].isNull(), "no title or start")
+    error = F.coalesce(get("error"), F.when((F.coalesce(fields["title"], F.lit("")) == "") | fields["starts_at"].isNull(), "no title or start"))
     out = rows.select(
         F.lit(slug).alias("source_slug"), fields["external_id"].alias("external_id"), fields["source_url"].alias("source_url"), get("image_url").alias("image_url"), fields["title"].alias("title"), get("description").alias("description"), get("status", F.lit("active")).alias("status"),
         fields["starts_at"].alias("starts_at"), get("precision", F.lit("exact")).alias("starts_at_precision"), get("ends_at", F.lit(None).cast("timestamp")).alias("ends_at"), get("ticket_url").alias("ticket_url"), venue.alias("venue"), fields["artists"].alias("artists"),
@@ -217,19 +217,20 @@ def normalise_ticketek(rows: DataFrame) -> DataFrame:
     """Listings of result rows: url, title, subtitle, summary, location, date_text, n (order), by gates and dates.
 
     Rows near the city whose class isn't non-music; each show code once. Unknown ones stay with `music_class` unknown
-    for `gates.verify_listings`.
+    for `gates.verify_listings`. Rows whose link has no show code, or without a date, are listed with an error.
     """
-    link = show_url(F.col("url"))
-    rows = rows.withColumn("_link", link).where("_link is not null").where(gates.near_perth_text(F.col("location"))).withColumn("music_class", gates.ticketek_class(F.col("title"), F.col("subtitle"), F.col("summary"), F.col("location")))
+    if "image_url" not in rows.columns:
+        rows = rows.withColumn("image_url", F.lit(None).cast("string"))
+    rows = rows.withColumn("_link", show_url(F.col("url"))).where(gates.near_perth_text(F.col("location"))).withColumn("music_class", gates.ticketek_class(F.col("title"), F.col("subtitle"), F.col("summary"), F.col("location")))
     rows = rows.where("music_class != 'non-music'").withColumn("_title", T.normalise_space(F.col("title"))).withColumn("_start", D.parse_day_text(F.col("date_text")))
-    first = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("_link.external_id").orderBy("n"))).where("_rn = 1")
+    first = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(F.coalesce(F.col("_link.external_id"), F.to_json("n"))).orderBy("n"))).where("_rn = 1")
     place = first.withColumn("_p", place_of_location(F.col("location")))
     name = T.venue_name(F.col("_p.name"))
     venue = F.struct(name.alias("name"), T.venue_slug(name).alias("slug"), T.venue_suburb(name, F.col("_p.suburb")).alias("suburb"), T.venue_address(name, F.lit("")).alias("address"), F.lit(None).cast("string").alias("website_url"))
     place = place.withColumn("_venue", venue)
     return _listing(
-        place, "ticketek-wa", F.col("_venue"), external_id=F.col("_link.external_id"), source_url=F.col("_link.url"), title=F.col("_title"), description=joined_description(F.col("_title"), F.col("subtitle"), F.col("summary")), starts_at=F.col("_start"), precision=F.lit("date"), ticket_url=F.col("_link.url"),
-        artists=ticketek_names(F.col("_title"), F.col("subtitle"), F.col("summary")), kind=F.lit("parsed_text"), raw_payload=F.to_json(F.struct("url", "title", "subtitle", "summary", "location", "date_text", "music_class")), place=F.struct(F.lit("row").alias("f"), F.col("n").alias("n")),
+        place, "ticketek-wa", F.col("_venue"), external_id=F.col("_link.external_id"), source_url=F.coalesce(F.col("_link.url"), F.col("url")), image_url=F.col("image_url"), title=F.col("_title"), description=joined_description(F.col("_title"), F.col("subtitle"), F.col("summary")), starts_at=F.col("_start"), precision=F.lit("date"), ticket_url=F.col("_link.url"),
+        artists=ticketek_names(F.col("_title"), F.col("subtitle"), F.col("summary")), kind=F.lit("parsed_text"), raw_payload=F.to_json(F.struct("url", "title", "subtitle", "summary", "location", "date_text", "music_class")), place=F.struct(F.lit("row").alias("f"), F.col("n").alias("n")), error=F.when(F.col("_link").isNull(), "no show code"),
     )
 
 

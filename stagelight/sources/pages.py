@@ -10,9 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from stagelight.functions import text as T
-from stagelight.functions.urls import clean_url, direct_event, host, path_of
+from stagelight.functions.dates import parse_start
+from stagelight.functions.urls import clean_url, direct_event, host, path_of, resolved
 from stagelight.sources import gates
-
+from stagelight.sources import nodes as N
+
+#: Sites of relative links, and selectors of the pages' parts.
+MARKET, SEARCH_SITE, RESULT_SITE = "https://tixel.com", "https://www.moshtix.com.au", "https://premier.ticketek.com.au"
+MARKET_NODES = {"card": "[data-e2e$='/:event'] > a[href]", "title": "strong", "paragraph": "p", "link": "a[href]"}
+SEARCH_NODES = {
+    "block": "div.searchresult.clearfix", "data": "script[type='application/ld+json']", "main_link": "h2.main-event-header a", "title": "h2.main-event-header", "event_link": "a[href*='/v2/event/']", "image": ".searchresult_image img", "teaser": "p > span", "page": "a[href*='Page=']",
+}
+RESULT_NODES = {
+    "module": ".resultModule", "title": ".contentEvent h6", "subtitle": ".contentEvent .sub-title", "image": ".contentImage img", "button": ".resultContainer > .resultBuyNow a", "row": ".contentEventAndDate", "row_button": ".resultBuyNow a",
+    "location": ".contentLocation", "date": ".contentDate", "summary": ".contentResultSummary", "page": "a[href*='/search/SearchResults.aspx']",
+}
 #: Markers of embedded data, and headings and texts that aren't content.
 SERVER_DATA, EVENT_DATA = "window.__SERVER_DATA__", "(?s)var moshtixEventData = (\\{.*?\\});"
 UI_NOISE = "(?i)^(?:how does it work\\?|find events|host events|get in touch|footer information|location|refund policy|host ?information|more events from this host|description|get tickets|select an option.*)$"
@@ -36,22 +48,32 @@ def discovery(html: Column) -> Column:
 
 
 def secondary_cards(html: Column) -> Column:
-    """(cards, max_page) of a secondary market's discovery page: url, date_key, title, venue_name of each event once."""
-    parts = F.regexp_extract_all(html, F.lit("(?is)<a\\b[^>]*\\bhref=[\"'][^\"']*[\"'][^>]*>\\s*<p[^>]*>\\s*<strong[^>]*>.*?</strong>.*?</p>\\s*<p[^>]*>.*?</p>"), F.lit(0))
-    full = lambda u: F.when(u.startswith("/"), F.concat(F.lit("https://tixel.com"), u)).otherwise(u)
-    plain = lambda t: T.collapse(F.replace(F.regexp_replace(t, "<[^>]+>", ""), F.lit("&amp;"), F.lit("&")))
+    """(cards, max_page) of a secondary market's discovery page: url, date_key, title, venue_name of each event once.
+
+    A card's title is the first strong text within its link, at any depth; the venue is the paragraph behind the one
+    that holds the title.
+    """
+    return T.let(N.mark(html, MARKET_NODES), _secondary_cards)
 
+
+def _secondary_cards(nodes: Column) -> Column:
     def card(x: Column) -> Column:
-        raw = full(F.regexp_extract(x, "(?is)\\bhref=[\"']([^\"']*)[\"']", 1))
+        return T.let(F.get(N.inside(nodes, x, "title"), 0), lambda strong: around(x, strong))
+
+    def around(x: Column, strong: Column) -> Column:
+        holds = F.element_at(F.filter(N.labelled(nodes, "paragraph"), lambda p: (p["node"] < strong["node"]) & (strong["node"] < p["until"])), -1)  # the innermost
+        return T.let(holds, lambda p: fields(x, strong, F.get(F.filter(nodes, lambda q: (q["label"] == "paragraph") & (q["parent"] == p["parent"]) & (q["nth"] == p["nth"] + 1)), 0)))
+
+    def fields(x: Column, strong: Column, venue: Column) -> Column:
+        raw = resolved(F.element_at(x["attrs"], "href"), MARKET)
         url = F.when(~raw.rlike("[?#]"), direct_event(raw))
         day = F.replace(F.regexp_extract(url, "/([0-9]{4}/[0-9]{2}/[0-9]{2})/", 1), F.lit("/"), F.lit("-"))
-        return F.struct(url.alias("url"), day.alias("date_key"), plain(F.regexp_extract(x, "(?is)<strong[^>]*>(.*?)</strong>", 1)).alias("title"), plain(F.regexp_extract(x, "(?is)</p>\\s*<p[^>]*>(.*?)</p>", 1)).alias("venue_name"))
+        return F.struct(url.alias("url"), day.alias("date_key"), T.collapse(strong["text"]).alias("title"), T.collapse(venue["text"]).alias("venue_name"))
 
-    cards = F.filter(F.transform(parts, card), lambda c: c["url"].isNotNull() & (c["title"] != "") & (c["venue_name"] != ""))
-    urls = F.transform(cards, lambda c: c["url"])
-    once = F.filter(cards, lambda c, i: F.array_position(urls, c["url"]) == i + 1)
-    pages = F.filter(links(html), lambda u: path_of(full(u)) == "/au/discover/Perth/music-tickets")
-    return F.struct(once.alias("cards"), gates.max_page(pages).alias("max_page"))
+    cards = F.filter(F.transform(N.labelled(nodes, "card"), card), lambda c: c["url"].isNotNull() & (c["title"] != "") & (c["venue_name"] != ""))
+    pages = F.transform(N.labelled(nodes, "link"), lambda x: resolved(F.element_at(x["attrs"], "href"), MARKET))
+    pages = F.filter(pages, lambda u: (host(u) == "tixel.com") & (path_of(u) == "/au/discover/Perth/music-tickets"))
+    return F.struct(T.let(cards, lambda c: F.filter(c, lambda x, i: F.array_position(F.transform(c, lambda y: y["url"]), x["url"]) == i + 1)).alias("cards"), gates.max_page(pages).alias("max_page"))
 
 
 @F.pandas_udf(StringType())
@@ -85,32 +107,62 @@ def base64_id(value: Column) -> Column:
     return F.get_json_object(F.try_to_binary(value, F.lit("base64")).cast("string"), "$.itemId")
 
 
-def search_rows(html: Column) -> Column:
-    """(rows, page_count) of a search page of event blocks: url, external_id, title, teaser; blocks without link or title
-    are left out and counted as `failed`."""
-    blocks = F.filter(F.split(html, "(?i)(?=<div\\b[^>]*\\bclass=[\"'][^\"']*\\bsearchresult\\b)"), lambda b: b.rlike("(?i)^<div\\b[^>]*\\bsearchresult\\b"))
-    plain = lambda t: T.collapse(F.replace(F.regexp_replace(t, "<[^>]+>", ""), F.lit("&amp;"), F.lit("&")))
-
-    def row(b: Column) -> Column:
-        url = clean_url(F.regexp_extract(b, "(?is)\\bhref=[\"']([^\"']*)[\"']", 1))
-        return F.struct(url.alias("url"), F.regexp_extract(url, "/([0-9]+)(?:[/?#]|$)", 1).alias("external_id"), plain(F.regexp_extract(b, "(?is)<h2[^>]*>(.*?)</h2>", 1)).alias("title"), plain(F.regexp_extract(b, "(?is)<p[^>]*class=[\"']teaser[\"'][^>]*>(.*?)</p>", 1)).alias("teaser"))
-
-    every = F.transform(blocks, row)
-    good = F.filter(every, lambda r: r["url"].isNotNull() & (r["external_id"] != "") & (r["title"] != ""))
-    return F.struct(good.alias("rows"), (F.size(every) - F.size(good)).alias("failed"), gates.max_page(links(html), "Page").alias("page_count"))
+def search_rows(pages: DataFrame) -> DataFrame:
+    """page_id, page_count and `blocks`, in order, of search pages: external_id, title, url, starts_at, image_url,
+    teaser, raw (the block's structured event) and _error for blocks without id, link or title or with a bad date.
+
+    The block's JSON-LD comes before its headings; its link, before a structured one, is that of the main heading.
+    """
+    rows = pages.select("page_id", N.mark(F.col("html"), SEARCH_NODES).alias("_nodes"))
+    nodes = F.col("_nodes")
+    counted = F.transform(N.labelled(nodes, "page"), lambda x: F.element_at(x["attrs"], "href"))
+    blocks = rows.select("page_id", gates.max_page(counted, "Page").alias("page_count"), F.posexplode_outer(F.transform(N.labelled(nodes, "block"), lambda b: F.struct(b.alias("block"), N.inside(nodes, b).alias("within")))).alias("i", "b"))
+    within = F.col("b.within")
+    blocks = blocks.withColumn("_event", structured_event(N.first(within, "data")["text"]))
+    of = lambda path: F.try_variant_get("_event", path, "string")
+    heading = lambda name: N.all_text(within, name)
+    image = F.coalesce(F.try_variant_get("_event", "$.image", "array<string>"), F.array(of("$.image")))
+    url = resolved(F.coalesce(N.first_attr(within, "main_link", "href"), of("$.url"), N.first_attr(within, "event_link", "href")), SEARCH_SITE)
+    ids = F.coalesce(F.nullif(T.collapse(F.element_at("b.block.attrs", "data-event-id")), F.lit("")), F.nullif(F.regexp_extract(url, "/([0-9]+)(?:[/?#]|$)", 1), F.lit("")))
+    start = F.nullif(F.trim(of("$.startDate")), F.lit(""))
+    images = F.transform(F.filter(F.concat(image, F.array(N.first_attr(within, "image", "src"))), lambda u: F.coalesce(F.trim(u), F.lit("")) != ""), lambda u: clean_url(resolved(u, SEARCH_SITE)))
+    out = blocks.select(
+        "page_id", "page_count", "i", ids.alias("external_id"), T.collapse(F.coalesce(of("$.name"), heading("title"))).alias("title"), url.alias("url"), start.alias("start_text"), parse_start(start).alias("_start"),
+        F.get(F.filter(images, lambda u: u.isNotNull() & ~path_of(u).rlike("^/uploads/*$")), 0).alias("image_url"), F.nullif(T.collapse(heading("teaser")), F.lit("")).alias("teaser"), F.to_json("_event").alias("raw"),
+    )
+    whole = F.col("external_id").isNotNull() & F.col("url").isNotNull() & (F.col("title") != "")
+    error = F.when(F.col("i").isNotNull() & ~F.coalesce(whole, F.lit(False)), "no id, link or title").when(F.col("start_text").isNotNull() & F.col("_start").isNull(), "no date")
+    return out.select("page_id", "page_count", "i", "external_id", "title", "url", F.col("_start.starts_at").alias("starts_at"), "image_url", "teaser", "raw", error.alias("_error"))
+
+
+def structured_event(body: Column) -> Column:
+    """The object of a JSON-LD body, or the first one of a list, as a variant; null where it isn't JSON."""
+    value = F.try_parse_json(body)
+    return F.when(body.rlike("^\\s*\\["), F.try_variant_get(value, "$[0]", "variant")).otherwise(value)
 
 
 def result_rows(pages: DataFrame) -> DataFrame:
-    """url, title, subtitle, summary, location, date_text, n of the rows of result pages: each module has its title, each
-    of its rows a link, a place and a date."""
-    plain = lambda t: T.collapse(F.replace(F.regexp_replace(t, "<[^>]+>", ""), F.lit("&amp;"), F.lit("&")))
-    of = lambda text, tag, name: plain(F.regexp_extract(text, f"(?is)<{tag}[^>]*class=[\"']{name}[\"'][^>]*>(.*?)</{tag}>", 1))
-    cut = lambda text, name: F.filter(F.split(text, f"(?i)(?=<div\\b[^>]*\\bclass=[\"']{name}[\"'])"), lambda b: b.rlike(f"(?i)^<div\\b[^>]*\\bclass=[\"']{name}[\"']"))
-    modules = pages.where(~gates.is_interstitial(F.col("html"))).select("page_id", F.posexplode(cut(F.col("html"), "module")).alias("m", "module"))
-    head = F.col("module")
-    rows = modules.select("page_id", "m", of(head, "h3", "title").alias("title"), of(head, "h4", "subtitle").alias("subtitle"), of(head, "p", "summary").alias("summary"), F.posexplode(cut(head, "row")).alias("r", "row"))
-    link = F.replace(F.regexp_extract("row", "(?is)\\bhref=[\"']([^\"']*)[\"']", 1), F.lit("&amp;"), F.lit("&"))
-    return rows.select(F.struct("page_id", "m", "r").alias("n"), link.alias("url"), "title", "subtitle", "summary", of(F.col("row"), "span", "place").alias("location"), of(F.col("row"), "span", "date").alias("date_text"))
+    """url, title, subtitle, summary, image_url, location, date_text, page_count and n of the rows of result pages.
+
+    A module has a title and one row for each event; a row's link is its own button, or else the module's. Modules
+    without a title and rows without link, place and date are left out, as the site lists them without an event.
+    """
+    rows = pages.where(~gates.is_interstitial(F.col("html"))).select("page_id", N.mark(F.col("html"), RESULT_NODES).alias("_nodes"))
+    nodes = F.col("_nodes")
+    counted = F.transform(N.labelled(nodes, "page"), lambda x: F.element_at(x["attrs"], "href"))
+    modules = rows.select("page_id", gates.max_page(counted).alias("page_count"), F.posexplode(F.transform(N.labelled(nodes, "module"), lambda m: N.inside(nodes, m))).alias("m", "_module"))
+    module = F.col("_module")
+    text = lambda within, label: T.collapse(N.all_text(within, label))
+    head = modules.select(
+        "page_id", "page_count", "m", text(module, "title").alias("title"), F.nullif(text(module, "subtitle"), F.lit("")).alias("subtitle"), resolved(N.first_attr(module, "image", "src"), RESULT_SITE).alias("image_url"), N.first_attr(module, "button", "href").alias("_button"),
+        F.posexplode(F.transform(N.labelled(module, "row"), lambda r: N.inside(module, r))).alias("r", "_row"),
+    )
+    row = F.col("_row")
+    out = head.where("title != ''").select(
+        F.struct("page_id", "m", "r").alias("n"), resolved(F.coalesce(N.first_attr(row, "row_button", "href"), F.col("_button")), RESULT_SITE).alias("url"), "title", "subtitle", F.nullif(text(row, "summary"), F.lit("")).alias("summary"), "image_url",
+        text(row, "location").alias("location"), text(row, "date").alias("date_text"), "page_count",
+    )
+    return out.where("url IS NOT NULL AND location != '' AND date_text != ''")
 
 
 def section_text(lines: Column, headings: Column, wanted: str) -> Column:

@@ -39,6 +39,10 @@ def compile_selector(text: str) -> list[list[tuple[bool, tuple]]]:
     return out
 
 
+#: Stands for a line's end within the text of a fragment.
+BREAK = "\0"
+
+
 class _Node:
     __slots__ = ("tag", "attrs", "classes", "node", "until", "parent", "nth", "text", "html", "labels", "children", "up")
 
@@ -71,8 +75,9 @@ class _Node:
 class _Reader(HTMLParser):
     """Nodes of one page in order, as far as selectors and texts need a tree: void elements, implied ends, raw scripts."""
 
-    def __init__(self, html: str, selectors: Mapping[str, list]):
+    def __init__(self, html: str, selectors: Mapping[str, list], broken: bool = False):
         super().__init__(convert_charrefs=True)
+        self.broken = broken
         self.html, self.selectors, self.count = html, selectors, 0
         self.lines = [0, *(m.end() for m in re.finditer("\n", html))]
         self.top = self._new("", {}, None)
@@ -96,6 +101,8 @@ class _Reader(HTMLParser):
 
     def _end(self, at: int) -> None:
         x = self.open.pop()
+        if self.broken and x.tag in ("br", "li"):
+            self.texts.append(BREAK)
         x.until, x.text, x.html = self.count, (x.text[0], len(self.texts)), (x.html[0], at)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -169,6 +176,15 @@ def mark(html: Column, selectors: Mapping[str, str], inner: tuple[str, ...] = ()
     return run(html)
 
 
+def fragment_lines(html: str | None) -> tuple[str, list[str], list[str]]:
+    """(whole text, text of each outermost element, lines of these) of a fragment; `br` and the end of `li` end a line."""
+    read = _Reader(html or "", {"any": compile_selector("*")}, broken=True)
+    clean = lambda t: " ".join(t.split())
+    outer = [read.text(x) for x in read.marked if x.parent == 0]
+    lines = [clean(part) for t in outer for part in re.split(f"[\n{BREAK}]+", t)]
+    return clean("".join(read.texts).replace(BREAK, "")), [t for t in (clean(x.replace(BREAK, "")) for x in outer) if t], [x for x in lines if x]
+
+
 def labelled(nodes: Column, label: str) -> Column:
     return F.filter(nodes, lambda x: x["label"] == label)
 

@@ -39,7 +39,7 @@ ORDER = (
 def registry() -> list[Source]:
     from datetime import datetime, timezone
 
-    from stagelight.sources import city_feed, feeds, json_hits, json_ld, pages
+    from stagelight.sources import city_feed, feeds, json_hits, json_ld, moshtix, pages
 
     own = {
         "oztix-wa": (json_hits.read_hits, json_hits.normalise_oztix),
@@ -47,7 +47,7 @@ def registry() -> list[Source]:
         "rosemount-hotel": (json_hits.read_hits, json_hits.normalise_rosemount),
         "ticketmaster-au": (city_feed.read_events, city_feed.normalise_events),
         "humanitix-perth-music": (json_ld.read_pages, json_ld.normaliser("humanitix-perth-music")),
-        "moshtix-wa": (json_ld.read_pages, json_ld.normaliser("moshtix-wa")),
+        "moshtix-wa": (json_ld.read_pages, moshtix.normalise_moshtix),
         "eventbrite-perth-music": (json_ld.read_pages, json_ld.normaliser("eventbrite-perth-music")),
         "the-bird": (feeds.read_bird, lambda rows: feeds.normalise_bird(rows, datetime.now(timezone.utc))),
         "the-ellington": (feeds.read_ellington_with_details, feeds.normalise_ellington_rows),

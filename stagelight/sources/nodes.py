@@ -44,7 +44,7 @@ BREAK = "\0"
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "classes", "node", "until", "parent", "nth", "text", "html", "labels", "children", "up")
+    __slots__ = ("tag", "attrs", "classes", "node", "until", "parent", "nth", "text", "html", "labels", "children", "up", "parts")
 
     def fits(self, compound: tuple) -> bool:
         tag, tests = compound
@@ -75,9 +75,9 @@ class _Node:
 class _Reader(HTMLParser):
     """Nodes of one page in order, as far as selectors and texts need a tree: void elements, implied ends, raw scripts."""
 
-    def __init__(self, html: str, selectors: Mapping[str, list], broken: bool = False):
+    def __init__(self, html: str, selectors: Mapping[str, list], line_ends: tuple[str, ...] = ()):
         super().__init__(convert_charrefs=True)
-        self.broken = broken
+        self.line_ends = line_ends
         self.html, self.selectors, self.count = html, selectors, 0
         self.lines = [0, *(m.end() for m in re.finditer("\n", html))]
         self.top = self._new("", {}, None)
@@ -89,10 +89,12 @@ class _Reader(HTMLParser):
 
     def _new(self, tag: str, attrs: dict, up: _Node | None) -> _Node:
         x = _Node()
-        x.tag, x.attrs, x.classes, x.up, x.node, x.labels, x.children, x.html = tag, attrs, frozenset((attrs.get("class") or "").split()), up, self.count, [], 0, (0, 0)
+        x.tag, x.attrs, x.classes, x.up, x.node, x.labels, x.children, x.html, x.parts = tag, attrs, frozenset((attrs.get("class") or "").split()), up, self.count, [], 0, (0, 0), []
         x.parent, x.nth = (up.node, up.children) if up else (-1, 0)
         x.text = (len(self.texts), 0) if up else (0, 0)
         self.count += 1
+        if up is not None:
+            up.parts.append(x)
         return x
 
     def _at(self) -> int:
@@ -101,7 +103,7 @@ class _Reader(HTMLParser):
 
     def _end(self, at: int) -> None:
         x = self.open.pop()
-        if self.broken and x.tag in ("br", "li"):
+        if x.tag in self.line_ends:
             self.texts.append(BREAK)
         x.until, x.text, x.html = self.count, (x.text[0], len(self.texts)), (x.html[0], at)
 
@@ -144,6 +146,7 @@ class _Reader(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.texts.append("" if self.open[-1].tag in ("script", "style") else data)
+        self.open[-1].parts.append(self.texts[-1])
 
     def text(self, x: _Node) -> str:
         return self.html[slice(*x.html)] if x.tag in ("script", "style") else "".join(self.texts[slice(*x.text)])
@@ -176,15 +179,34 @@ def mark(html: Column, selectors: Mapping[str, str], inner: tuple[str, ...] = ()
     return run(html)
 
 
-def fragment_lines(html: str | None) -> tuple[str, list[str], list[str]]:
-    """(whole text, text of each outermost element, lines of these) of a fragment; `br` and the end of `li` end a line."""
-    read = _Reader(html or "", {"any": compile_selector("*")}, broken=True)
+def fragment_lines(html: str | None, line_ends: tuple[str, ...] = ("br", "li")) -> tuple[str, list[str], list[str]]:
+    """(whole text, text of each outermost element, lines of these) of a fragment; elements of `line_ends` end a line."""
+    read = _Reader(html or "", {"any": compile_selector("*")}, line_ends)
     clean = lambda t: " ".join(t.split())
     outer = [read.text(x) for x in read.marked if x.parent == 0]
     lines = [clean(part) for t in outer for part in re.split(f"[\n{BREAK}]+", t)]
     return clean("".join(read.texts).replace(BREAK, "")), [t for t in (clean(x.replace(BREAK, "")) for x in outer) if t], [x for x in lines if x]
 
 
+def part_text(part: _Node | str) -> str:
+    """The text of a text or of an element with all in it; `br` is a line's end."""
+    return part if isinstance(part, str) else "\n" if part.tag == "br" else "".join(map(part_text, part.parts))
+
+
+def runs_around(html: str | None, tag: str) -> list[tuple[str, str, str, str]]:
+    """For each element of a tag: its text, its parent's, and what stands beside it back and forth to its next sibling of
+    that tag, the siblings parted by spaces."""
+    read, clean = _Reader(html or "", {"any": compile_selector(tag)}), lambda t: " ".join(t.split())
+    out = []
+    for x in read.marked:
+        at = next(i for i, p in enumerate(x.up.parts) if p is x)
+        ends = [i for i, p in enumerate(x.up.parts) if isinstance(p, _Node) and p.tag == tag]
+        low, high = max([i + 1 for i in ends if i < at], default=0), min([i for i in ends if i > at], default=len(x.up.parts))
+        beside = lambda parts: clean(" ".join(map(part_text, parts)))
+        out.append((clean(read.text(x)), clean(read.text(x.up) if x.up.tag else "".join(read.texts)), beside(x.up.parts[low:at]), beside(x.up.parts[at + 1 : high])))
+    return out
+
+
 def labelled(nodes: Column, label: str) -> Column:
     return F.filter(nodes, lambda x: x["label"] == label)
 

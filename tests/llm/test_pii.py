@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from datetime import date, timedelta
 
 from stagelight.llm.pii import ANY, DIGITS, LOWER, ROUNDS, UPPER, pseudonymise
@@ -163,3 +164,17 @@ def test_rows_columns_and_empty_table(spark):
     out = pseudonymise(docs, "k").collect()
     assert len(out) == 4 and out[0] == out[1] and out[0].text != rows[0][1] and tuple(out[2]) == rows[2] and tuple(out[3]) == rows[3] and out[0].found == "y"
     assert pseudonymise(docs.limit(0), "k").count() == 0
+
+
+def test_time_is_linear_in_the_length(spark):
+    """Rows of numbers, and of cards alone, of a million characters and more."""
+    rng = random.Random(3)
+    numbers = " ".join(str(rng.randint(1, 9999)) for _ in range(300_000))
+    cards = "4337166598464399, 378282246310005 " * 12_000
+    began = time.time()
+    got = run(spark, [numbers[:100]])
+    first = time.time() - began
+    began = time.time()
+    got = run(spark, [numbers, cards])
+    assert time.time() - began < 150 + first
+    assert len(got[0]) == len(numbers) and len(set(got[1].replace(",", "").split())) == 2 and "4337166598464399" not in got[1]

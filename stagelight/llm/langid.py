@@ -16,8 +16,8 @@ from stagelight.llm import blocks as B
 #: Bounds of the training sample: about so many documents a language, so many segments of so many characters each,
 #: taken from anywhere in a text. The sample's size is all that the driver holds; it doesn't grow with the input.
 DOCS_PER_LANGUAGE = 1000
-#: Languages that are learned, the most frequent ones.
-MOST_LANGUAGES = 200
+#: Languages that are learned, the most frequent ones, and documents of all of them together.
+MOST_LANGUAGES, MOST_DOCS = 200, 20_000
 SEGMENTS, SEGMENT_CHARS = 4, 240
 NGRAMS = (1, 2, 3, 4)
 BUCKETS, DIM = 1 << 16, 16
@@ -25,6 +25,8 @@ EPOCHS, BATCH, RATE = 6, 16, 0.5
 #: Share of correct held-out segments that the rejection threshold may lose, and the largest threshold.
 LOSS, MOST_THRESHOLD = 0.001, 0.4
 UNKNOWN = "und"
+#: A text of more characters is taken in pieces of so many.
+LONG = 60_000
 
 _rng = np.random.default_rng(5)
 NGRAM_VALUES = _rng.integers(1, 1 << 63, 5, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -36,28 +38,27 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() or chr(c).isalnum() and not chr(c).isdigit() for c in range(0x110000)], dtype=bool)
 
 
-def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of lower-cased words with their borders, and the bounds of each text's n-grams."""
-    lower = [t.lower() for t in texts]
-    sizes = np.array([len(t) + 1 for t in lower], dtype=np.int64)
-    code = np.frombuffer((" ".join(lower) + " ").encode("utf-32-le", "replace"), dtype=np.uint32)
-    code = np.concatenate([np.array([32], dtype=np.uint32), np.where(_letters()[code], code, 32).astype(np.uint32)])
-    letter = code != 32
-    row_end = np.cumsum(sizes)
+def _code(text: str) -> np.ndarray:
+    """Lower-case code points, all that is no letter as a border, with a border at either end."""
+    code = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), dtype=np.uint32)
+    return np.where(_letters()[code], code, 32).astype(np.uint32)
+
+
+def _grams(code: np.ndarray, starts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and buckets of the n-grams that begin at the first `starts` places."""
+    letter, v = code != 32, code.astype(np.uint64)
     idx, at = [], []
-    v = code.astype(np.uint64)
     for n in NGRAMS:
-        m = len(v) - n + 1
+        m = min(len(v) - n + 1, starts)
         if m <= 0:
             continue
-        ok = np.ones(m, dtype=bool)
-        if n <= 2:
-            for i in range(n):
-                ok &= letter[i : i + m] if n == 1 else True
-            if n == 2:
-                ok = letter[:m] | letter[1 : 1 + m]
-        else:
-            for i in range(1, n - 1):  # borders may stand at the ends alone
+        if n == 1:
+            ok = letter[:m]
+        elif n == 2:
+            ok = letter[:m] | letter[1 : 1 + m]
+        else:  # borders may stand at the ends alone
+            ok = np.ones(m, dtype=bool)
+            for i in range(1, n - 1):
                 ok &= letter[i : i + m]
         h = np.full(m, n, dtype=np.uint64)
         for i in range(n):
@@ -65,7 +66,15 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         pos = np.flatnonzero(ok)
         idx.append((B.mix(h[pos]) & np.uint64(BUCKETS - 1)).astype(np.int64))
         at.append(pos)
-    at, idx = np.concatenate(at), np.concatenate(idx)
+    return np.concatenate(at), np.concatenate(idx)
+
+
+def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of lower-cased words with their borders, and the bounds of each text's n-grams."""
+    lower = [t.lower() for t in texts]
+    row_end = np.cumsum(np.array([len(t) + 1 for t in lower], dtype=np.int64))
+    code = _code(" ".join(lower))
+    at, idx = _grams(code, len(code))
     row = np.searchsorted(row_end, at, side="left")  # a text's n-grams start at its leading border
     row = np.minimum(row, len(texts) - 1)
     order = np.argsort(row, kind="stable")
@@ -107,9 +116,20 @@ class Model:
     threshold: float
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
+        if len(texts) == 1 and len(texts[0]) > LONG:
+            return softmax((self._long_mean(texts[0]) + self.bias) / self.temperature)
         idx, bounds = subwords(texts)
         return softmax((_means(self.table, idx, bounds) + self.bias) / self.temperature)
 
+    def _long_mean(self, text: str) -> np.ndarray:
+        """The same mean for a long text, added up over pieces, so that its n-grams are never all held at once."""
+        code, total, n = _code(text), np.zeros((1, self.table.shape[1])), 0
+        for a in range(0, len(code), LONG):
+            _, idx = _grams(code[a : a + LONG + max(NGRAMS) - 1], LONG)
+            total += self.table[idx].sum(axis=0, dtype=np.float64)
+            n += len(idx)
+        return total / max(n, 1)
+
 
 def fit(texts: list[str], langs: list[str], seed: int = 3) -> Model:
     """Stochastic gradient descent on segments; every fifth one is held out to calibrate temperature and threshold."""
@@ -164,7 +184,8 @@ def fit(texts: list[str], langs: list[str], seed: int = 3) -> Model:
 
 
 def training_sample(docs: DataFrame, is_training) -> DataFrame:
-    """(lang, text) segments of DOCS_PER_LANGUAGE documents a language at most, chosen by a hash of doc_id and text.
+    """(lang, text) segments of DOCS_PER_LANGUAGE documents a language at most, of MOST_DOCS in all, chosen by a hash of
+    doc_id and text.
 
     A hash below a language's share of about that size picks them; of rows that are still too many, as copies of one
     row can be, those of the smallest hashes stay, cut to so many in each partition before they are shuffled.
@@ -173,11 +194,12 @@ def training_sample(docs: DataFrame, is_training) -> DataFrame:
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return labelled.select("lang", "text").limit(0)
-    shares = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, DOCS_PER_LANGUAGE / n)))))
+    most = min(DOCS_PER_LANGUAGE, MOST_DOCS // len(sizes))
+    shares = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, most / n)))))
     place = F.xxhash64("doc_id", "text", F.lit(17))
     chosen = labelled.where(F.pmod(place, F.lit(1 << 20)) < F.try_element_at(shares, F.col("lang")) * (1 << 20))
     first = Window.partitionBy("lang").orderBy(place, "doc_id")
-    chosen = chosen.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= DOCS_PER_LANGUAGE)
+    chosen = chosen.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= most)
     place = lambda i: F.pmod(F.xxhash64("doc_id", i), F.greatest(F.length("text") - SEGMENT_CHARS + 1, F.lit(1))).cast("int") + 1
     # short segments train the model for short texts
     length = lambda i: F.when(i == 1, 40).otherwise(SEGMENT_CHARS)
@@ -213,7 +235,7 @@ def identify(docs: DataFrame, is_training, text: str = "text") -> DataFrame:
                 size = np.cumsum([len(texts[i]) for i in todo]) if len(todo) else []
                 a = 0
                 while a < len(todo):  # blocks of about 60,000 characters
-                    b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + 60_000, side="right")))
+                    b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + LONG, side="right")))
                     p = m.probabilities([texts[i] for i in todo[a:b]])
                     best[todo[a:b]], score[todo[a:b]] = p.argmax(axis=1), p.max(axis=1)
                     a = b

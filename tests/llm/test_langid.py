@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from stagelight.llm import blocks as B
@@ -73,3 +74,15 @@ def test_sample_is_bounded_when_ids_repeat(spark, monkeypatch):
     got = training_sample(spark.createDataFrame(same, "doc_id long, text string, lang string"), F.lit(True)).groupBy("lang").count().collect()
     assert {r.lang for r in got} <= {"aa", "bb"} and all(r["count"] <= 50 * SEGMENTS for r in got) and DOCS_PER_LANGUAGE >= 50
     assert {r.lang: r["count"] for r in got}["bb"] > 20 * SEGMENTS
+
+
+def test_long_texts_in_pieces():
+    """The mean over pieces is that over the whole text, wherever the cuts fall."""
+    rng = np.random.default_rng(2)
+    table = rng.normal(size=(langid.BUCKETS, 3)).astype(np.float32)
+    model = langid.Model(("a", "b", "c"), table, np.zeros(3), 1.0, 0.0)
+    text = "".join(rng.choice(list("abcdé ñ.日İΣ"), 3 * langid.LONG + 17))
+    idx, bounds = langid.subwords([text])
+    assert np.allclose(model._long_mean(text), langid._means(table, idx, bounds), atol=1e-9)
+    assert np.allclose(model.probabilities([text]), langid.softmax(langid._means(table, idx, bounds)), atol=1e-9)
+    assert model._long_mean("1" * (langid.LONG + 1)).tolist() == [[0.0] * 3]

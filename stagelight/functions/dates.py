@@ -186,3 +186,23 @@ def at_clock(day: Column, clock: Column) -> Column:
 def end_after(start: Column, end: Column) -> Column:
     """An end that isn't after the start is on the next day."""
     return F.when(end <= start, end + F.expr("interval 1 day")).otherwise(end)
+
+
+def parse_club_time(value: Column) -> Column:
+    """The instant of `April 10, 2026 7:30 pm` or `10 April 2026 19:30`, local; null for another day or hour than there is."""
+    text = F.trim(F.regexp_replace(value, "\\s+", " "))
+    month_first, day_first = "^([A-Za-z]+) ([0-9]{1,2}), ?([0-9]{4})", "^([0-9]{1,2}) ([A-Za-z]+) ([0-9]{4})"
+    clock = "(?i) ([0-9]{1,2})(?::([0-9]{2}))? ?(am|pm)?$"
+    part = lambda i, j: F.when(text.rlike(month_first), F.regexp_extract(text, month_first, i)).otherwise(F.regexp_extract(text, day_first, j))
+    day = F.try_to_timestamp(F.concat_ws(" ", part(2, 1), F.initcap(part(1, 2)), part(3, 3)), F.lit("d MMMM yyyy")).cast("date")
+    hour, minute, half = F.regexp_extract(text, clock, 1).try_cast("int"), F.coalesce(F.regexp_extract(text, clock, 2).try_cast("int"), F.lit(0)), F.lower(F.regexp_extract(text, clock, 3))
+    full = F.when(half != "", F.when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))).otherwise(F.when(hour < 24, hour))
+    whole = text.rlike(f"(?:{month_first}|{day_first})(?i) [0-9]{{1,2}}(?::[0-9]{{2}})? ?(?:am|pm)?$")
+    return F.when(whole & full.isNotNull() & (minute < 60), at_clock(day, F.struct(full.alias("hour"), minute.alias("minute"))))
+
+
+def parse_meta_date(value: Column) -> Column:
+    """`2026-04-10` of a text with `Friday 10th April 2026`; null without one."""
+    pattern = "(?i)(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday)\\s+([0-9]{1,2})(?:st|nd|rd|th)?\\s+([a-z]+)\\s+([0-9]{4})"
+    month = F.try_to_timestamp(F.concat_ws(" ", F.lit("1"), F.initcap(F.regexp_extract(value, pattern, 2)), F.regexp_extract(value, pattern, 3)), F.lit("d MMMM yyyy"))
+    return F.when(month.isNotNull(), F.concat_ws("-", F.date_format(month, "yyyy-MM"), F.lpad(F.regexp_extract(value, pattern, 1), 2, "0")))

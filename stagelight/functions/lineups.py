@@ -16,7 +16,9 @@ GUEST_PREFIX = "(?i)^(?:(?:with|plus)?\\s*specials? guests?[:,]?\\s*|(?:with|plu
 GUEST_LEAD = "(?i)^.+?\\b(?:tour|single|album|ep|launch|show)\\b\\s+with\\s+specials? guests?[:,]?\\s+"
 GENERIC_GUEST = "(?i)^(?:(?:(?:a|an)\\s+)?(?:specials?\\s+)?guests?\\s*(?:to be announced|tba|tbc)?|(?:(?:local|more|additional|specials?)\\s+)*(?:support|supports|support acts?)\\s*(?:to be announced|tba|tbc)?|(?:(?:top\\s+)?secret|mystery)\\s+(?:act|artist|guest|set)s?|more(?:\\s+(?:acts?|artists?|guests?))?|tba|tbc|to be announced|more\\s+(?:tba|tbc|to be announced)|more to be announced|past|present(?:\\s+members?)?)[!.]?$"
 SEPARATOR = "\\s*(?:,|\\+|\\^|\\||[•·]|\\s-\\s)\\s*"
-NOISY = "(?i)^(?:djs?\\s+playing\\s+the\\s+best\\s+of\\b.*|support\\s+set\\s+of\\b.*|friday\\s+fright\\s+night|past|present(?:\\s+members?)?|.+\\btour\\b\\s*[‘’'\"\\d].*|djs?|band|live\\s+abba\\s+tribute\\s+act|.+\\btribute\\s+set)$|\\ball\\.?\\s+night\\.?\\s+long\\b"
+NOISY = "(?i)^(?:djs?\\s+playing\\s+the\\s+best\\s+of\\b.*|support\\s+set\\s+of\\b.*|the\\s+greatest\\s+emo|metalcore|alternative\\s+tracks\\s+of\\s+all\\s+time\\b.*|hlh/dod\\s+after\\s+party!?|friday\\s+fright\\s+night|past|present(?:\\s+members?)?|.+\\btour\\b\\s*[‘’'\"\\d].*)$"
+GENERIC_TOKEN = "(?i)^(?:djs?|band|live\\s+abba\\s+tribute\\s+act|.+\\btribute\\s+set)$"
+ALL_NIGHT = "(?i)\\ball\\.?\\s+night\\.?\\s+long\\b"
 DESCRIPTOR = "(?i)\\s*\\((?:(?:solo|performing|tribute|acoustic|dj\\s*set|support|debut(?:\\s+show)?)\\b[^)]*|[^)]{1,50}\\btribute)\\)\\s*"
 MUSIC_OF = "(?i)\\s+(?:&|and)\\s+the\\s+music\\s+of\\b.*$"
 LOCATION = "(?i)\\s*\\((?:wa|nsw|vic|qld|sa|tas|nt|act|australia|aus|nz|usa|uk|eng|swe|ger|deu|jpn|can|ire|irl|sco|fra|ita|esp|nl|nld)\\)\\s*$"
@@ -82,7 +84,7 @@ def split_list(value: Column, force: bool = False, words: bool = True) -> Column
         listed = t.rlike("[,+^|•·]|\\s-\\s")
         token = lambda x: F.when(listed, F.regexp_replace(collapse(x), "(?i)^(?:&|and)\\s+", "")).otherwise(collapse(x))
         tokens = F.flatten(F.transform(F.split(t, SEPARATOR), lambda x: let(token(x), lambda y: _ampersands(y, listed, force))))
-        return F.filter(F.transform(tokens, _bare), lambda n: (n != "") & (F.length(n) <= 90) & ~n.rlike(NOISY) & ~n.rlike(GENERIC_GUEST))
+        return F.filter(F.transform(tokens, _bare), lambda n: (n != "") & (F.length(n) <= 90) & ~n.rlike(NOISY) & ~n.rlike(GENERIC_TOKEN) & ~n.rlike(ALL_NIGHT) & ~n.rlike(GENERIC_GUEST))
 
     return F.when(F.coalesce(value, F.lit("")) == "", none()).otherwise(let(text, names))
 
@@ -135,7 +137,7 @@ def tribute_subjects(title: Column) -> Column:
 
 def lineup_block(lines: Column) -> Column:
     """The lines behind a line-up heading up to the first that is no name, if they are two or more; 30 at most."""
-    ok = lambda x: let(_bare(F.regexp_replace(x, LOCATION, "")), lambda n: (n != "") & (F.length(n) <= 80) & (F.size(F.split(n, " ")) <= 10) & ~n.rlike(LINEUP_STOP) & ~n.rlike(GENERIC_GUEST) & ~n.rlike(NOISY)) & ~x.rlike(LINEUP_STOP)
+    ok = lambda x: let(_bare(F.regexp_replace(x, LOCATION, "")), lambda n: (n != "") & (F.length(n) <= 80) & (F.size(F.split(n, " ")) <= 10) & ~n.rlike(LINEUP_STOP) & ~n.rlike(GENERIC_GUEST) & ~n.rlike(NOISY) & ~n.rlike(GENERIC_TOKEN) & ~n.rlike(ALL_NIGHT)) & ~x.rlike(LINEUP_STOP)
     start = F.struct(F.lit(0).alias("left"), none().alias("block"), none().alias("out"))
 
     def close(acc: Column) -> Column:

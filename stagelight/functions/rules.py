@@ -25,7 +25,7 @@ FLAGS = re.ASCII | re.IGNORECASE
 class Rule(NamedTuple):
     """pattern: where names stand; groups: which parts hold them; cut: the source's way from a part to names; only: the
     match counts only if this pattern is in the text that `of` (a group) holds; unless: not if it is in the whole text;
-    least: fewer names than this are none; ends: a match is the text's last rule; drop: removed from a part first."""
+    not_after: nor if it is in the 140 characters before; least: fewer names than this are none; ends: a match is the text's last rule; drop: removed from a part first."""
 
     pattern: str
     groups: tuple[int, ...] = (1,)
@@ -33,6 +33,7 @@ class Rule(NamedTuple):
     only: str | None = None
     of: int = 0
     unless: str | None = None
+    not_after: str | None = None
     least: int = 1
     ends: bool = False
     drop: str | None = None
@@ -41,14 +42,14 @@ class Rule(NamedTuple):
 class Rules:
     def __init__(self, rules: Iterable[Rule], cuts: Mapping[str, Callable[[str], list[str]]]):
         look = lambda p: re.compile(p, FLAGS) if p else None
-        self.rules = [(r, look(r.pattern), look(r.only), look(r.unless), re.compile(r.drop, re.ASCII) if r.drop else None) for r in rules]
+        self.rules = [(r, look(r.pattern), look(r.only), look(r.unless), look(r.not_after), re.compile(r.drop, re.ASCII) if r.drop else None) for r in rules]
         self.cuts = cuts
 
     def names(self, text: str) -> list[str]:
         out: list[str] = []
-        for rule, pattern, only, unless, drop in self.rules:
+        for rule, pattern, only, unless, not_after, drop in self.rules:
             m = pattern.search(text)
-            if not m or (only and not only.search(m[rule.of] or "")) or (unless and unless.search(text)):
+            if not m or (only and not only.search(m[rule.of] or "")) or (unless and unless.search(text)) or (not_after and not_after.search(text[max(0, m.start() - 140) : m.start()])):
                 continue
             parts = [drop.sub("", m[g], count=1) if drop else m[g] for g in rule.groups if m[g]]
             found = [n for p in parts for n in self.cuts[rule.cut](p)]

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from stagelight.functions import dates as D
 from stagelight.functions import text as T
+from stagelight.functions.artists import normalise_names
+from stagelight.functions.ellington_lineups import ellington_names
 from stagelight.functions.lineups import bird_names, ticketek_names
 from stagelight.functions.merging import listing_status
 from stagelight.functions.urls import clean_url, host, path_of, query_value
 from stagelight.sources import gates
+from stagelight.sources import nodes as N
 from stagelight.sources.json_hits import with_ordinals
 
 #: The venue of the two spreadsheets and that of the REST list.
@@ -119,9 +122,75 @@ def read_ellington(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REST_EVENT).option("multiLine", True).json(path)
 
 
+#: Where an event's page has its times and images.
+CLUB_NODES = {
+    "field": ".jet-listing-dynamic-field__content", "range": ".tc_event_date_title_front", "body": "body", "secure": 'meta[property="og:image:secure_url"]', "og": 'meta[property="og:image"]', "twitter": 'meta[name="twitter:image"]', "preload": 'link[rel="preload"][as="image"]',
+    "featured": ".elementor-widget-theme-post-featured-image img",
+}
+CLUB_START = "(?i)Event Start Date\\s*&\\s*Time:\\s*([A-Za-z]+\\s+[0-9]{1,2},\\s*[0-9]{4}\\s+[0-9]{1,2}:[0-9]{2}(?:\\s*(?:am|pm))?)"
+CLUB_RANGE = "(?i)^([0-9]{1,2} [A-Za-z]+ [0-9]{4}) ([0-9]{1,2}(?::[0-9]{2})? ?(?:am|pm)) ?- ?([0-9]{1,2}(?::[0-9]{2})? ?(?:am|pm))$"
+
+
+def ellington_details(pages: DataFrame) -> DataFrame:
+    """link, starts_at, ends_at, image_url, start_text, range_text and _error of landed event pages (page_id, url, html).
+
+    The start is that of the first field that names it, or else of the range; an end before it is on the next day. The
+    image is the first of the head's, then of the featured one's sources.
+    """
+    rows = pages.select("page_id", clean_url(F.col("url")).alias("link"), N.mark(F.col("html"), CLUB_NODES).alias("_n"))
+    n = F.col("_n")
+    texts = F.transform(F.concat(N.labelled(n, "field"), N.labelled(n, "body")), lambda x: T.collapse(x["text"]))
+    starts = F.filter(F.transform(texts, lambda t: F.regexp_extract(t, CLUB_START, 1)), lambda t: t != "")
+    within = T.collapse(N.first(n, "range")["text"])
+    rows = rows.withColumn("start_text", F.get(starts, 0)).withColumn("range_text", F.nullif(within, F.lit("")))
+    at = lambda i: D.parse_club_time(F.concat_ws(" ", F.regexp_extract("range_text", CLUB_RANGE, 1), F.regexp_extract("range_text", CLUB_RANGE, i)))
+    rows = rows.withColumn("_from", at(2)).withColumn("ends_at", D.end_after(F.col("_from"), at(3)))
+    head = F.array(*(N.first_attr(n, k, "content") for k in ("secure", "og", "twitter")), N.first_attr(n, "preload", "href"))
+    lazy = lambda x: F.array(*(F.element_at(x["attrs"], k) for k in ("src", "data-src")), *(first_srcset_url(F.element_at(x["attrs"], k)) for k in ("srcset", "data-srcset")))
+    images = F.filter(F.concat(head, F.flatten(F.transform(N.labelled(n, "featured"), lazy))), lambda u: F.trim(u).rlike("^https?://[^/\\s]+"))
+    start = F.when(F.col("start_text").isNotNull(), D.parse_club_time(F.col("start_text"))).otherwise(F.col("_from"))
+    out = rows.select("page_id", "link", start.alias("starts_at"), "ends_at", F.trim(F.get(images, 0)).alias("image_url"), F.coalesce("start_text", "range_text").alias("start_text"), "range_text")
+    return out.withColumn("_error", F.when(F.col("starts_at").isNull(), "no start time"))
+
+
 def read_ellington_with_details(spark: SparkSession, path: str) -> DataFrame:
-    """The landed list (`list`, JSON) with its details (`details`, Parquet: id, starts_at, ends_at, image_url)."""
-    return read_ellington(spark, f"{path}/list").join(spark.read.parquet(f"{path}/details"), "id", "left")
+    """The landed list (`list`, JSON) with the times and images of its landed event pages (`pages`, Parquet: page_id, url,
+    html), by the event's link; of several pages of a link the last one counts."""
+    found = ellington_details(spark.read.parquet(f"{path}/pages"))
+    last = found.groupBy("link").agg(F.max_by(F.struct("starts_at", "ends_at", "image_url"), "page_id").alias("d"))
+    events = read_ellington(spark, f"{path}/list")
+    return events.join(last.select(F.col("link").alias("_link"), "d.*"), clean_url(F.col("link")) == F.col("_link"), "left").drop("_link")
+
+
+#: Where a linked event's page has its image.
+IMAGE_NODES = {"og": "meta[property='og:image']", "twitter": "meta[name='twitter:image']", "data": "script[type='application/ld+json']"}
+
+
+def linked_event_url(ticket_url: Column) -> Column:
+    """The event page behind a community ticket link, without query and the way to its tickets; null for other hosts."""
+    url = F.regexp_replace(clean_url(ticket_url), "[?#].*$", "")
+    bare = F.regexp_replace(F.regexp_replace(url, "/tickets$", ""), "(?<=[^/])/$", "")
+    return F.when((host(url) == "humanitix.com") | host(url).endswith(".humanitix.com"), bare)
+
+
+def linked_images(pages: DataFrame) -> DataFrame:
+    """(url, image_url) of landed linked pages: the head's image, else the first URL under an image key of the JSON-LD."""
+    rows = pages.select(F.regexp_replace("url", "[?#].*$", "").alias("url"), N.mark(F.col("html"), IMAGE_NODES).alias("_n"))
+    n = F.col("_n")
+    data = F.filter(F.transform(N.labelled(n, "data"), lambda x: F.regexp_extract(x["text"], '"(?:image|thumbnailUrl)"\\s*:\\s*(?:\\[\\s*)?(?:\\{[^{}]*?"url"\\s*:\\s*)?"(https?:[^"]+)"', 1)), lambda u: u != "")
+    image = F.coalesce(clean_url(N.first_attr(n, "og", "content")), clean_url(N.first_attr(n, "twitter", "content")), clean_url(F.replace(F.get(data, 0), F.lit("\\/"), F.lit("/"))))
+    return rows.select("url", image.alias("image_url")).where("image_url IS NOT NULL").groupBy("url").agg(F.min("image_url").alias("image_url"))
+
+
+def with_linked_images(listings: DataFrame, images: DataFrame) -> DataFrame:
+    """listings whose image is missing with that of the page that their ticket link leads to, which the payload names."""
+    side = images.select(F.col("url").alias("_page"), F.col("image_url").alias("_image"))
+    rows = listings.withColumn("_wanted", F.when(F.col("image_url").isNull(), linked_event_url(F.col("ticket_url")))).join(side, F.col("_wanted") == F.col("_page"), "left")
+    more = F.to_json(F.struct(F.col("_image").alias("derivedLinkedImageUrl"), F.col("_page").alias("derivedLinkedImageSourceUrl")))
+    body = F.coalesce("raw_payload", F.lit("{}"))
+    merged = F.when(F.trim(body) == "{}", more).otherwise(F.concat(F.regexp_replace(body, "\\}\\s*$", ","), F.substring(more, F.lit(2), F.length(more))))
+    rows = rows.withColumn("raw_payload", F.when(F.col("_image").isNotNull(), merged).otherwise(F.col("raw_payload"))).withColumn("image_url", F.coalesce("image_url", "_image"))
+    return rows.drop("_wanted", "_page", "_image")
 
 
 def normalise_ellington_rows(rows: DataFrame) -> DataFrame:
@@ -173,11 +242,10 @@ def normalise_ellington(events: DataFrame, details: DataFrame) -> DataFrame:
     state = F.concat_ws(" ", "_title", text)
     status = F.when(state.rlike("(?i)\\bcancell?ed\\b"), "cancelled").when(state.rlike("(?i)\\bpostponed\\b|\\brescheduled\\b"), "postponed").otherwise("active")
     versioned = F.when(F.col("modified_gmt").isNotNull(), F.concat("_url", F.lit("#detail-version="), F.url_encode("modified_gmt"))).otherwise(F.col("_url"))
-    from stagelight.functions.lineups import description_names
-
+    rows = rows.withColumn("_lineup", ellington_names(F.col("_title"), F.col("content.rendered")))
     return _listing(
         rows, ELLINGTON, _place(ELLINGTON_PLACE), external_id=F.col("id").cast("string"), source_url=F.col("_url"), title=F.col("_title"), description=text, status=status, starts_at=F.col("starts_at"), ends_at=F.col("ends_at"), image_url=F.col("image_url"), ticket_url=F.col("_url"),
-        artists=description_names(F.col("_lines")), kind=F.lit("parsed_text"), raw_payload=F.to_json(F.struct("id", "link", "modified_gmt", "title")), checksum_url=versioned, place=F.struct(F.lit("rest").alias("f"), F.col("id").alias("n")),
+        artists=normalise_names(F.col("_lineup.names")), kind=F.col("_lineup.kind"), raw_payload=F.to_json(F.struct("id", "link", "modified_gmt", "title")), checksum_url=versioned, place=F.struct(F.lit("rest").alias("f"), F.col("id").alias("n")),
     )
 
 

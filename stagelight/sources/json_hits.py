@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stagelight.functions import text as T
 from stagelight.functions.artists import extraction
 from stagelight.functions.dates import day_key, parse_utc
-from stagelight.functions.lineups import guests, milk_bar_names
+from stagelight.functions.lineups import guests, milk_bar_names, with_oztix_names
 from stagelight.functions.merging import listing_status
 from stagelight.functions.urls import clean_url, drop_image_size, image_area, within_km
 
@@ -113,7 +113,14 @@ def normalise_oztix(hits: DataFrame) -> DataFrame:
     name = F.coalesce(F.col("Venue.Name"), F.lit("Oztix Venue"))
     venue = _venue(name, T.venue_suburb(name, F.col("Venue.Locality")), T.venue_address(name, F.col("Venue.Address")), clean_url(F.col("Venue.WebsiteUrl")))
     url = F.coalesce(clean_url(F.col("EventUrl")), F.lit("https://www.oztix.com.au/search?states%5B0%5D=WA&q="))
-    return _records(rows, "oztix-wa", T.question_mark_title(F.col("EventName")), url, preferred_image(), venue, True)
+    rows = rows.withColumn("_structured", structured_artists()).withColumn("_guests", T.normalise_space(F.regexp_replace(F.coalesce("SpecialGuests", F.lit("")), "<[^>]+>", " "))).withColumn("_lines", T.html_lines(F.col("EventDescription"))).withColumn("_name", T.question_mark_title(F.col("EventName")))
+    named = apart(with_oztix_names(apart(rows), "_name", "_structured", "_guests", "_lines")).withColumnsRenamed({"artists": "_artists", "artist_kind": "_kind"})
+    return _records(named, "oztix-wa", F.col("_name"), url, preferred_image(), venue, True, F.struct(F.col("_artists").alias("artists"), F.col("_kind").alias("kind")))
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """rows, with a border that expressions don't cross: the optimiser would copy long chains of them into each other."""
+    return rows.mapInArrow(lambda batches: batches, rows.schema)
 
 
 def normalise_rosemount(hits: DataFrame) -> DataFrame:

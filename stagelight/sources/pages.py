@@ -61,7 +61,7 @@ def _secondary_cards(nodes: Column) -> Column:
         return T.let(F.get(N.inside(nodes, x, "title"), 0), lambda strong: around(x, strong))
 
     def around(x: Column, strong: Column) -> Column:
-        holds = F.element_at(F.filter(N.labelled(nodes, "paragraph"), lambda p: (p["node"] < strong["node"]) & (strong["node"] < p["until"])), -1)  # the innermost
+        holds = F.try_element_at(F.filter(N.labelled(nodes, "paragraph"), lambda p: (p["node"] < strong["node"]) & (strong["node"] < p["until"])), F.lit(-1))  # the innermost
         return T.let(holds, lambda p: fields(x, strong, F.get(F.filter(nodes, lambda q: (q["label"] == "paragraph") & (q["parent"] == p["parent"]) & (q["nth"] == p["nth"] + 1)), 0)))
 
     def fields(x: Column, strong: Column, venue: Column) -> Column:
@@ -181,6 +181,85 @@ def page_text(lines: Column) -> Column:
     return F.filter(F.array_distinct(lines), lambda x: ~x.rlike(UI_NOISE))
 
 
+PAGE_NODES = {"heading": "main h2, main h3, main h4", "text": "main h2, main h3, main h4, main p, main li", "beside": "main h2, main h3, main h4, main ul, main ol, main p, main div, main section", "item": "main p, main li", "list": "main ul, main ol"}
+LINEUP_HEADINGS = ("lineup", "artists", "performers", "featuring")
+PAGE_NOISE = "^[A-Z][a-z]{2},?\\s+[0-9]{1,2}\\s+[A-Z][a-z]{2}|^(?:Facebook|Linkedin|X|Copy link|iCal|Google|Office 365|Outlook)|^Tickets for good, not greed|^(?i:Refunds? )|^\\$[0-9]+"
+
+
+def page_parts(html: Column) -> Column:
+    """(headings, texts, lineup) of a page's main part: its headings, its visible texts once each without those of the
+    page's own controls, and what stands under a line-up heading up to the next heading beside it."""
+    return T.let(N.mark(html, PAGE_NODES), _page_parts)
+
+
+def _page_parts(nodes: Column) -> Column:
+    texts = F.filter(F.transform(N.labelled(nodes, "text"), lambda x: T.collapse(x["text"])), lambda t: (t != "") & ~t.rlike(UI_NOISE) & ~t.rlike(PAGE_NOISE))
+
+    def under(h: Column) -> Column:
+        beside = F.filter(nodes, lambda x: (x["label"] == "beside") & (x["parent"] == h["parent"]) & (x["nth"] > h["nth"]))
+        stop = F.coalesce(F.array_min(F.transform(F.filter(beside, lambda x: x["tag"].isin("h2", "h3", "h4")), lambda x: x["nth"])), F.lit(1 << 30))
+
+        def texts_of(x: Column) -> Column:
+            items = N.inside(nodes, x, "item")
+            items = F.when(x["tag"].isin("ul", "ol"), F.filter(items, lambda i: i["tag"] == "li")).otherwise(items)
+            return F.when((F.size(items) > 0) | x["tag"].isin("ul", "ol"), F.transform(items, lambda i: i["text"])).otherwise(F.array(x["text"]))
+
+        return F.flatten(F.transform(F.filter(beside, lambda x: x["nth"] < stop), texts_of))
+
+    wanted = F.filter(N.labelled(nodes, "heading"), lambda h: F.lower(T.collapse(h["text"])).isin(*LINEUP_HEADINGS))
+    lineup = F.filter(F.transform(F.flatten(F.transform(wanted, under)), T.collapse), lambda t: (t != "") & ~t.rlike(UI_NOISE))
+    return F.struct(F.transform(N.labelled(nodes, "heading"), lambda h: T.collapse(h["text"])).alias("headings"), F.array_distinct(texts).alias("texts"), F.array_distinct(lineup).alias("lineup"))
+
+
+def homepage_payload(html: Column) -> Column:
+    """The JSON object of days that a rendered homepage carries in the chunks of its script calls; null without one."""
+    chunks = F.transform(F.regexp_extract_all(html, F.lit("(?s)self\\.__next_f\\.push\\((.*?)\\)</script>"), F.lit(1)), lambda x: F.coalesce(F.try_variant_get(F.try_parse_json(x), "$[1]", "string"), F.lit("")))
+    return _json_behind(F.array_join(chunks, ""), F.lit('{"days":['))
+
+
+def payload_gigs(payload: Column) -> Column:
+    """(date_key, id, slug, title, source_name, artist_names) of the payload's days, in order."""
+    item = "id:string,slug:string,title:string,source_name:string,artist_names:array<string>"
+    days = F.from_json(payload, f"days array<struct<dateKey:string,items:array<struct<{item}>>>>")["days"]
+    fields = ("id", "slug", "title", "source_name")
+    one = lambda d: lambda g: F.struct(d["dateKey"].alias("date_key"), *(g[f].alias(f) for f in fields), F.coalesce(g["artist_names"], F.array().cast("array<string>")).alias("artist_names"))
+    return F.flatten(F.transform(days, lambda d: F.transform(d["items"], one(d))))
+
+
+def search_config(html: Column) -> Column:
+    """(venue_name, index_name, app_id, api_key) that a venue's page gives to its search; null if one is missing."""
+    scripts = F.array_join(F.transform(N.mark(html, {"script": "script"}), lambda x: x["text"]), "\n")
+
+    def found(text: Column) -> Column:
+        part = lambda pattern, i=1: F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
+        client = "algoliasearch\\('([^']+)', '([^']+)'\\)"
+        out = F.struct(part('var venueId = "([^"]+)"').alias("venue_name"), part("indexName:\\s*'([^']+)'").alias("index_name"), part(client).alias("app_id"), part(client, 2).alias("api_key"))
+        return F.when(out["venue_name"].isNotNull() & out["index_name"].isNotNull() & out["app_id"].isNotNull(), out)
+
+    return T.let(scripts, found)
+
+
+def discovery_rows(pages: DataFrame) -> DataFrame:
+    """(page_id, listings, page_number, page_count, failed) of discovery pages (page_id, html): events of the server data
+    that the page's item list has under the same id and URL, each id once; what either has alone counts as failed."""
+    from stagelight.sources.feeds import owned_event
+    from stagelight.sources.json_ld import list_items
+
+    event = "struct<id:string,eventbrite_event_id:string,url:string,name:string>"
+    body = F.from_json(embedded_json(F.col("html")), f"search_data struct<events:struct<results:array<{event}>,pagination:struct<page_number:int,page_count:int>>>")["search_data"]["events"]
+    rows = pages.select("page_id", body.alias("d"), list_items(F.col("html")).alias("urls"))
+    listed = F.transform("urls", owned_event)
+    rows = rows.withColumn("_list", F.filter(listed, lambda x: x.isNotNull()))
+    entry = lambda e: F.struct(F.coalesce(F.nullif(F.trim(e["eventbrite_event_id"]), F.lit("")), F.trim(e["id"])).alias("id"), owned_event(e["url"]).alias("at"), e["name"].alias("name"))
+    rows = rows.withColumn("_events", F.transform(F.coalesce("d.results", F.array().cast(f"array<{event}>")), entry)).withColumn("_keys", F.transform("_events", lambda e: e["id"]))
+    last = lambda k: F.try_element_at(F.filter("_list", lambda x: x["external_id"] == k), F.lit(-1))["url"]  # noqa: E731  a list names an id's last URL
+    good = F.filter("_events", lambda e, i: F.coalesce(e["id"].rlike("^[0-9]+$") & (e["at"]["external_id"] == e["id"]) & (last(e["id"]) == e["at"]["url"]) & (F.array_position("_keys", e["id"]) == i + 1), F.lit(False)))
+    rows = rows.withColumn("_good", good)
+    ids, have = F.array_distinct(F.transform("_list", lambda x: x["external_id"])), F.transform("_good", lambda e: e["id"])
+    failed = F.size("_events") - F.size("_good") + F.size(F.array_except(ids, have)) + F.when(F.size(ids) == 0, 1).otherwise(0) + F.when(F.col("d.pagination.page_count").isNull(), 1).otherwise(0)
+    return rows.select("page_id", F.transform("_good", lambda e: F.struct(e["id"].alias("external_id"), e["at"]["url"].alias("url"), e["name"].alias("name"))).alias("listings"), F.col("d.pagination.page_number").alias("page_number"), F.col("d.pagination.page_count").alias("page_count"), failed.alias("failed"))
+
+
 def page_meta(html: Column) -> Column:
     """(title, description, canonical, image) of a page's head; the canonical link, or else og:url."""
     of = lambda key: F.nullif(T.collapse(F.regexp_extract(html, f"(?is)<meta\\b(?=[^>]*(?:name|property)=[\"']{key}[\"'])[^>]*\\bcontent=[\"']([^\"']*)[\"']", 1)), F.lit(""))

@@ -96,3 +96,52 @@ def test_event_pages(spark):
     assert r.image_url == "https://i.example.com/h.jpg" and r.ticket_url == "https://t.example.com/1" and r.source_url == f"{base}event/e/1" and r.description == "Hello allMade up of Ann Lee and Bob Ray."
     assert r.venue.slug == "mojos-bar" and r.venue.suburb == "North Fremantle" and json.loads(r.raw_payload)["eventData"]
     assert got["3"].title == "No Listing" and got["3"].artists == ["Elk"] and got["3"].image_url == "https://i.example.com/t.jpg" and got["3"].ticket_url == f"{'https://www.moshtix.com.au'}/buy/1"
+
+
+@pytest.mark.parametrize(
+    "title,html,want",
+    [
+        ("Music from the Night", "<p>Join jazz musicians <strong>Ann Lee (piano), Bob Ray (alto saxophone) and Cy Coe (drums)</strong></p>", ["Ann Lee", "Bob Ray", "Cy Coe"]),
+        ("REDFOX", "<p><strong>Ann Lee</strong> – Guitar</p><p>Bob Ray – Drums, Percussion (late)</p>", ["REDFOX", "Ann Lee", "Bob Ray"]),
+        ("Big Sound", "<p>Piano – Ann Lee<br>Trumpet and Synth- Bob Ray<br>On bass: Cy Coe<br>Sax-Powered Hour</p>", ["Big Sound", "Ann Lee", "Bob Ray", "Cy Coe"]),
+        ("Late Session", "<p>Ft. special guests Ann Lee - vocals - Bob Ray</p>", ["Ann Lee", "Bob Ray"]),
+        ("The Max Gold Songbook", "<p><strong>Max Gold</strong> is a legend.</p><p>This night will be performed by <strong>Ann Lee</strong> and band.</p>", ["Ann Lee"]),
+        ("Showcase", "<p>With <strong>Ann Lee</strong> at the piano, influenced by <strong>No One</strong></p><p>“Fine” <strong>Some Critic, Some Paper</strong></p>", []),
+        ("Showcase", "<p>Starring <strong>Ann and Bob Ray</strong></p>", ["Ann Ray", "Bob Ray"]),
+        ("Album Launch - Ann Lee & Bob Ray - Live", "<p>After the passing of <strong>Bob Ray</strong> " + "so much time went by " * 8 + "until <strong>Ann Lee</strong> launched it.</p><p>Ann Lee is back.</p>", ["Ann Lee"]),
+        ("The Music of Gold", "<p><strong>The Gold Experience</strong> was formed in 2006 by Ann Lee and Bob Ray and since then plays.</p>", ["The Gold Experience", "Ann Lee", "Bob Ray"]),
+        ("ANN LEE QUARTET", "<p><strong>ANN LEE QUARTET</strong> returns for two nights.</p>", ["ANN LEE QUARTET", "ANN LEE"]),
+        ("Red Story - Presented by Fox Combo", "<p>The <strong>Fox Combo</strong> plays.</p><p><strong>Ann Lee</strong> – guitar</p>", ["Fox Combo", "Ann Lee"]),
+        ("Coast College - Jazz Night", "<p>Students will perform.</p>", []),
+        ("Night", "", []), (None, None, []),
+    ],
+)
+def test_club_rules(title, html, want):
+    from stagelight.functions.ellington_lineups import names
+
+    got = list(dict.fromkeys(n.strip(" .") for n in names(title, html)[0]))
+    assert got == want
+
+
+@pytest.mark.parametrize(
+    "title,description,section,texts,structured,notes,want,kind",
+    [
+        ("Red Fox + Blue Owl", None, [], [], [], [], ["Red Fox", "Blue Owl"], "parsed_text"),
+        ("Red Fox Album Launch with support from Ann Lee, Bob Ray and Cy Coe", None, [], [], [], [], ["Red Fox", "Ann Lee", "Bob Ray", "Cy Coe"], "parsed_text"),
+        ("Party w/ Ann Lee, Bob Ray & more @ the hall", None, [], [], [], [], ["Ann Lee", "Bob Ray"], "parsed_text"),
+        ("Sunday session: Ann Lee", None, [], [], [], [], ["Ann Lee"], "parsed_text"),
+        ("Night", "Hear the hit single Gold featuring Nobody Here.", [], ["Headlined by Elk // late"], [], [], ["Elk"], "parsed_text"),
+        ("Night", "Stream Gold supported by Nobody. A night supported by Ann Lee.", [], [], [], [], [], "parsed_text"),
+        ("Night", None, ["Ann Lee", "Bob Ray"], [], [], [], ["Ann Lee", "Bob Ray"], "parsed_text"),
+        ("Night", None, ["Ann Lee"], [], [], [], [], "parsed_text"),
+        ("Night", None, ["Special guests: Ann Lee", "Doors at 8, tickets online"], [], [], [], ["Ann Lee"], "parsed_text"),
+        ("Night", "featuring world premieres by Kay Moe and Jo Bo.", [], [], ["Ann Lee", "Artists including:"], [None, "Una, Duo\nTres"], ["Ann Lee", "Una", "Duo", "Tres", "Kay Moe", "Jo Bo"], "structured"),
+        ("Night", "Featuring Ann Lee & Bob Ray.", [], [], ["Ann Lee", "Bob Ray"], None, ["Ann Lee", "Bob Ray"], "structured"),
+        ("Night", None, None, None, None, None, [], "parsed_text"),
+    ],
+)
+def test_community_rules(title, description, section, texts, structured, notes, want, kind):
+    from stagelight.functions.humanitix_lineups import names
+
+    got, found = names(title, description, section, texts, structured, notes)
+    assert list(dict.fromkeys(got)) == want and found == kind

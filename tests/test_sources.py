@@ -28,7 +28,7 @@ def test_hits(spark, tmp_path):
     got = {r.external_id: r for r in json_hits.normalise_oztix(raw).collect()}
     assert set(got) == {"1", "6", "7", "8"} and got["6"]._error and not got["1"]._error
     assert got["1"].title == "Good Show" and got["1"].image_url == "https://i/b" and got["1"].source_url == "https://tickets.oztix.com.au/1" and got["1"].venue.slug == "rosemount-hotel"
-    assert got["7"].status == "cancelled" and got["8"].artists == ["Ann", "Bob", "Cy"] and got["8"].artist_extraction_kind == "explicit_lineup"
+    assert got["7"].status == "cancelled" and got["8"].artists == ["Ann", "Bob", "Cy"] and got["8"].artist_extraction_kind == "parsed_text"
     assert {r.external_id for r in json_hits.normalise_rosemount(raw).collect()} == {str(i) for i in range(1, 9)}
     variants = [hit("1", "Band Night SOLD OUT"), hit("2", "Band Night"), hit("3", "Alone SOLD OUT")]
     raw = json_hits.read_hits(spark, land(tmp_path, "milk", {"results": [{"hits": variants}]}))

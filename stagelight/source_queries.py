@@ -80,18 +80,17 @@ _HITS = "(SELECT p_partkey, p_size, p_size % 6 AS n, p_name, p_brand FROM part)"
 
 
 @query(
-    f"""SELECT 'oztix-wa' AS source, 'e' || p_partkey AS external_id, CASE WHEN n = 1 THEN p_name || ' presents: Ada + Bo' ELSE p_name || ' x' END AS title, CASE WHEN n = 1 THEN 'Cy|Di' WHEN n = 5 THEN 'Ada|Bo' ELSE p_name END AS artists, CASE WHEN n IN (1, 5) THEN 'explicit_lineup' ELSE 'structured' END AS kind,
+    f"""SELECT 'oztix-wa' AS source, 'e' || p_partkey AS external_id, CASE WHEN n = 1 THEN p_name || ' presents: Ada + Bo' ELSE p_name || ' x' END AS title, CASE WHEN n = 1 THEN 'Ada|Bo|Cy|Di' WHEN n = 5 THEN 'Ada|Bo' ELSE p_name || '|Cy|Di' END AS artists, CASE WHEN n IN (1, 5) THEN 'parsed_text' ELSE 'structured' END AS kind,
   CASE WHEN n = 3 THEN 'cancelled' WHEN n = 2 THEN 'postponed' ELSE 'active' END AS status, CASE WHEN n = 2 THEN 'https://i.example.com/a?x=1' ELSE 'https://i.example.com/b' END AS image, CASE WHEN n = 4 THEN 'the-court' ELSE 'hall-' || p_size END AS venue FROM {_HITS} WHERE n <> 0 AND p_size > 4
-UNION ALL SELECT 'rosemount-hotel', 'e' || p_partkey, CASE WHEN n = 1 THEN p_name || ' presents: Ada + Bo' ELSE p_name || ' x' END, CASE WHEN n IN (1, 5) THEN CASE WHEN n = 5 THEN 'Ada|Bo' ELSE 'Cy|Di' END ELSE p_name END, CASE WHEN n IN (1, 5) THEN 'explicit_lineup' ELSE 'structured' END,
-  CASE WHEN n = 3 THEN 'cancelled' WHEN n = 2 THEN 'postponed' ELSE 'active' END, CASE WHEN n = 2 THEN 'https://i.example.com/a?x=1' ELSE 'https://i.example.com/b' END, 'rosemount-hotel' FROM {_HITS} WHERE p_size % 10 = 7"""
+UNION ALL SELECT 'rosemount-hotel', 'e' || p_partkey, CASE WHEN n = 1 THEN p_name || ' presents: Ada + Bo' ELSE p_name || ' x' END, CASE WHEN n IN (0, 1, 5) THEN CASE WHEN n = 5 THEN 'Ada|Bo' ELSE 'Cy|Di' END ELSE p_name END, CASE WHEN n IN (0, 1, 5) THEN 'explicit_lineup' ELSE 'structured' END,
+  CASE WHEN n = 3 THEN 'cancelled' WHEN n = 2 THEN 'postponed' ELSE 'active' END, CASE WHEN n = 2 THEN 'https://i.example.com/a?x=1' ELSE 'https://i.example.com/b' END, 'rosemount-hotel' FROM {_HITS}"""
 )
 def s03_hits(spark, d):
     """S3, S4, S6, P5, P13, W19, F-T1 to F-T3, F-T17: search-index hits to listings, by place, music and line-up."""
     p = part(spark, d, n="p_size % 6")
     n, name = F.col("n"), F.col("p_name")
     none = F.lit(None)
-    place = F.struct(F.when(F.col("p_size") % 10 == 7, "Rosemount Hotel").when(n == 4, "The Court Hotel").otherwise(F.concat(F.lit("Hall "), F.col("p_size"))).alias("Name"), none.cast("string").alias("Address"), F.lit("Perth").alias("Locality"), F.lit("WA").alias("State"), none.cast("string").alias("WebsiteUrl"), none.cast("string").alias("Timezone"))
-    rose = p.where("p_size % 10 = 7")
+    place = F.struct(F.lit("Rosemount Hotel").alias("Name"), none.cast("string").alias("Address"), F.lit("Perth").alias("Locality"), F.lit("WA").alias("State"), none.cast("string").alias("WebsiteUrl"), none.cast("string").alias("Timezone"))
     fields = lambda where: [
         F.concat(F.lit("e"), "p_partkey").alias("EventGuid"), F.when(n == 1, F.concat(name, F.lit(" presents: Ada + Bo"))).otherwise(F.concat(name, F.lit("  x"))).alias("EventName"), F.when(n == 5, "with special guests Ada & Bo").otherwise("with Cy & Di").alias("SpecialGuests"), F.lit("<p>A night.</p>").alias("EventDescription"),
         F.lit("https://i.example.com/b?width=20&height=20").alias("HomepageImage"), F.when(n == 2, "https://i.example.com/a?width=30&height=20&x=1").otherwise("https://i.example.com/c?width=3&height=2").alias("EventImage1"), F.lit("1998-03-20T10:00:00").alias("DateStart"), none.cast("string").alias("DateEnd"), F.concat(F.lit("https://t.example.com/"), "p_partkey").alias("EventUrl"),
@@ -99,7 +98,7 @@ def s03_hits(spark, d):
         F.array().cast("array<struct<Name:string>>").alias("Performances"), none.cast("string").alias("TourName"), (n == 3).alias("IsCancelled"), (n == 2).alias("IsPostponed"), none.cast("boolean").alias("IsRescheduled"), none.cast("string").alias("AffectedBy"), none.cast("boolean").alias("HasEventDatePassed"), F.struct(F.lit("f").alias("f"), F.lit(0).alias("r"), F.col("p_partkey").alias("i")).alias("_place"),
     ]
     hall = F.struct(F.when(n == 4, "The Court Hotel").otherwise(F.concat(F.lit("Hall "), F.col("p_size"))).alias("Name"), *(place[c].alias(c) for c in ("Address", "Locality", "State", "WebsiteUrl", "Timezone")))
-    both = json_hits.normalise_oztix(p.where("n != 0").select(*fields(hall))).unionByName(json_hits.normalise_rosemount(rose.select(*fields(place))))
+    both = json_hits.normalise_oztix(p.where("n != 0").select(*fields(hall))).unionByName(json_hits.normalise_rosemount(p.select(*fields(place))))
     return both.select(F.col("source_slug").alias("source"), "external_id", "title", joined("artists").alias("artists"), F.col("artist_extraction_kind").alias("kind"), "status", F.col("image_url").alias("image"), F.col("venue.slug").alias("venue"))
 
 

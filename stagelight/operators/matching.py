@@ -6,7 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagelight.functions.dates import day_key
-from stagelight.functions.text import canonical_title, compatible_keys, slugify, venue_match_key
+from stagelight.functions.text import STOP_WORDS, canonical_title, compatible_keys, let, slugify, venue_match_key
+
+
+def title_tokens(canonical: Column) -> Column:
+    """Tokens of which two titles share one if they are equal or compatible (`compatible_keys`).
+
+    The title itself, for equal ones; its words in order, for equal word sets; and the first words of a fixed order, for
+    one word set within the other. There, of n words that aren't stop words the common ones are at least n - 2 and at
+    least three, so two such titles share one of the first min(n - 2, 3) words of each. The order is by length, the
+    longest first: a fair guess at the rarest words that needs no count of them.
+    """
+    words = F.array_distinct(F.filter(F.split(canonical, "-"), lambda w: w != ""))
+
+    def tokens(all_: Column) -> Column:
+        told = F.array_except(all_, F.array(*map(F.lit, STOP_WORDS)))
+        ranked = F.array_sort(F.transform(told, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
+        prefix = F.slice(ranked, F.lit(1), F.greatest(F.least(F.size(told) - 2, F.lit(3)), F.lit(0)))
+        whole = F.when(F.size(all_) > 1, F.array(F.concat(F.lit("w "), F.array_join(F.array_sort(all_), " ")))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.array(F.concat(F.lit("= "), canonical)), whole, F.transform(prefix, lambda x: F.concat(F.lit("p "), x["w"])))
+
+    return let(words, tokens)
 
 
 def match_tiers(listings: DataFrame, gigs: DataFrame) -> DataFrame:
@@ -15,17 +35,34 @@ def match_tiers(listings: DataFrame, gigs: DataFrame) -> DataFrame:
     listings: listing_id, venue_id, starts_at, title, own_gig_id (null if none). gigs: gig_id, venue_id, starts_at,
     title. Tier 1: same venue, instant and title slug (the smallest gig_id). Tier 2: same venue, local day and
     canonical title, one gig alone; two or more mean no match at all. Tier 3: same venue and day, compatible titles,
-    one gig alone. A listing's own gig is never a match. One blocked join on venue and local day serves all tiers.
+    one gig alone. A listing's own gig is never a match.
+
+    Gigs of one venue, day and title are one row with their number and their first and last id, which is enough to
+    leave the own gig out; titles meet by `title_tokens`. So a venue that stands for many costs no product of its
+    listings and gigs.
     """
-    mine = listings.select("listing_id", "venue_id", "starts_at", "own_gig_id", day_key(F.col("starts_at")).alias("day"), slugify(F.col("title")).alias("slug"), canonical_title(F.col("title")).alias("canonical"))
-    theirs = gigs.select("gig_id", "venue_id", F.col("starts_at").alias("g_starts_at"), day_key(F.col("starts_at")).alias("day"), slugify(F.col("title")).alias("g_slug"), canonical_title(F.col("title")).alias("g_canonical"))
-    pairs = mine.join(theirs, ["venue_id", "day"]).where(F.col("own_gig_id").isNull() | (F.col("gig_id") != F.col("own_gig_id")))
-    exact = (F.col("starts_at") == F.col("g_starts_at")) & (F.col("slug") == F.col("g_slug"))
-    same = F.col("canonical") == F.col("g_canonical")
-    fuzzy = compatible_keys(F.col("canonical"), F.col("g_canonical"))
-    one = lambda hit: F.when(F.count_if(hit) == 1, F.min(F.when(hit, F.col("gig_id"))))
-    found = pairs.groupBy("listing_id").agg(F.min(F.when(exact, F.col("gig_id"))).alias("t1"), F.count_if(same).alias("n2"), one(same).alias("t2"), one(fuzzy).alias("t3"))
-    tier = F.when(F.col("t1").isNotNull(), 1).when(F.col("n2") == 1, 2).when((F.col("n2") == 0) & F.col("t3").isNotNull(), 3)
+    day, canonical = day_key(F.col("starts_at")).alias("day"), canonical_title(F.col("title")).alias("canonical")
+    on = ["venue_id", "day"]
+    mine = listings.select("listing_id", "venue_id", "starts_at", "own_gig_id", day, slugify(F.col("title")).alias("slug"), canonical)
+    theirs = gigs.select("gig_id", "venue_id", "starts_at", day, slugify(F.col("title")).alias("slug"), canonical)
+    groups = theirs.groupBy(*on, F.col("canonical").alias("g_canonical")).agg(F.count("*").alias("n"), F.min("gig_id").alias("low"), F.max("gig_id").alias("high"))
+    own = theirs.select(F.col("gig_id").alias("own_gig_id"), *(F.col(c).alias(f"own_{c}") for c in (*on, "canonical", "starts_at", "slug")))
+    mine = mine.join(own, "own_gig_id", "left")
+    first = Window.partitionBy("venue_id", "starts_at", "slug").orderBy("gig_id")
+    exact = theirs.withColumn("rn", F.row_number().over(first)).where("rn <= 2").select("venue_id", "starts_at", "slug", "gig_id")  # the own gig and one more
+    tier1 = mine.join(exact, ["venue_id", "starts_at", "slug"]).where(F.col("own_gig_id").isNull() | (F.col("gig_id") != F.col("own_gig_id"))).groupBy("listing_id").agg(F.min("gig_id").alias("t1"))
+    same, fuzzy = F.col("canonical") == F.col("g_canonical"), compatible_keys(F.col("canonical"), F.col("g_canonical"))
+    asked = mine.withColumn("token", F.explode(title_tokens(F.col("canonical"))))
+    held = groups.withColumn("token", F.explode(title_tokens(F.col("g_canonical"))))
+    met = asked.join(held, [*on, "token"]).drop("token").dropDuplicates(["listing_id", "g_canonical"]).withColumn("fuzzy", fuzzy).where(same | F.col("fuzzy"))
+    inside = F.coalesce((F.col("own_venue_id") == F.col("venue_id")) & (F.col("own_day") == F.col("day")) & (F.col("own_canonical") == F.col("g_canonical")), F.lit(False))
+    other = F.when(inside & (F.col("low") == F.col("own_gig_id")), F.col("high")).otherwise(F.col("low"))
+    met = met.withColumn("others", F.col("n") - inside.cast("long")).withColumn("other", other)
+    total = lambda hit: F.coalesce(F.sum(F.when(hit, F.col("others"))), F.lit(0))
+    one = lambda hit: F.when(total(hit) == 1, F.min(F.when(hit & (F.col("others") == 1), F.col("other"))))
+    found = met.groupBy("listing_id").agg(total(same).alias("n2"), one(same).alias("t2"), one(F.col("fuzzy")).alias("t3")).join(tier1, "listing_id", "full")
+    n2 = F.coalesce("n2", F.lit(0))
+    tier = F.when(F.col("t1").isNotNull(), 1).when(n2 == 1, 2).when((n2 == 0) & F.col("t3").isNotNull(), 3)
     gig = F.when(tier == 1, F.col("t1")).when(tier == 2, F.col("t2")).when(tier == 3, F.col("t3"))
     return listings.select("listing_id").join(found.select("listing_id", gig.alias("gig_id"), tier.alias("tier")), "listing_id", "left")
 
@@ -86,16 +123,16 @@ def link_scores(gigs: DataFrame, events: DataFrame) -> DataFrame:
 def plausible_cards(cards: DataFrame, gigs: DataFrame) -> DataFrame:
     """Discovery cards that some gig of the day could be: equal or compatible title, or performer at the venue.
 
-    Compatible titles share a word, so pairs meet by day and word.
+    Titles meet by `title_tokens`, so a busy day costs no product of its cards and gigs.
     """
     scored = link_scores(gigs, cards.withColumn("starts_at", F.lit(None).cast("timestamp")))
     g = gigs.select(day_key(F.col("starts_at")).alias("date_key"), slugify(F.col("title")).alias("slug"), canonical_title(F.col("title")).alias("canonical"))
-    c = cards.select("url", "date_key", slugify(F.col("title")).alias("e_slug"), canonical_title(F.col("title")).alias("e_canonical"))
-    words = lambda rows, key: rows.distinct().withColumn("word", F.explode(F.array_distinct(F.split(key, "-"))))
-    same = c.join(g.select("date_key", F.col("slug").alias("e_slug")).distinct(), ["date_key", "e_slug"], "left_semi").select("url")
-    alike = words(c.select("url", "date_key", "e_canonical"), "e_canonical").join(words(g.select("date_key", "canonical"), "canonical"), ["date_key", "word"])
-    by_title = same.unionByName(alike.where(compatible_keys(F.col("canonical"), F.col("e_canonical"))).select("url"))
-    return cards.join(by_title.unionByName(scored.select("url")).distinct(), "url", "left_semi")
+    c = cards.select("url", "date_key", slugify(F.col("title")).alias("slug"), canonical_title(F.col("title")).alias("canonical"))
+    same = c.join(g.select("date_key", "slug").distinct(), ["date_key", "slug"], "left_semi").select("url")
+    asked = c.select("url", "date_key", "canonical", F.explode(title_tokens(F.col("canonical"))).alias("token"))
+    held = g.select("date_key", F.col("canonical").alias("g_canonical")).distinct().withColumn("token", F.explode(title_tokens(F.col("g_canonical"))))
+    alike = asked.join(held, ["date_key", "token"]).where(compatible_keys(F.col("canonical"), F.col("g_canonical"))).select("url")
+    return cards.join(same.unionByName(alike).unionByName(scored.select("url")).distinct(), "url", "left_semi")
 
 
 def assign_links(gigs: DataFrame, events: DataFrame, scores: DataFrame | None = None) -> DataFrame:

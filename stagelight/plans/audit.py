@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagelight.functions.dates import day_key, literal
-from stagelight.functions.text import duplicate_key, jaccard, session_of, variant_identity
+from stagelight.functions.text import duplicate_key, jaccard, let, session_of, variant_identity
 from stagelight.functions.urls import ticket_identity
 
 LEAST_JACCARD = 0.72
@@ -32,6 +32,14 @@ NO_IMAGE_EXPECTED = ("The Bird",)
 VETTED_SOURCES = "Humanitix|Ticketek"
 
 
+def duplicates(cards: DataFrame) -> DataFrame:
+    """(id, title_key) of cards of one venue, start and title key of which there are several; no group is gathered."""
+    keyed = cards.select("id", "venue_slug", "starts_at", duplicate_key(F.col("title")).alias("title_key"))
+    again = keyed.groupBy("venue_slug", "starts_at", "title_key").agg(F.count("*").alias("n")).where("n > 1")
+    same = F.equal_null(keyed["venue_slug"], again["venue_slug"]) & F.equal_null(keyed["starts_at"], again["starts_at"]) & F.equal_null(keyed["title_key"], again["title_key"])
+    return keyed.join(again, same, "left_semi").select("id", "title_key")
+
+
 def duplicate_groups(cards: DataFrame) -> DataFrame:
     """venue_slug, starts_at, title_key, n, ids of groups of two or more."""
     return cards.groupBy("venue_slug", "starts_at", duplicate_key(F.col("title")).alias("title_key")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids")).where("n > 1")
@@ -55,40 +63,40 @@ def image_class() -> Column:
 
 
 def findings(cards: DataFrame, patterns: Sequence[str] = ()) -> DataFrame:
-    """(rule, level, gig_id, detail): level error, warning or note."""
-    row = lambda rows, rule, level, detail: rows.select(F.lit(rule).alias("rule"), F.lit(level).alias("level"), F.col("id").alias("gig_id"), detail.cast("string").alias("detail"))
-    artists = cards.select("id", "title", F.explode("artist_names").alias("artist"))
+    """(rule, level, gig_id, detail): level error, warning or note.
+
+    All rules on a card's own fields are one array, worked out in one pass over the cards; the two on duplicates read
+    them again, by venue and start and by venue and day.
+    """
+    keep = lambda rule, level, cond, detail: F.when(cond, F.array(F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("level"), detail.cast("string").alias("detail")))).otherwise(none)
+    none = F.array().cast("array<struct<rule:string,level:string,detail:string>>")
+    names = F.coalesce("artist_names", F.array().cast("array<string>"))
+    each = lambda rule, level, pattern: F.transform(F.filter(names, lambda a: a.rlike(pattern)), lambda a: F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("level"), a.alias("detail")))
     title, text = F.coalesce("title", F.lit("")), F.concat_ws(" ", "title", "description")
     place_text = F.concat_ws(" ", "title", "description", "venue_name", "venue_suburb")
     empty = F.size("artist_names") == 0
     leaks = F.concat(
         F.array_compact(F.array(F.when(title.rlike(ENTITY_LEAK), "title"), F.when(F.coalesce("venue_name", F.lit("")).rlike(ENTITY_LEAK), "venue"))),
-        F.filter(F.transform("artist_names", lambda a, i: F.when(a.rlike(ENTITY_LEAK), F.concat(F.lit("artist_names["), i, F.lit("]")))), lambda x: x.isNotNull()),
+        F.filter(F.transform(names, lambda a, i: F.when(a.rlike(ENTITY_LEAK), F.concat(F.lit("artist_names["), i, F.lit("]")))), lambda x: x.isNotNull()),
         F.array_compact(F.array(F.when(title.rlike(QUESTION_MARKS), "title_question_marks"))),
     )
-    variants = artists.withColumn("key", variant_identity(F.col("artist"))).where("key != ''").groupBy("id", "key").agg(F.collect_set("artist").alias("names")).where(F.size("names") > 1)
-    vetted = cards.where(F.coalesce("source_name", F.lit("")).rlike(VETTED_SOURCES))
+    keyed = F.filter(F.transform(names, lambda a: F.struct(variant_identity(a).alias("key"), a.alias("artist"))), lambda x: x["key"] != "")
+    spellings = lambda k, x: F.array_sort(F.array_distinct(F.transform(F.filter(x, lambda y: y["key"] == k), lambda y: y["artist"])))
+    twice = let(keyed, lambda x: F.filter(F.transform(F.array_distinct(F.transform(x, lambda y: y["key"])), lambda k: spellings(k, x)), lambda s: F.size(s) > 1))
+    variants = F.transform(twice, lambda s: F.struct(F.lit("duplicate_artist_variant").alias("rule"), F.lit("warning").alias("level"), F.array_join(s, " / ").alias("detail")))
+    vetted = F.coalesce("source_name", F.lit("")).rlike(VETTED_SOURCES)
     fund = place_text.rlike(FUNDRAISER) & empty & ~place_text.rlike(MUSIC_SIGNAL)
-    parts = [
-        row(duplicate_groups(cards).select(F.explode("ids").alias("id"), "title_key"), "exact_duplicate", "error", F.col("title_key")),
-        row(fuzzy_pairs(cards).select(F.col("left_id").alias("id"), "right_id"), "fuzzy_duplicate", "error", F.col("right_id")),
-        row(artists.where(F.col("artist").rlike(PLACEHOLDER)), "artist_placeholder", "error", F.col("artist")),
-        row(cards.where(image_class() == "invalid"), "invalid_image_metadata", "error", F.coalesce("image_path", "source_image_url")),
-        row(cards.where(image_class() == "none"), "no_image", "warning", title),
-        row(vetted.where(place_text.rlike(NON_MUSIC) | fund), "non_music_candidate", "warning", title),
-        row(cards.where(empty & ~text.rlike(THEME_PARTY) & (text.rlike(EXPLICIT_LINEUP) | text.rlike(NAMES_WITH_PLUS))), "missing_artist_candidate", "warning", title),
-        row(cards.withColumn("leaks", leaks).where(F.size("leaks") > 0), "public_text_encoding", "warning", F.array_join("leaks", ",")),
-        row(artists.where(F.col("artist").rlike(DELIMITER)), "artist_delimiter", "warning", F.col("artist")),
-        row(artists.where(F.col("artist").rlike(FRAGMENT)), "artist_sentence_fragment", "warning", F.col("artist")),
-        row(artists.where(F.col("artist").rlike(GENERIC)), "generic_artist_token", "warning", F.col("artist")),
-        row(variants, "duplicate_artist_variant", "warning", F.array_join(F.sort_array("names"), " / ")),
-        row(cards.where(empty & title.rlike(LINEUP_TITLE) & ~title.rlike(NOT_A_LINEUP)), "empty_artist_title_lineup", "warning", title),
-        *(row(cards.where(title.rlike(f"(?i){p}")), "notable", "note", F.lit(p)) for p in patterns),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    of_row = F.concat(
+        each("artist_placeholder", "error", PLACEHOLDER), keep("invalid_image_metadata", "error", image_class() == "invalid", F.coalesce("image_path", "source_image_url")), keep("no_image", "warning", image_class() == "none", title),
+        keep("non_music_candidate", "warning", vetted & (place_text.rlike(NON_MUSIC) | fund), title), keep("missing_artist_candidate", "warning", empty & ~text.rlike(THEME_PARTY) & (text.rlike(EXPLICIT_LINEUP) | text.rlike(NAMES_WITH_PLUS)), title),
+        keep("public_text_encoding", "warning", F.size(leaks) > 0, F.array_join(leaks, ",")), each("artist_delimiter", "warning", DELIMITER), each("artist_sentence_fragment", "warning", FRAGMENT), each("generic_artist_token", "warning", GENERIC), variants,
+        keep("empty_artist_title_lineup", "warning", empty & title.rlike(LINEUP_TITLE) & ~title.rlike(NOT_A_LINEUP), title), *(keep("notable", "note", title.rlike(f"(?i){p}"), F.lit(p)) for p in patterns),
+    )
+    row = lambda rows, rule, detail: rows.select(F.lit(rule).alias("rule"), F.lit("error").alias("level"), F.col("id").alias("gig_id"), detail.cast("string").alias("detail"))
+    alone = cards.select(F.col("id").alias("gig_id"), F.explode(of_row).alias("x")).select("x.rule", "x.level", "gig_id", "x.detail")
+    exact = row(duplicates(cards), "exact_duplicate", F.col("title_key"))
+    fuzzy = row(fuzzy_pairs(cards).select(F.col("left_id").alias("id"), "right_id"), "fuzzy_duplicate", F.col("right_id"))
+    return alone.unionByName(exact).unionByName(fuzzy)
 
 
 def verdict(found: DataFrame, strict: bool = False) -> DataFrame:
@@ -111,8 +119,16 @@ def reconciliation(tables: dict, cards: DataFrame, now: datetime, n: int = 5) ->
     rows = tables["source_gigs"].select("source_id", "gig_id").join(s, "source_id").join(g, "gig_id").join(card, "gig_id", "left")
     active = F.col("status") == "active"
     lost, moved = active & F.col("owner").isNull(), active & (F.col("owner") != F.col("source_name"))
-    few = lambda cond: F.slice(F.array_sort(F.collect_set(F.when(cond, F.col("title")))), 1, n)
-    return rows.groupBy("source_name").agg(F.count("*").alias("total"), F.count_if(active).alias("active"), F.count_if(lost).alias("without_card"), F.count_if(moved).alias("owned_elsewhere"), few(lost).alias("without_card_examples"), few(moved).alias("owned_elsewhere_examples"))
+    none = F.array().cast("array<string>")
+
+    def few(cond: Column, name: str) -> DataFrame:  # the first n distinct titles of each source, cut before they are gathered
+        titles = rows.where(cond & F.col("title").isNotNull()).groupBy("source_name", "title").agg(F.lit(1).alias("_"))
+        first = titles.withColumn("rn", F.row_number().over(Window.partitionBy("source_name").orderBy("title"))).where(F.col("rn") <= n)
+        return first.groupBy("source_name").agg(F.array_sort(F.collect_list("title")).alias(name))
+
+    counts = rows.groupBy("source_name").agg(F.count("*").alias("total"), F.count_if(active).alias("active"), F.count_if(lost).alias("without_card"), F.count_if(moved).alias("owned_elsewhere"))
+    both = counts.join(few(lost, "without_card_examples"), "source_name", "left").join(few(moved, "owned_elsewhere_examples"), "source_name", "left")
+    return both.select(*counts.columns, *(F.coalesce(c, none).alias(c) for c in ("without_card_examples", "owned_elsewhere_examples")))
 
 
 def handoffs(tables: dict, cards: DataFrame, now: datetime) -> DataFrame:

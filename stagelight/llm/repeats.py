@@ -3,7 +3,8 @@
 Each window of k units is owned by its trigger: the leftmost of the smallest rolling hashes of w units in it.
 Equal windows have equal triggers at equal offsets, so consecutive windows with one trigger (a run) travel together:
 
-1. `_thin` cuts each text into runs and writes a thin row for each: trigger, two hashes of the run's string, place.
+1. `_thin` cuts each text into runs and writes a thin row for each: trigger, hash of the run's string, place. The hash
+   has 64 bits (`two` mixes it with trigger and place, for joins by one long), and tells strings of one trigger apart.
    Runs that a text holds twice are repeated already; one of them stands for all of them from here on.
 2. Thin rows meet by trigger. Runs whose trigger occurs once hold no repeated window. Equal strings are repeated
    whole, without a look inside. Where a trigger has different strings, one run of each string has to be looked at.

@@ -571,12 +571,12 @@ def g34_request_metrics(spark, d):
 
 
 @query(
-    f"""SELECT min(k) AS first, max(k) AS last, count(*) AS n FROM (SELECT k, loaded, rn - row_number() OVER (PARTITION BY loaded ORDER BY k) AS i FROM (SELECT *, row_number() OVER (ORDER BY k) AS rn FROM (SELECT {_DAY.format('starts_at')} AS k, max(status = 'active') AS loaded FROM gigs WHERE venue_id = 'v3' GROUP BY 1))) WHERE loaded GROUP BY i"""
+    f"""SELECT venue_id, min(k) AS first, max(k) AS last, count(*) AS n FROM (SELECT venue_id, k, loaded, rn - row_number() OVER (PARTITION BY venue_id, loaded ORDER BY k) AS i FROM (SELECT *, row_number() OVER (PARTITION BY venue_id ORDER BY k) AS rn FROM (SELECT venue_id, {_DAY.format('starts_at')} AS k, max(status = 'active') AS loaded FROM gigs GROUP BY 1, 2))) WHERE loaded GROUP BY venue_id, i"""
 )
 def g35_islands(spark, d):
-    """Runs of loaded days."""
-    g = tables(spark, d)["gigs"].where("venue_id = 'v3'").groupBy(D.day_key(F.col("starts_at")).alias("k")).agg(F.max(F.col("status") == "active").alias("loaded"))
-    return R.islands(g, "k", F.col("loaded")).select("first", "last", "n")
+    """Runs of loaded days of each venue."""
+    g = tables(spark, d)["gigs"].groupBy("venue_id", D.day_key(F.col("starts_at")).alias("k")).agg(F.max(F.col("status") == "active").alias("loaded"))
+    return R.islands(g, "k", F.col("loaded"), ["venue_id"]).select("venue_id", "first", "last", "n")
 
 
 @query(

@@ -66,11 +66,12 @@ def neighbours(days: DataFrame, key: str) -> DataFrame:
     return days.select(key).distinct().withColumn("previous", F.lag(key).over(w)).withColumn("next", F.lead(key).over(w))
 
 
-def islands(days: DataFrame, key: str, loaded: Column) -> DataFrame:
-    """Runs of loaded days that follow each other among all days: (island, first, last, n)."""
-    all_days = days.withColumn("_rn", F.row_number().over(Window.orderBy(key)))
-    own = all_days.where(loaded).withColumn("_i", F.col("_rn") - F.row_number().over(Window.orderBy(key)))
-    return own.groupBy(F.col("_i").alias("island")).agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("n"))
+def islands(days: DataFrame, key: str, loaded: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Runs of loaded days that follow each other among all days, of each group `by`: (by, island, first, last, n)."""
+    order = Window.partitionBy(*by).orderBy(key)
+    all_days = days.withColumn("_rn", F.row_number().over(order))
+    own = all_days.where(loaded).withColumn("_i", F.col("_rn") - F.row_number().over(order))
+    return own.groupBy(*by, F.col("_i").alias("island")).agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("n"))
 
 
 def distinct_urls_per_day(rows: DataFrame, day: str, order: Sequence[str], url: str, n: int) -> DataFrame:

@@ -245,10 +245,18 @@ def normalise_ellington(events: DataFrame, details: DataFrame) -> DataFrame:
     rows = rows.withColumn("_lineup", ellington_names(F.col("_title"), F.col("content.rendered")))
     return _listing(
         rows, ELLINGTON, _place(ELLINGTON_PLACE), external_id=F.col("id").cast("string"), source_url=F.col("_url"), title=F.col("_title"), description=text, status=status, starts_at=F.col("starts_at"), ends_at=F.col("ends_at"), image_url=F.col("image_url"), ticket_url=F.col("_url"),
-        artists=normalise_names(F.col("_lineup.names")), kind=F.col("_lineup.kind"), raw_payload=F.to_json(F.struct("id", "link", "modified_gmt", "title")), checksum_url=versioned, place=F.struct(F.lit("rest").alias("f"), F.col("id").alias("n")),
+        artists=normalise_names(F.col("_lineup.names")), kind=F.col("_lineup.kind"), raw_payload=F.to_json(F.struct("id", "link", "modified_gmt", "title", "content")), checksum_url=versioned, place=F.struct(F.lit("rest").alias("f"), F.col("id").alias("n")),
     )
 
 
+def repaired_club_names(stored: DataFrame) -> DataFrame:
+    """(id, artists, kind) taken anew from stored payloads (id, raw_payload); rows without a title are left out."""
+    body = F.from_json("raw_payload", "title struct<rendered:string>, content struct<rendered:string>")
+    rows = stored.select("id", body.alias("p")).where("p.title.rendered IS NOT NULL").select("id", ellington_names(ellington_title(F.col("p.title.rendered")), F.col("p.content.rendered")).alias("x"))
+    names = normalise_names(F.col("x.names"))
+    return rows.select("id", names.alias("artists"), F.when(F.size(names) == 0, "unknown").otherwise(F.col("x.kind")).alias("kind"))
+
+
 # --- rows of ticket sites ---------------------------------------------------------------------------------------
 
 

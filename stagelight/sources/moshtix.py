@@ -88,3 +88,21 @@ def normalise_moshtix(landed: DataFrame) -> DataFrame:
         raw_payload=F.to_json(F.struct(listing("raw").alias("listing"), F.to_json("data").alias("eventData"), F.to_json("event").alias("structuredEvent"), F.col("description_html").alias("descriptionHtml"))), checksum_url=page, place=F.struct(F.lit("page").alias("f"), F.col("page_id").alias("n")),
     )
 
+
+
+def repaired_names(stored: DataFrame) -> DataFrame:
+    """(id, artists, kind) taken anew from stored payloads (id, raw_payload); rows without a title are left out."""
+    body = F.from_json("raw_payload", "eventData string, structuredEvent string, descriptionHtml string")
+    rows = stored.select("id", body.alias("p")).select("id", F.try_parse_json("p.eventData").alias("data"), F.try_parse_json("p.structuredEvent").alias("event"), "p.descriptionHtml")
+    data = lambda path, kind="string": F.try_variant_get("data", path, kind)
+    event = lambda path, kind="string": F.try_variant_get("event", path, kind)
+    performers = F.transform(F.coalesce(event("$.performers", "array<struct<name:string>>"), F.array().cast("array<struct<name:string>>")), lambda p: p["name"])
+    structured = F.concat(F.coalesce(data("$.artists", "array<string>"), F.array().cast("array<string>")), performers)
+    found = moshtix_names(F.coalesce(data("$.name"), event("$.name")), F.col("descriptionHtml"), structured, F.array(data("$.venue.name"), data("$.client.name"), event("$.location.name")))
+    return repaired(rows.where(F.coalesce(data("$.name"), event("$.name")).isNotNull()).select("id", found.alias("x")))
+
+
+def repaired(found: DataFrame) -> DataFrame:
+    """(id, artists, kind) of line-ups `x` (names, kind)."""
+    names = normalise_names(F.col("x.names"))
+    return found.select("id", names.alias("artists"), F.when(F.size(names) == 0, "unknown").otherwise(F.col("x.kind")).alias("kind"))

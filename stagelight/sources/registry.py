@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 @dataclass(frozen=True)
 class Source:
     """slug, priority and visibility become a row of `sources`; read turns a landed folder into raw rows, normalise
-    those into normalised listings with `_error` for rows that can't be read."""
+    those into normalised listings with `_error` for rows that can't be read, repair takes line-ups (id, artists, kind)
+    anew from stored payloads (id, raw_payload), for `history.repair_artists`."""
 
     slug: str
     name: str
@@ -19,6 +20,7 @@ class Source:
     is_public: bool = True
     read: Callable[[SparkSession, str], DataFrame] | None = None
     normalise: Callable[[DataFrame], DataFrame] | None = None
+    repair: Callable[[DataFrame], DataFrame] | None = None
 
 
 #: Slugs, names and priorities, in processing order.
@@ -47,13 +49,13 @@ def registry() -> list[Source]:
         "rosemount-hotel": (json_hits.read_hits, json_hits.normalise_rosemount),
         "ticketmaster-au": (city_feed.read_events, city_feed.normalise_events),
         "humanitix-perth-music": (json_ld.read_pages, json_ld.normaliser("humanitix-perth-music")),
-        "moshtix-wa": (json_ld.read_pages, moshtix.normalise_moshtix),
+        "moshtix-wa": (json_ld.read_pages, moshtix.normalise_moshtix, moshtix.repaired_names),
         "eventbrite-perth-music": (json_ld.read_pages, json_ld.normaliser("eventbrite-perth-music")),
         "the-bird": (feeds.read_bird, lambda rows: feeds.normalise_bird(rows, datetime.now(timezone.utc))),
-        "the-ellington": (feeds.read_ellington_with_details, feeds.normalise_ellington_rows),
+        "the-ellington": (feeds.read_ellington_with_details, feeds.normalise_ellington_rows, feeds.repaired_club_names),
         "ticketek-wa": (lambda spark, path: pages.result_rows(json_ld.read_pages(spark, path)), feeds.normalise_ticketek),
     }
-    return [Source(slug, name, priority, True, *own.get(slug, (None, None))) for slug, name, priority in ORDER]
+    return [Source(slug, name, priority, True, *own.get(slug, ())) for slug, name, priority in ORDER]
 
 
 def parse_slugs(value: str | None) -> list[str]:

@@ -5,7 +5,9 @@ import json
 from pyspark.sql import functions as F
 
 from stagelight.functions import dates as D
+from stagelight.operators.history import repair_artists
 from stagelight.sources import crawl, feeds, json_ld, pages
+from stagelight.sources.registry import registry
 
 
 def rows(spark, *html):
@@ -89,3 +91,20 @@ def test_community_page(spark):
     assert got.headings == ["Lineup", "Location"] and got.lineup == ["Ann Lee", "Bob Ray", "Special guests: Cy Coe"] and got.texts == ["Lineup", "Ann Lee", "Bob Ray", "Special guests: Cy Coe", "Not Me"]
     r = json_ld.normaliser("humanitix-perth-music")(rows(spark, html)).first()
     assert r.artists == ["Ann Lee", "Bob Ray", "Cy Coe"] and r.artist_extraction_kind == "parsed_text"
+
+
+def test_lineups_from_stored_payloads(spark):
+    """Rows whose line-up, taken anew from the payload that their listing stored, differs."""
+    page = 'var moshtixEventData = {"name":"Red Fox w/ Blue Owl + more","startDate":"2026-04-10T19:30:00","venue":{"name":"Hall"}};<section id="event-details-section"><div class="fr-view"><p>w/ Elk</p></div></section>'
+    ld = '<div id="event-structured-data-section"><script type="application/ld+json">{"location":{"name":"Hall","address":{"addressLocality":"Perth","addressRegion":"WA"}}}</script></div>'
+    moshtix = {s.slug: s for s in registry()}["moshtix-wa"]
+    listed = moshtix.normalise(spark.createDataFrame([(1, "https://www.moshtix.com.au/v2/event/e/1", page + ld)], "page_id long, url string, html string"))
+    stored = listed.select(F.lit("a").alias("id"), "raw_payload", F.col("artists").alias("artist_names"), "artist_extraction_kind")
+    stale = stored.withColumn("id", F.lit("b")).withColumn("artist_names", F.array(F.lit("Old")))
+    nothing = stored.withColumn("id", F.lit("c")).withColumn("raw_payload", F.lit("{}"))
+    got = repair_artists(stored.unionByName(stale).unionByName(nothing), moshtix.repair).collect()
+    assert [(r.id, r.artist_names, r.artist_extraction_kind) for r in got] == [("b", ["Red Fox", "Blue Owl", "Elk"], "parsed_text")]
+    club = {s.slug: s for s in registry()}["the-ellington"]
+    body = json.dumps({"title": {"rendered": "REDFOX"}, "content": {"rendered": "<p><strong>Ann Lee</strong> – Guitar</p><p>Bob Ray – Drums</p>"}})
+    got = club.repair(spark.createDataFrame([("x", body), ("y", None), ("z", "{")], "id string, raw_payload string")).collect()
+    assert [(r.id, r.artists, r.kind) for r in got] == [("x", ["REDFOX", "Ann Lee", "Bob Ray"], "explicit_lineup")]

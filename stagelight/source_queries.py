@@ -26,7 +26,7 @@ def query(text: str):
 
 
 def part(spark, d, **columns):
-    return spark.read.parquet(f"{d}/part.parquet").selectExpr("*", *(f"{e} AS {c}" for c, e in columns.items()))
+    return json_hits.spread(spark.read.parquet(f"{d}/part.parquet"), "p_partkey").selectExpr("*", *(f"{e} AS {c}" for c, e in columns.items()))
 
 
 def joined(names):

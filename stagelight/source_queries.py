@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stagelight.functions import lineups as L
 from stagelight.operators import history as H
+from stagelight.operators.dealing import apart, spread
 from stagelight.sources import city_feed, feeds, gates, json_hits, json_ld, pages
 
 QUERIES: dict = {}
@@ -26,7 +27,7 @@ def query(text: str):
 
 
 def part(spark, d, **columns):
-    return json_hits.spread(spark.read.parquet(f"{d}/part.parquet"), "p_partkey").selectExpr("*", *(f"{e} AS {c}" for c, e in columns.items()))
+    return spread(spark.read.parquet(f"{d}/part.parquet"), "p_partkey").selectExpr("*", *(f"{e} AS {c}" for c, e in columns.items()))
 
 
 def joined(names):

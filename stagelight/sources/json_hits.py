@@ -11,6 +11,7 @@ from stagelight.functions.dates import day_key, parse_utc
 from stagelight.functions.lineups import guests, milk_bar_names, with_oztix_names
 from stagelight.functions.merging import listing_status
 from stagelight.functions.urls import clean_url, drop_image_size, image_area, within_km
+from stagelight.operators.dealing import apart
 
 HIT = (
     "EventGuid string, EventName string, SpecialGuests string, EventDescription string, HomepageImage string, EventImage1 string, DateStart string, DateEnd string, EventUrl string, "
@@ -118,21 +119,6 @@ def normalise_oztix(hits: DataFrame) -> DataFrame:
     return _records(named, "oztix-wa", F.col("_name"), url, preferred_image(), venue, True, F.struct(F.col("_artists").alias("artists"), F.col("_kind").alias("kind")))
 
 
-#: Tasks of a core, when rows that take long are dealt.
-TASKS_PER_CORE = 8
-
-
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows dealt by a hash of keys over all cores: a file of a few megabytes is one task otherwise, however many rows it
-    has and however long a row takes."""
-    return rows.repartition(TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism, *keys)
-
-
-def apart(rows: DataFrame) -> DataFrame:
-    """rows, with a border that expressions don't cross: the optimiser would copy long chains of them into each other."""
-    return rows.mapInArrow(lambda batches: batches, rows.schema)
-
-
 def normalise_rosemount(hits: DataFrame) -> DataFrame:
     """Hits at the hotel's venues."""
     name = F.coalesce(F.col("Venue.Name"), F.lit("Rosemount Hotel"))

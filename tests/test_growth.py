@@ -10,3 +10,46 @@ def test_a_small_file_of_long_rows_is_dealt_over_all_cores(spark):
     for rows in (page_queries.part(spark, SF), source_queries.part(spark, SF), function_queries.part(spark, SF)):
         assert rows.rdd.getNumPartitions() >= 4 * cores
         assert rows.count() == spark.read.parquet(f"{SF}/part.parquet").count()
+
+
+def pairs_met(spark, title_rows):
+    """How many pairs of titles share a token."""
+    from pyspark.sql import functions as F
+
+    from stagelight.operators.matching import title_tokens
+
+    held = spark.createDataFrame(title_rows, "title string").select("title", F.explode(title_tokens(F.col("title"))).alias("token"))
+    return held.join(held.withColumnRenamed("title", "other"), "token").where("title < other").select("title", "other").distinct().count()
+
+
+def test_titles_with_common_words_do_not_meet(spark):
+    assert pairs_met(spark, [(f"antiqued-ring-{i}",) for i in range(100)]) == 0
+    assert pairs_met(spark, [("red-ring-night",), ("ring-red-night",), ("red-ring-night-one-two",)]) == 3
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_are_not_multiplied(spark):
+    from stagelight import queries
+
+    mutual = plan_of(queries.QUERIES["q16_mutual_best"](spark, SF))
+    assert "Join Inner, (nation#" not in mutual and "Window" in mutual  # balances are sorted, no nation is joined with itself
+    joins = [x for x in plan_of(queries.QUERIES["q17_fuzzy_duplicates"](spark, SF)).splitlines() if "Join Inner" in x and "p_brand" in x]
+    assert joins and all("right_key" in x and "array_intersect" not in x for x in joins)  # scored before the blocks meet
+
+
+def test_own_gig_is_left_out_among_two_and_a_listing_is_looked_up_once(spark):
+    from datetime import datetime
+
+    from stagelight.operators.matching import match_tiers
+
+    at, late = datetime(2024, 3, 10, 4), datetime(2024, 3, 10, 6)
+    gigs = spark.createDataFrame([("g1", "v", at, "Red Ring Night"), ("g2", "v", at, "Red Ring Night Late"), ("g3", "w", at, "Blue")], "gig_id string, venue_id string, starts_at timestamp, title string")
+    listings = spark.createDataFrame(
+        [("l1", "v", at, "Red Ring Night", "g1"), ("l2", "v", late, "Night Red Ring Early", None), ("l3", "v", late, "Ring Red Night", "g1"), ("l4", "w", late, "Blue", None), ("l5", "w", at, None, None)], "listing_id string, venue_id string, starts_at timestamp, title string, own_gig_id string"
+    )
+    found = match_tiers(listings, gigs)
+    assert sorted(map(tuple, found.collect())) == [("l1", "g2", 3), ("l2", "g1", 3), ("l3", "g2", 3), ("l4", "g3", 2), ("l5", None, None)]
+    assert "listing_id" not in "".join(x for x in plan_of(found).splitlines() if "Aggregate" in x)

@@ -14,6 +14,8 @@ from stagelight.functions.ellington_lineups import ellington_names
 from stagelight.functions.lineups import bird_names, ticketek_names
 from stagelight.functions.merging import listing_status
 from stagelight.functions.urls import clean_url, host, path_of, query_value
+from stagelight.operators.dealing import apart
+from stagelight.operators.matching import title_tokens
 from stagelight.sources import gates
 from stagelight.sources import nodes as N
 from stagelight.sources.json_hits import with_ordinals
@@ -82,12 +84,16 @@ def merge_feeds(primary: DataFrame, candidate: DataFrame) -> DataFrame:
     """primary with candidate's listings folded in (`merge_listings`); those without a partner are put behind.
 
     A partner has the candidate's external id, or its UTC date and a compatible title; the first in primary's order is
-    taken. Pairs meet by id and by day, so no product of the feeds is made.
+    taken. Pairs meet by id, and by day and title token (`title_tokens`), so no product of the feeds is made, nor of the
+    rows of a day. Both feeds are read once (`apart`) for all that follows.
     """
+    primary, candidate = apart(primary), apart(candidate)
     p = primary.select(F.struct(*primary.columns).alias("p"), F.col("external_id").alias("id"), F.date_format("starts_at", "yyyy-MM-dd").alias("day"), T.canonical_title(F.col("title")).alias("p_title"), F.col("ordinal").alias("p_at"))
     c = candidate.select(F.struct(*candidate.columns).alias("c"), F.col("external_id").alias("id"), F.date_format("starts_at", "yyyy-MM-dd").alias("day"), T.canonical_title(F.col("title")).alias("c_title"), F.col("ordinal").alias("c_at"))
     by_id = c.join(p.select("id", "p_at"), "id").select("c_at", "p_at")
-    by_day = c.join(p.select("day", "p_title", "p_at"), "day").where(T.compatible_keys(F.col("p_title"), F.col("c_title"))).select("c_at", "p_at")
+    held = apart(p.select("day", "p_title", "p_at", F.transform(title_tokens(F.col("p_title")), lambda t: F.xxhash64(t)).alias("tokens"))).withColumn("token", F.explode("tokens"))
+    asked = apart(c.select("day", "c_title", "c_at", F.transform(title_tokens(F.col("c_title")), lambda t: F.xxhash64(t)).alias("tokens"))).withColumn("token", F.explode("tokens"))
+    by_day = asked.join(held, ["day", "token"]).where(T.compatible_keys(F.col("p_title"), F.col("c_title"))).select("c_at", "p_at")
     partner = by_id.unionByName(by_day).groupBy("c_at").agg(F.min("p_at").alias("p_at"))
     paired = c.join(partner, "c_at", "left")
     folded = paired.where("p_at is not null").groupBy("p_at").agg(F.transform(F.array_sort(F.collect_list(F.struct("c_at", "c"))), lambda x: x["c"]).alias("cs"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stagelight.functions import lineups as L
 from stagelight.operators import history as H
-from stagelight.operators.dealing import apart, spread
+from stagelight.operators.dealing import apart, shared, spread
 from stagelight.sources import city_feed, feeds, gates, json_hits, json_ld, pages
 
 QUERIES: dict = {}
@@ -200,8 +200,8 @@ def s08_result_rows(spark, d):
     module = lambda inner: F.concat(F.lit("<div class='multi resultModule'><div class='resultContainer'><div class='contentImage'><a href='/x'><img src='//i.example.com/a.jpg'></a></div><div class='contentEvent'><h6>"), title, F.lit("</h6><p class='sub-title'>"), F.when(n % 3 == 1, "featuring Ada and Bo").otherwise(""), F.lit("</p></div>"), inner, F.lit("</div></div>"))
     none = F.lit("")
     html = F.concat(F.lit("<ul><li><a href='/search/SearchResults.aspx?k=x&amp;page=3'>3</a></ul>"), module(F.concat(row(button(code)), row(button(code)), row(F.concat(F.lit("<div class='resultBuyNow'><a href='/nothing?k="), "p_partkey", F.lit("'>x</a></div>"))), row(none))), module(F.concat(row(none), button(F.concat(code, F.lit("m"))))), F.lit("<div class='resultModule'><h6>no event</h6></div>"))
-    rows = pages.result_rows(p.select(F.col("p_partkey").alias("page_id"), html.alias("html")))
-    listed = feeds.normalise_ticketek(rows)
+    rows = shared(pages.result_rows(p.select(F.col("p_partkey").alias("page_id"), html.alias("html"))), "n")
+    listed = shared(feeds.normalise_ticketek(rows).drop("ordinal"), "external_id")
     key = F.regexp_extract("external_id", "^C([0-9]+)", 1)
     asked = listed.select("external_id", F.col("external_id").alias("listing_id"), key.alias("title_key"), F.regexp_extract("external_id", "^([^:]+)", 1).alias("show_code"), F.date_format("starts_at", "yyyy-MM-dd").alias("date_key"), F.col("venue.slug").alias("venue_slug"))
     answers = p.select(F.col("p_partkey").cast("string").alias("title_key"), F.col("p_partkey").cast("string").alias("event_title_key"), F.when(n % 5 == 0, "OTHER").otherwise(F.lower(code)).alias("show_code"), F.lit("1998-03-20").alias("date_key"), F.concat(F.lit("hall-"), n).alias("venue_slug"), F.lit("wa").alias("state"))
@@ -236,13 +236,15 @@ def s09_discovery(spark, d):
     data_of = F.concat(F.lit("<script type='application/ld+json'>[{\"@type\":\"MusicEvent\",\"name\":\""), F.col("p_name"), F.lit("\",\"url\":\"https://x.example.com/v2/event/other/1\",\"startDate\":\""), F.when(n % 5 == 0, "soon").otherwise("1998-03-20T19:30:00"), F.lit("\",\"image\":[\"https://www.moshtix.com.au/uploads/\",\"//i.example.com/a.jpg\"]}]</script>"))
     block = lambda attrs, inner: F.concat(F.lit(f"<div class='searchresult  clearfix' {attrs}><div><div>"), *inner, F.lit("</div></div></div>"))
     main = F.concat(F.lit("<h2 class='main-event-header'><a href='/v2/event/red/"), key, F.lit("?x=1'><span>Heading</span></a></h2><h2>Tue</h2>"))
-    search = pages.search_rows(p.select(key.alias("page_id"), F.concat(
+    search = shared(pages.search_rows(p.select(key.alias("page_id"), F.concat(
         block("data-event-id=' '", (main, F.when(n % 2 == 0, "<p><span> t &amp; <b>u</b></span> <a href=x>more</a></p>").otherwise("<p>t</p>"), data_of)), block("data-event-id='b'", (F.lit("<h2 class='main-event-header'></h2>"),)), F.lit("<div class='searchresult'><h2>no block</h2></div><a href='?Page="), n + 1, F.lit("'>p</a>")
-    ).alias("html")))
+    ).alias("html"))), "page_id")
     found = search.where("i = 0").select(F.col("page_id").alias("p_partkey"), "page_count", F.concat_ws("|", "external_id", "title", "url", F.coalesce(F.date_format("starts_at", "yyyy-MM-dd HH:mm"), F.lit("-")), "image_url", F.coalesce("teaser", F.lit("-")), F.coalesce("_error", F.lit("ok"))).alias("row"))
     broken = search.groupBy(F.col("page_id").alias("p_partkey")).agg(F.count("_error").alias("broken"))
+    parts = apart(p.select("p_partkey", "p_size", crawl.alias("crawl"), market.alias("market")))  # each read once
+    crawl, market = F.col("crawl"), F.col("market")
     card = F.get(market["cards"], 0)
-    out = p.select(
+    out = parts.select(
         "p_partkey", joined(crawl["event_urls"]).alias("events"), joined(crawl["next_urls"]).alias("next"), crawl["failed"].alias("failed"), F.when(F.size(market["cards"]) == 1, F.concat_ws("|", card["url"], card["date_key"], card["title"], card["venue_name"])).alias("card"), market["max_page"].alias("pages"), data.alias("embedded"), pages.base64_id(encoded).alias("decoded"),
         pages.event_data(F.concat(F.lit("x; var moshtixEventData = {\"id\": "), n, F.lit("}; var y = {};"))).alias("event_data"), owned["external_id"].alias("owned"),
     )

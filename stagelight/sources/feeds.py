@@ -303,13 +303,13 @@ def normalise_ticketek(rows: DataFrame) -> DataFrame:
     """
     if "image_url" not in rows.columns:
         rows = rows.withColumn("image_url", F.lit(None).cast("string"))
-    rows = rows.withColumn("_link", show_url(F.col("url"))).where(gates.near_perth_text(F.col("location"))).withColumn("music_class", gates.ticketek_class(F.col("title"), F.col("subtitle"), F.col("summary"), F.col("location")))
+    rows = apart(rows.withColumn("_link", show_url(F.col("url")))).where(gates.near_perth_text(F.col("location"))).withColumn("music_class", gates.ticketek_class(F.col("title"), F.col("subtitle"), F.col("summary"), F.col("location")))
     rows = rows.where("music_class != 'non-music'").withColumn("_title", T.normalise_space(F.col("title"))).withColumn("_start", D.parse_day_text(F.col("date_text")))
     first = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(F.coalesce(F.col("_link.external_id"), F.to_json("n"))).orderBy("n"))).where("_rn = 1")
     place = first.withColumn("_p", place_of_location(F.col("location")))
     name = T.venue_name(F.col("_p.name"))
     venue = F.struct(name.alias("name"), T.venue_slug(name).alias("slug"), T.venue_suburb(name, F.col("_p.suburb")).alias("suburb"), T.venue_address(name, F.lit("")).alias("address"), F.lit(None).cast("string").alias("website_url"))
-    place = place.withColumn("_venue", venue)
+    place = apart(place.withColumn("_venue", venue))
     return _listing(
         place, "ticketek-wa", F.col("_venue"), external_id=F.col("_link.external_id"), source_url=F.coalesce(F.col("_link.url"), F.col("url")), image_url=F.col("image_url"), title=F.col("_title"), description=joined_description(F.col("_title"), F.col("subtitle"), F.col("summary")), starts_at=F.col("_start"), precision=F.lit("date"), ticket_url=F.col("_link.url"),
         artists=ticketek_names(F.col("_title"), F.col("subtitle"), F.col("summary")), kind=F.lit("parsed_text"), raw_payload=F.to_json(F.struct("url", "title", "subtitle", "summary", "location", "date_text", "music_class")), place=F.struct(F.lit("row").alias("f"), F.col("n").alias("n")), error=F.when(F.col("_link").isNull(), "no show code"),

@@ -10,6 +10,7 @@ from stagelight.functions.artists import normalise_names
 from stagelight.functions.dates import parse_start
 from stagelight.functions.moshtix_lineups import moshtix_names
 from stagelight.functions.urls import clean_url, path_of, resolved
+from stagelight.operators.dealing import apart
 from stagelight.sources import gates, pages
 from stagelight.sources import nodes as N
 from stagelight.sources.feeds import _listing
@@ -63,7 +64,7 @@ def normalise_moshtix(landed: DataFrame) -> DataFrame:
     given = lambda v: F.nullif(T.collapse(v), F.lit(""))
     texts = lambda *urls: F.filter(F.transform(F.filter(F.concat(*urls), lambda u: u.isNotNull()), lambda u: clean_url(resolved(u, pages.SEARCH_SITE))), lambda u: u.isNotNull() & ~path_of(u).rlike("^/uploads/*$"))
     source = event("$.location.address.addressLocality")
-    rows = rows.withColumn("_title", T.normalise_space(F.coalesce(data("$.name"), event("$.name"), listing("title"), F.lit("")))).withColumn("_start", F.coalesce(parse_start(F.coalesce(data("$.startDate"), event("$.startDate")))["starts_at"], listing("starts_at")))
+    rows = apart(rows).withColumn("_title", T.normalise_space(F.coalesce(data("$.name"), event("$.name"), listing("title"), F.lit("")))).withColumn("_start", F.coalesce(parse_start(F.coalesce(data("$.startDate"), event("$.startDate")))["starts_at"], listing("starts_at")))
     rows = rows.withColumn("_text", F.coalesce("description", listing("teaser"))).withColumn("_suburb", _locality(source))
     name = F.coalesce(given(F.coalesce(event("$.location.name"), data("$.venue.name"))), F.lit("Moshtix Venue"))
     tail = lambda text, place: F.when(place.isNotNull() & F.lower(text).endswith(F.concat(F.lit(", "), F.lower(place))), F.left(text, F.length(text) - F.length(place) - 2)).otherwise(text)
@@ -73,7 +74,7 @@ def normalise_moshtix(landed: DataFrame) -> DataFrame:
     rows = rows.withColumn("_venue", F.struct(F.col("_name").alias("name"), T.venue_slug(F.col("_name")).alias("slug"), T.venue_suburb(F.col("_name"), F.col("_suburb")).alias("suburb"), T.venue_address(F.col("_name"), address).alias("address"), T.venue_website(F.col("_name"), clean_url(event("$.location.sameAs"))).alias("website_url")))
     wanted = F.coalesce(data("$.category.id", "int") == LIVE_MUSIC, F.lit(True)) & ~gates.clearly_not_music(F.col("_title"), F.coalesce("_text", F.lit("")))
     place = gates.metro_reject_reason(F.col("_title"), F.concat_ws(" ", "_venue.name", event("$.location.name"), data("$.venue.name")), F.col("_venue.address"), F.coalesce("_venue.suburb", source), F.coalesce(event("$.location.address.addressRegion"), data("$.venue.state")))
-    rows = rows.where(wanted & place.isNull())
+    rows = apart(rows.where(wanted & place.isNull()))
     performers = F.transform(F.coalesce(event("$.performers", "array<struct<name:string>>"), F.array().cast("array<struct<name:string>>")), lambda p: p["name"])
     structured = F.concat(F.coalesce(data("$.artists", "array<string>"), F.array().cast("array<string>")), performers)
     rows = rows.withColumn("_lineup", moshtix_names(F.col("_title"), F.col("description_html"), structured, F.array(F.col("_venue.name"), data("$.venue.name"), data("$.client.name"), event("$.location.name"))))

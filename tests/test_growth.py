@@ -53,3 +53,46 @@ def test_own_gig_is_left_out_among_two_and_a_listing_is_looked_up_once(spark):
     found = match_tiers(listings, gigs)
     assert sorted(map(tuple, found.collect())) == [("l1", "g2", 3), ("l2", "g1", 3), ("l3", "g2", 3), ("l4", "g3", 2), ("l5", None, None)]
     assert "listing_id" not in "".join(x for x in plan_of(found).splitlines() if "Aggregate" in x)
+
+
+def same_as_sql(spark, folder, name, table, rows):
+    """A query's rows over a table of those rows equal those of its SQL."""
+    import duckdb
+
+    import __spark_entry__
+
+    rows.write.parquet(f"{folder}/{table}.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view {table} as from '{folder}/{table}.parquet/*.parquet'")
+    out = __spark_entry__.queries()[name](spark, str(folder))
+    want = con.execute(f"select {', '.join(f'"{c}"' for c in out.columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+
+
+def parts(spark, *keys_and_sizes):
+    old = spark.read.parquet(f"{SF}/part.parquet")
+    return spark.createDataFrame([(k, "large ring", "Brand#7", "LARGE", s, 900.0) for k, s in keys_and_sizes], old.schema)
+
+
+def test_keys_of_six_digits(spark, tmp_path):
+    same_as_sql(spark, tmp_path, "f05_urls", "part", parts(spark, *((k, s) for k in (5, 100_005, 1_100_005) for s in range(1, 11))))
+
+
+def test_parts_whose_keys_are_ids_of_the_page(spark, tmp_path):
+    same_as_sql(spark, tmp_path, "s18_page_data", "part", parts(spark, (8, 2), (9, 4), (1_000_008, 3), (7, 5), (108, 1)).union(parts(spark, (0, 2))))
+    same_as_sql(spark, tmp_path / "odd", "s18_page_data", "part", parts(spark, (8, 3), (9, 5)))
+
+
+def test_entities_without_an_end(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "u", "<title>a &amp</title><p>b &amp; c &am &amp;amp; &copy; d&e;</p>")], "page_id long, url string, html string")
+    same_as_sql(spark, tmp_path, "f09_html", "pages", rows)
+
+
+def test_ties_of_a_keeper_have_one_answer(spark, tmp_path):
+    from stagelight import queries
+
+    one = spark.read.parquet(f"{SF}/lineitem.parquet").limit(1).drop("l_suppkey")
+    for i, keys in enumerate(((30, 10, 20), (20, 30, 10))):
+        rows = one.crossJoin(spark.createDataFrame([(k,) for k in keys], "l_suppkey long").coalesce(1))
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{i}/lineitem.parquet")
+        assert [r.l_suppkey for r in queries.QUERIES["q22_keeper"](spark, f"{tmp_path}/{i}").collect()] == [10]

@@ -51,7 +51,9 @@ def clear_references(source_gigs: DataFrame, candidates: DataFrame, deleted: Dat
     """source_gigs whose deleted, expired images are taken out."""
     gone = candidates.where("kind = 'expired'").join(deleted.select("path"), "path", "left_semi").select(F.col("path").alias("mirrored_image_path")).withColumn("_gone", F.lit(True))
     cleared = {"mirrored_image_path": "string", "mirrored_image_width": "int", "mirrored_image_height": "int", "image_mirrored_at": "timestamp"}
-    rows = source_gigs.join(gone, "mirrored_image_path", "left")
+    # Rows without an image are dealt by their id: the null of all of them would be one key.
+    deal = F.when(F.col("mirrored_image_path").isNull(), F.xxhash64("id"))
+    rows = source_gigs.withColumn("_key", F.coalesce("mirrored_image_path", F.concat(F.lit("\0"), deal.cast("string")))).join(gone.withColumnRenamed("mirrored_image_path", "_key"), "_key", "left")
     out: list[Column] = []
     for c in source_gigs.columns:
         if c in cleared:

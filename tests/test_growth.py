@@ -96,3 +96,36 @@ def test_ties_of_a_keeper_have_one_answer(spark, tmp_path):
         rows = one.crossJoin(spark.createDataFrame([(k,) for k in keys], "l_suppkey long").coalesce(1))
         rows.coalesce(1).write.parquet(f"{tmp_path}/{i}/lineitem.parquet")
         assert [r.l_suppkey for r in queries.QUERIES["q22_keeper"](spark, f"{tmp_path}/{i}").collect()] == [10]
+
+
+def test_rows_without_an_image_are_no_join_key(spark):
+    from stagelight.operators.images import clear_references
+
+    rows = spark.range(1000).selectExpr("cast(id as string) id", "if(id = 0, 'p', null) mirrored_image_path", "'ready' image_mirror_status")
+    gone = spark.createDataFrame([("p", 1, "expired")], "path string, bytes long, kind string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = clear_references(rows, gone, gone.select("path"))
+        assert max(out.rdd.glom().map(len).collect()) < 500
+        assert out.where("image_mirror_status = 'missing' and mirrored_image_path is null").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_fuzzy_pairs_score_distinct_keys(spark):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from stagelight.plans.audit import fuzzy_pairs, verdict
+
+    cards = spark.createDataFrame([("a", "v", datetime(2024, 3, 10), "Red Ring Night", "u1"), ("b", "v", datetime(2024, 3, 10), "Red Ring Night", "u2"), ("c", "v", datetime(2024, 3, 10), "Blue", "u3")], "id string, venue_slug string, starts_at timestamp, title string, ticket_url string")
+    found = fuzzy_pairs(cards)
+    assert [(r.left_id, r.right_id, r.score) for r in found.collect()] == [("a", "b", 1.0)]
+    joins = [x for x in plan_of(found).splitlines() if "Join Inner" in x and "left_id" in x]
+    assert joins and all("array_intersect" not in x for x in joins)
+    counted = spark.createDataFrame([("error", 3), ("warning", 2)], "level string, n long")
+    assert verdict(counted).select("result", "errors", "warnings").first() == ("fail", 3, 2)
+    assert verdict(counted.where(F.lit(False))).first()["errors"] == 0

@@ -66,6 +66,11 @@ def _slug(text: str) -> str:
     return re.sub("[^a-z0-9]+", "-", plain.replace("&", " and ")).strip("-") or "item"
 
 
+def _map_distinct(values: pd.Series, f) -> pd.Series:
+    """f of each value, worked out once for equal ones of a batch."""
+    return values.map({v: f(v) for v in values.dropna().unique()})
+
+
 @F.pandas_udf(StringType())
 def _decode_udf(values: pd.Series) -> pd.Series:
     return values.map(_decode, na_action="ignore")
@@ -156,7 +161,7 @@ def _venue_name_udf(values: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def _venue_slug_udf(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: _slug(re.sub("['’]", "", _venue(x))), na_action="ignore")
+    return _map_distinct(values, lambda x: _slug(re.sub("['’]", "", _venue(x))))
 
 
 def venue_name(value: Column) -> Column:

@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from stagelight.functions import dates as D
+from stagelight.functions.text import slugify
 from stagelight.gig_model import sql, tables
 from stagelight.operators import images as I
 from stagelight.operators import matching as X
@@ -420,16 +421,17 @@ _EVENTS = (
 
 
 def _links(spark, d):
-    """(gigs, events) as link matching takes them."""
+    """(gigs, events, performers) as link matching takes them."""
     t = tables(spark, d)
     v = t["venues"].select(F.col("id").alias("venue_id"), F.col("name").alias("venue_name"), F.col("slug").alias("venue_slug"))
-    names = views.artist_lists(t)
-    gigs = t["gigs"].select(F.col("id").alias("gig_id"), "venue_id", "title", "starts_at", "tixel_url").join(v, "venue_id").join(names, "gig_id", "left")
+    gigs = t["gigs"].select(F.col("id").alias("gig_id"), "venue_id", "title", "starts_at", "tixel_url").join(v, "venue_id")
+    keys = apart(t["artists"].where(F.trim("name") != "").select(F.col("id").alias("artist_id"), slugify(F.col("name")).alias("key")))
+    performers = t["gig_artists"].select("gig_id", "artist_id").join(keys, "artist_id").select("gig_id", "key")
     line = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.min(F.col("l_shipdate").cast("timestamp")).alias("at"), F.min("l_suppkey").alias("sk"), F.min("l_linenumber").alias("ln"))
     title = F.when(F.col("ln") == 1, "Red Ring Tour 1").when(F.col("ln") == 2, "small ring").when(F.col("ln") == 3, "Blue Bolt & Friends").otherwise("Hot Widget w/ Cold Nut")
     at = F.col("at") + F.expr("interval 12 hours")
     events = line.select(F.concat(F.lit("https://links.example.com/"), "l_orderkey").alias("url"), D.day_key(at).alias("date_key"), title.alias("title"), at.alias("starts_at"), F.concat(F.lit("Customer#"), F.lpad((1 + F.col("sk") % 40).cast("string"), 9, "0")).alias("venue_name"))
-    return gigs, events
+    return gigs, events, performers
 
 
 @query("SELECT gig_id, url, confidence FROM scores WHERE confidence > 0", *_EVENTS)
@@ -456,14 +458,14 @@ def g25_assign_links(spark, d):
 @query("SELECT g.gig_id, g.tixel_url AS from_url, a.url AS to_url, CASE WHEN g.tixel_url IS NOT DISTINCT FROM a.url THEN 'unchanged' WHEN a.url IS NULL THEN 'clear' ELSE 'set' END AS change FROM gg g LEFT JOIN assigned a ON a.gig_id = g.gig_id AND a.outcome <> 'ambiguous' WHERE date_key IN (SELECT date_key FROM ev)", *_EVENTS, *_ASSIGNED)
 def g26_link_changes(spark, d):
     """Set, clear or unchanged, on the days that were searched."""
-    gigs, events = _links(spark, d)
-    return X.link_changes(gigs, X.assign_links(gigs, events), events)
+    gigs, events, performers = _links(spark, d)
+    return X.link_changes(gigs, X.assign_links(gigs, events, performers), events)
 
 
 @query("SELECT DISTINCT url FROM pairs WHERE exact OR alike", *_EVENTS)
 def g27_plausible_cards(spark, d):
     """Discovery cards that some gig of the day could be. Cards have no time, so titles decide."""
-    gigs, events = _links(spark, d)
+    gigs, events, _ = _links(spark, d)
     return X.plausible_cards(events.drop("starts_at"), gigs).select("url")
 
 

@@ -129,3 +129,41 @@ def test_fuzzy_pairs_score_distinct_keys(spark):
     counted = spark.createDataFrame([("error", 3), ("warning", 2)], "level string, n long")
     assert verdict(counted).select("result", "errors", "warnings").first() == ("fail", 3, 2)
     assert verdict(counted.where(F.lit(False))).first()["errors"] == 0
+
+
+def links(spark, n):
+    """n gigs and n events of one title, venue and start, and one gig and event that are each other's only best."""
+    at = "timestamp'2026-04-10 11:00:00'"
+    gigs = spark.range(n + 1).selectExpr("cast(id as string) gig_id", f"if(id = {n}, 'Alone', 'Twice') title", f"{at} starts_at", "array('Twice Over') artist_names", "'Hall' venue_name", "'hall' venue_slug", "cast(null as string) tixel_url")
+    return gigs, spark.range(n + 1).selectExpr("concat('u', id) url", "'2026-04-10' date_key", f"if(id = {n}, 'Alone', 'Twice') title", f"{at} starts_at", "'Hall' venue_name")
+
+
+def test_assigned_links_are_counted_not_listed(spark):
+    from stagelight.operators.matching import assign_links
+
+    out = assign_links(*links(spark, 3000))  # nine million links
+    assert {(r.outcome, r.gig_id): r["count"] for r in out.groupBy("outcome", "gig_id").count().collect()} == {("ambiguous", None): 3000, ("matched", "3000"): 1}
+    assert "gig_n" not in plan_of(out) and "Window" not in plan_of(out)
+
+
+def test_links_of_a_title_at_other_times_and_venues_do_not_meet(spark):
+    from datetime import datetime
+
+    from stagelight.operators.matching import link_scores
+
+    at = lambda h, m=0: datetime(2026, 4, 10, h, m)
+    gigs = spark.createDataFrame([("1", "Red", at(1), ["Blue Trio"], "Hall", "hall"), ("2", "Red", at(2), ["Blue Trio"], "Bird", "the-bird")], "gig_id string, title string, starts_at timestamp, artist_names array<string>, venue_name string, venue_slug string")
+    events = spark.createDataFrame([("a", "2026-04-10", "Red", at(1, 15), "Hall"), ("b", "2026-04-10", "Red", at(2, 16), "Bird"), ("c", "2026-04-10", "Red", at(1, 46), "Club"), ("d", "2026-04-10", "Blue Trio", at(1, 50), "Bird"), ("e", "2026-04-10", "Red", None, "Bird"), ("f", "2026-04-10", "Red", at(1), None)], "url string, date_key string, title string, starts_at timestamp, venue_name string")
+    out = link_scores(gigs, events)
+    assert sorted(map(tuple, out.collect())) == [("1", "a", 3), ("1", "f", 2), ("2", "b", 1), ("2", "c", 2), ("2", "d", 2), ("2", "e", 1)]
+    joins = [x for x in plan_of(out).splitlines() if "Join Inner" in x and "e_at" in x]
+    assert joins and all("slot" in x or "e_venue" in x for x in joins)
+
+
+def test_discovery_cards_meet_distinct_titles(spark):
+    from stagelight.operators.matching import plausible_cards
+
+    gigs, events = links(spark, 20)
+    plan = plan_of(plausible_cards(events.drop("starts_at"), gigs))
+    assert "gig_id" not in "".join(x for x in plan.splitlines() if "Join" in x) and "slot" not in plan and "artist_names" not in plan
+    assert plausible_cards(events.drop("starts_at"), gigs.where("title = 'Alone'")).select("url").collect() == [("u20",)]

@@ -51,7 +51,8 @@ def gig_cards(t: Tables) -> DataFrame:
         F.max_by(F.when(has_image, image), F.when(has_image, F.struct(F.coalesce(ready, F.lit(0)).alias("ready"), *rank))).alias("_image"),
         F.max(public).alias("_public"),
     )
-    gigs = t["gigs"].withColumnRenamed("source_url", "_own_url").join(chosen.where("_public"), "id").join(_venues(t), "venue_id").join(artist_lists(t).withColumnRenamed("gig_id", "id"), "id", "left")
+    # Venues come first, so that whole cards, which are wide, are never dealt by venue and back by id.
+    gigs = t["gigs"].withColumnRenamed("source_url", "_own_url").join(_venues(t), "venue_id").join(chosen.where("_public"), "id").join(artist_lists(t).withColumnRenamed("gig_id", "id"), "id", "left")
     return gigs.select(
         "id", "slug", "title", "description", "starts_at", "ends_at", "ticket_url", F.coalesce("_text.source_url", "_own_url").alias("source_url"), F.col("_text.source_name").alias("source_name"),
         *(F.col(f"_image.{c}").alias(c) for c in ("image_path", "source_image_url", "image_width", "image_height", "image_version")),

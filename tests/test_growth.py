@@ -167,3 +167,14 @@ def test_discovery_cards_meet_distinct_titles(spark):
     plan = plan_of(plausible_cards(events.drop("starts_at"), gigs))
     assert "gig_id" not in "".join(x for x in plan.splitlines() if "Join" in x) and "slot" not in plan and "artist_names" not in plan
     assert plausible_cards(events.drop("starts_at"), gigs.where("title = 'Alone'")).select("url").collect() == [("u20",)]
+
+
+def test_whole_cards_are_not_dealt_by_venue(spark):
+    from stagelight import gig_queries
+
+    lines = plan_of(gig_queries.QUERIES["g01_cards"](spark, SF)).splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    (at,) = (i for i, x in enumerate(lines) if "Join Inner, (venue_id" in x)
+    after = lines[at + 1 :]
+    below = after[: next((i for i, x in enumerate(after) if depth(x) <= depth(lines[at])), len(after))]
+    assert len(below) > 2 and "max_by" not in "".join(below)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stagelight.functions import lineups as L
 from stagelight.operators import history as H
-from stagelight.operators.dealing import apart, shared, spread
+from stagelight.operators.dealing import apart, dealt, shared, spread
 from stagelight.sources import city_feed, feeds, gates, json_hits, json_ld, pages
 
 QUERIES: dict = {}
@@ -209,9 +209,9 @@ def s08_result_rows(spark, d):
     responses = p.select(F.col("p_partkey").cast("string").alias("title_key"), kinds.alias("facets"), F.lit(False).alias("has_more"))
     verified = gates.verify_listings(asked, answers, responses).select(F.col("listing_id").alias("external_id"), F.col("status").alias("verified"))
     broken = listed.where("_error IS NOT NULL").groupBy(F.regexp_extract("source_url", "k=([0-9]+)$", 1).alias("title_key")).agg(F.count("*").cast("int").alias("broken"))
-    counts = rows.groupBy(F.col("n.page_id").cast("string").alias("title_key")).agg(F.max("page_count").alias("page_count")).join(broken, "title_key")
-    out = listed.join(counts, counts["title_key"] == key).select("external_id", F.col("source_url").alias("url"), F.col("image_url").alias("image"), "page_count", "broken", "title", F.col("venue.slug").alias("venue"), F.col("venue.suburb").alias("suburb"), joined("artists").alias("artists"), "description", F.date_format("starts_at", "yyyy-MM-dd HH:mm:ss").alias("starts"))
-    return out.join(verified, "external_id")
+    counts = rows.groupBy(F.col("n.page_id").cast("string").alias("title_key")).agg(F.max("page_count").alias("page_count")).join(dealt(broken), "title_key")
+    out = listed.join(dealt(counts), counts["title_key"] == key).select("external_id", F.col("source_url").alias("url"), F.col("image_url").alias("image"), "page_count", "broken", "title", F.col("venue.slug").alias("venue"), F.col("venue.suburb").alias("suburb"), joined("artists").alias("artists"), "description", F.date_format("starts_at", "yyyy-MM-dd HH:mm:ss").alias("starts"))
+    return out.join(dealt(verified), "external_id")
 
 
 @query(
@@ -239,8 +239,8 @@ def s09_discovery(spark, d):
     search = shared(pages.search_rows(p.select(key.alias("page_id"), F.concat(
         block("data-event-id=' '", (main, F.when(n % 2 == 0, "<p><span> t &amp; <b>u</b></span> <a href=x>more</a></p>").otherwise("<p>t</p>"), data_of)), block("data-event-id='b'", (F.lit("<h2 class='main-event-header'></h2>"),)), F.lit("<div class='searchresult'><h2>no block</h2></div><a href='?Page="), n + 1, F.lit("'>p</a>")
     ).alias("html"))), "page_id")
-    found = search.where("i = 0").select(F.col("page_id").alias("p_partkey"), "page_count", F.concat_ws("|", "external_id", "title", "url", F.coalesce(F.date_format("starts_at", "yyyy-MM-dd HH:mm"), F.lit("-")), "image_url", F.coalesce("teaser", F.lit("-")), F.coalesce("_error", F.lit("ok"))).alias("row"))
-    broken = search.groupBy(F.col("page_id").alias("p_partkey")).agg(F.count("_error").alias("broken"))
+    row = F.concat_ws("|", "external_id", "title", "url", F.coalesce(F.date_format("starts_at", "yyyy-MM-dd HH:mm"), F.lit("-")), "image_url", F.coalesce("teaser", F.lit("-")), F.coalesce("_error", F.lit("ok")))
+    found = search.groupBy(F.col("page_id").alias("p_partkey")).agg(F.max("page_count").alias("page_count"), F.max(F.when(F.col("i") == 0, row)).alias("row"), F.count("_error").alias("broken")).where(F.col("row").isNotNull())
     parts = apart(p.select("p_partkey", "p_size", crawl.alias("crawl"), market.alias("market")))  # each read once
     crawl, market = F.col("crawl"), F.col("market")
     card = F.get(market["cards"], 0)
@@ -248,7 +248,7 @@ def s09_discovery(spark, d):
         "p_partkey", joined(crawl["event_urls"]).alias("events"), joined(crawl["next_urls"]).alias("next"), crawl["failed"].alias("failed"), F.when(F.size(market["cards"]) == 1, F.concat_ws("|", card["url"], card["date_key"], card["title"], card["venue_name"])).alias("card"), market["max_page"].alias("pages"), data.alias("embedded"), pages.base64_id(encoded).alias("decoded"),
         pages.event_data(F.concat(F.lit("x; var moshtixEventData = {\"id\": "), n, F.lit("}; var y = {};"))).alias("event_data"), owned["external_id"].alias("owned"),
     )
-    return out.join(found, "p_partkey").join(broken, "p_partkey")
+    return out.join(dealt(found), "p_partkey")
 
 
 @query(

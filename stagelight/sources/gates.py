@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stagelight.functions import dates as D
 from stagelight.functions.text import collapse, keyword_count, keyword_text, normalise_space
+from stagelight.operators.dealing import dealt
 from stagelight.sources.city_feed import METRO
 
 #: Words and patterns of the gates.
@@ -209,7 +210,7 @@ def verify_listings(listings: DataFrame, events: DataFrame, responses: DataFrame
     e = events.withColumn("code", code)
     by_title = e.groupBy("title_key").agg(F.max(F.col("code") == "").alias("incomplete"), F.min("code").alias("low"), F.max("code").alias("high"))
     hits = e.where((F.col("event_title_key") == F.col("title_key")) & (F.upper("state") == "WA")).select("title_key", "code", "date_key", "venue_slug").distinct().withColumn("hit", F.lit(True))
-    rows = listings.withColumn("code", code).join(by_title, "title_key", "left").join(responses.select("title_key", "has_more", category_class(F.col("facets")).alias("kind")), "title_key", "left").join(hits, ["title_key", "code", "date_key", "venue_slug"], "left")
+    rows = listings.withColumn("code", code).join(dealt(by_title), "title_key", "left").join(dealt(responses.select("title_key", "has_more", category_class(F.col("facets")).alias("kind"))), "title_key", "left").join(dealt(hits), ["title_key", "code", "date_key", "venue_slug"], "left")
     sure = (F.col("code") != "") & ~F.coalesce("has_more", F.lit(False)) & ~F.col("incomplete") & (F.col("low") == F.col("code")) & (F.col("high") == F.col("code")) & F.col("hit")
     status = F.when(~F.coalesce(sure, F.lit(False)), "ambiguous").when(F.col("kind") == "non-music", "rejected").when(F.col("kind") == "music", "accepted").otherwise("ambiguous")
     return rows.select("listing_id", status.alias("status"))

@@ -191,3 +191,23 @@ def test_gigs_and_events_are_not_broadcast_by_the_size_of_their_files(spark):
         plan = executed(found)
         assert not [x for x in plan if "BroadcastHashJoin" in x and any(k in x for k in ("slot", "e_venue", "gig_id", "url"))]
         assert any("SortMergeJoin" in x for x in plan)
+
+
+def test_pages_are_joined_without_a_broadcast(spark):
+    from stagelight import page_queries, source_queries
+
+    # Two columns of many small rows are a few MB of file, and fill the driver as a broadcast.
+    for queries, name in ((source_queries, "s08_result_rows"), (source_queries, "s09_discovery"), (page_queries, "s14_event_pages"), (page_queries, "s15_club_pages")):
+        plan = executed(queries.QUERIES[name](spark, SF))
+        assert any("SortMergeJoin" in x for x in plan) and not any("Broadcast" in x for x in plan), name
+
+
+def test_plain_tags_are_read_once_and_mean_the_same(spark):
+    from stagelight.sources import nodes as N
+
+    page, known = "<div class='x'><p>a<p class='m'>b &amp; c</div><DIV CLASS=x>\n<a href='/1'>l</a></div><div class='x'><p>d</p></div>", {}
+    selectors = {"p": N.compile_selector("div.x > p"), "m": N.compile_selector(".m")}
+    read = [N._Reader(page, selectors, known=known) for _ in range(2)]
+    got = [[(x.labels, x.node, x.until, x.parent, r.text(x), page[slice(*x.html)]) for x in r.marked] for r in read]
+    assert got[0] == got[1] == [(["p"], 2, 3, 1, "a", "a"), (["p", "m"], 3, 4, 1, "b & c", "b &amp; c"), (["p"], 7, 8, 6, "d", "d")]
+    assert sorted(known) == ["<a href='/1'>", "<div class='x'>", "<p class='m'>", "<p>"]

@@ -10,7 +10,7 @@ from stagelight.functions.artists import normalise_names
 from stagelight.functions.dates import parse_start
 from stagelight.functions.moshtix_lineups import moshtix_names
 from stagelight.functions.urls import clean_url, path_of, resolved
-from stagelight.operators.dealing import apart
+from stagelight.operators.dealing import apart, dealt, spread
 from stagelight.sources import gates, pages
 from stagelight.sources import nodes as N
 from stagelight.sources.feeds import _listing
@@ -57,7 +57,7 @@ def normalise_moshtix(landed: DataFrame) -> DataFrame:
     category, clearly not music, or not near the city are left out; those without title or start are listed with an error.
     """
     rows = event_pages(landed.where(~is_search(F.col("url")))).withColumn("external_id", F.regexp_extract("url", "/([0-9]+)(?:[/?#]|$)", 1))
-    rows = rows.join(listings(landed.where(is_search(F.col("url")))), "external_id", "left")
+    rows = spread(rows, "external_id").join(dealt(listings(landed.where(is_search(F.col("url"))))), "external_id", "left")
     data = lambda path, kind="string": F.try_variant_get("data", path, kind)
     event = lambda path, kind="string": F.try_variant_get("event", path, kind)
     listing = lambda name: F.col("listing")[name]

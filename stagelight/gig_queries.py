@@ -14,7 +14,7 @@ from stagelight.operators import images as I
 from stagelight.operators import matching as X
 from stagelight.operators import merging as M
 from stagelight.operators import ranking as R
-from stagelight.operators.dealing import apart
+from stagelight.operators.dealing import apart, written
 from stagelight.plans import audit, reads, views
 
 #: 2000-03-07 is a Tuesday; its local day begins at 16:00 UTC of the day before.
@@ -364,7 +364,7 @@ def _listings(spark, d):
     rows = spark.read.parquet(f"{d}/lineitem.parquet")
     case = "CASE l_linenumber WHEN 1 THEN 'Red Ring 1' WHEN 2 THEN 'Red Ring Tour 2' WHEN 3 THEN 'Friends of the Blue Bolt' WHEN 4 THEN 'Blue Bolt and Friends' WHEN 5 THEN 'Small Gear with Yoga Class Band' ELSE 'Hot Widget w/ Cold Nut' END"
     start = "CAST(l_shipdate AS TIMESTAMP) + make_interval(0, 0, 0, 0, CAST(l_orderkey % 24 AS INT))"
-    return rows.selectExpr("concat('l', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS listing_id", "concat('v', 1 + l_suppkey % 40) AS venue_id", f"{start} AS starts_at", f"{case} AS title", "CASE WHEN l_partkey % 2 = 0 THEN concat('g', l_orderkey) END AS own_gig_id").distinct()
+    return written(rows.selectExpr("concat('l', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS listing_id", "concat('v', 1 + l_suppkey % 40) AS venue_id", f"{start} AS starts_at", f"{case} AS title", "CASE WHEN l_partkey % 2 = 0 THEN concat('g', l_orderkey) END AS own_gig_id").distinct(), "listings")  # read for titles and for themselves
 
 
 @query(

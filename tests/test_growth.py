@@ -211,3 +211,13 @@ def test_plain_tags_are_read_once_and_mean_the_same(spark):
     got = [[(x.labels, x.node, x.until, x.parent, r.text(x), page[slice(*x.html)]) for x in r.marked] for r in read]
     assert got[0] == got[1] == [(["p"], 2, 3, 1, "a", "a"), (["p", "m"], 3, 4, 1, "b & c", "b &amp; c"), (["p"], 7, 8, 6, "d", "d")]
     assert sorted(known) == ["<a href='/1'>", "<div class='x'>", "<p class='m'>", "<p>"]
+
+
+def test_listings_do_not_travel_by_title_and_are_looked_up_once(spark):
+    from stagelight import gig_queries
+
+    plan = executed(gig_queries.QUERIES["g20_match_tiers"](spark, SF))
+    assert not any("hashpartitioning(title" in x for x in plan)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    joins = [x for x in plan if "SortMergeJoin" in x and "LeftOuter" in x]
+    assert "starts_at" in min(joins, key=depth) and "canonical" in min(joins, key=depth)  # the last join asks for all tiers

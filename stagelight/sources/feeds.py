@@ -14,7 +14,7 @@ from stagelight.functions.ellington_lineups import ellington_names
 from stagelight.functions.lineups import bird_names, ticketek_names
 from stagelight.functions.merging import listing_status
 from stagelight.functions.urls import clean_url, host, path_of, query_value
-from stagelight.operators.dealing import apart
+from stagelight.operators.dealing import apart, spread
 from stagelight.operators.matching import title_tokens
 from stagelight.sources import gates
 from stagelight.sources import nodes as N
@@ -305,7 +305,8 @@ def normalise_ticketek(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("image_url", F.lit(None).cast("string"))
     rows = apart(rows.withColumn("_link", show_url(F.col("url")))).where(gates.near_perth_text(F.col("location"))).withColumn("music_class", gates.ticketek_class(F.col("title"), F.col("subtitle"), F.col("summary"), F.col("location")))
     rows = rows.where("music_class != 'non-music'").withColumn("_title", T.normalise_space(F.col("title"))).withColumn("_start", D.parse_day_text(F.col("date_text")))
-    first = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(F.coalesce(F.col("_link.external_id"), F.to_json("n"))).orderBy("n"))).where("_rn = 1")
+    rows = spread(rows.withColumn("_key", F.coalesce(F.col("_link.external_id"), F.to_json("n"))), "_key")  # what follows takes long for a row
+    first = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("_key").orderBy("n"))).where("_rn = 1")
     place = first.withColumn("_p", place_of_location(F.col("location")))
     name = T.venue_name(F.col("_p.name"))
     venue = F.struct(name.alias("name"), T.venue_slug(name).alias("slug"), T.venue_suburb(name, F.col("_p.suburb")).alias("suburb"), T.venue_address(name, F.lit("")).alias("address"), F.lit(None).cast("string").alias("website_url"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagelight.functions import dates as D
-from stagelight.functions.text import collapse, keyword_count, keyword_text, normalise_space
+from stagelight.functions.text import collapse, keyword_count, keyword_text, let, normalise_space
 from stagelight.operators.dealing import dealt
 from stagelight.sources.city_feed import METRO
 
@@ -58,7 +58,7 @@ FAILURES = (("resolve uniquely", "structured_event"), ("redirected", "url"), ("e
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:
     """Some word occurs as a substring, which may be part of a longer word."""
-    return F.exists(F.array(*map(F.lit, words)), lambda w: text.contains(w))
+    return let(text, lambda t: F.exists(F.array(*map(F.lit, words)), lambda w: t.contains(w)))  # else the text is worked out for each word
 
 
 def _text(*parts: Column) -> Column:

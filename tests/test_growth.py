@@ -221,3 +221,13 @@ def test_listings_do_not_travel_by_title_and_are_looked_up_once(spark):
     depth = lambda x: len(x) - len(x.lstrip(" :+-"))
     joins = [x for x in plan if "SortMergeJoin" in x and "LeftOuter" in x]
     assert "starts_at" in min(joins, key=depth) and "canonical" in min(joins, key=depth)  # the last join asks for all tiers
+
+
+def test_a_text_is_worked_out_once_for_all_words(spark):
+    from pyspark.sql import functions as F
+
+    from stagelight.sources.gates import contains_any
+
+    rows = spark.createDataFrame([("A  Play",), ("x",), (None,)], "t string").select(contains_any(F.lower("t"), ["no", "play"]).alias("hit"))
+    assert [r.hit for r in rows.collect()] == [True, False, None]
+    assert "contains(lower" not in plan_of(rows).lower()
